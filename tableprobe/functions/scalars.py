@@ -1,4 +1,4 @@
-"""Small scalar rules used in reports, prompts and predicates."""
+"""Small scalar rules used in reports and predicates."""
 
 from __future__ import annotations
 
@@ -18,11 +18,12 @@ def features_to_rows(n_cols: Column, n_rows: Column) -> Column:
 
 def similarity(distance: Column) -> Column:
     """Distance in [0, 2] as a similarity in [0, 1]."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / 2))
+    # greatest and least skip NULLs, so an unknown distance is tested for.
+    return F.when(distance.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - distance / 2)))
 
 
 def estimated_distinct(ratio: Column, n_rows: Column) -> Column:
-    return F.greatest(F.lit(0), F.rint(ratio * n_rows).cast("long"))
+    return F.when(ratio.isNotNull(), F.greatest(F.lit(0), F.rint(ratio * n_rows).cast("long")))
 
 
 def is_id_like(ratio: Column, n_rows: Column) -> Column:
@@ -34,7 +35,7 @@ def is_id_like(ratio: Column, n_rows: Column) -> Column:
 def duration_seconds(started: Column, finished: Column) -> Column:
     """Whole seconds between two times, never negative; NULL while unfinished."""
     micros = F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
-    return F.greatest(F.lit(0), F.floor(micros / 1e6 + 0.5).cast("long"))
+    return F.when(micros.isNotNull(), F.greatest(F.lit(0), F.floor(micros / 1e6 + 0.5).cast("long")))
 
 
 def duration_text(seconds: Column) -> Column:

@@ -31,7 +31,9 @@ def histograms(df: DataFrame, columns: list[str], bins: int = BINS, moment_rows:
     binned = []
     for c, (low, high) in ranges.items():
         share = (finite(ref(c)) - F.lit(low)) / F.lit(high - low)
-        binned.append(F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int").alias(c))
+        last = F.lit(bins - 1)
+        cell = F.floor(share * bins)
+        binned.append(F.when(cell > last, last).otherwise(cell).cast("int").alias(c))
     counted = (
         df.select(*binned)
         .unpivot([], [ref(c) for c in ranges], "column", "bin")

@@ -26,29 +26,32 @@ def local_session(cpus: int | None = None, app: str = "tableprobe") -> SparkSess
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and continue from the files.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder of the session.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``. Only a
-    session without any (a test on one machine) gets a folder of its own.
+    It is the shared one the cluster names in ``spark.checkpoint.dir``. Only a session without
+    any (a test on one machine) gets a folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-            "spark.checkpoint.dir"
-        )
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if shared is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="tableprobe-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and continue from the files."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def stored_bytes(df: DataFrame) -> int:
     """Catalyst's own upper estimate of the size of ``df`` in bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 SMALL_TABLE_BYTES = 2 * 1024**3

@@ -18,12 +18,11 @@ MISSING_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None",
 def file_charsets(spark: SparkSession, path: str, fallback: str = FALLBACK_CHARSET) -> DataFrame:
     """``(path, charset)``: UTF-8 where the whole file is valid UTF-8, else the fallback.
 
-    Lines are checked one by one as bytes, so a large file is read in pieces.
+    The text reader hands over the bytes of a line as they are, so a large file is checked in
+    pieces, line by line.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    # Latin-1 maps every byte to one character, so the bytes of a line come back unchanged.
-    raw = F.encode("value", "ISO-8859-1")
-    per_file = lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8(raw.cast("string")).alias("ok"))
+    lines = spark.read.text(path)
+    per_file = lines.select(F.col("_metadata.file_path").alias("path"), F.is_valid_utf8("value").alias("ok"))
     return per_file.groupBy("path").agg(
         F.when(F.bool_and("ok"), "UTF-8").otherwise(fallback).alias("charset")
     )
@@ -80,7 +79,8 @@ def read_text_table(
         if not names:
             raise ValueError("blank-separated files need column names")
         parts = F.split(F.trim("value"), r"\s+")
-        lines = spark.read.option("encoding", charset).text(path).where(F.length(F.trim("value")) > 0)
+        decoded = F.decode(F.col("value").cast("binary"), charset).alias("value")
+        lines = spark.read.text(path).select(decoded).where(F.length(F.trim("value")) > 0)
         raw = lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
     else:
         if charset.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
