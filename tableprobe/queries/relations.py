@@ -202,13 +202,13 @@ def vector_distances(t: Tables) -> DataFrame:
     return out.withColumn("similarity", similarity(F.col("cosine")))
 
 
-def nearest_sql(metric: str, pool: str = "true", same: str = "true", k: int = 5) -> str:
+def nearest_sql(metric: str, pool: str = "true", same: str = "true", k: int = 5, more: str = "") -> str:
     d = {
         "cosine": "1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))",
         "euclidean": "list_distance(a.v, b.v)",
         "manhattan": "list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))",
     }[metric]
-    return f"""SELECT query_id, rn::INTEGER AS rank, catalog_id, {r('d')} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), catalog_id) AS rn FROM (
+    return f"""SELECT query_id, rn::INTEGER AS rank, catalog_id, {r('d')} AS distance{more} FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 12), catalog_id) AS rn FROM (
       SELECT a.vec_id AS query_id, b.vec_id AS catalog_id, {d} AS d FROM (SELECT *, embedding::DOUBLE[] AS v FROM embeddings) a
       JOIN (SELECT *, embedding::DOUBLE[] AS v FROM embeddings WHERE {pool}) b ON a.vec_id <> b.vec_id AND {same})) WHERE rn <= {k}"""
 
@@ -240,16 +240,14 @@ def nearest_same_label(t: Tables) -> DataFrame:
 @query(
     "similar_datasets",
     "L11 F7 M10",
-    f"""SELECT query_id, rank, catalog_id, distance, {r('greatest(0, least(1, 1 - distance / 2))')} AS similarity FROM (
-    {nearest_sql('cosine', pool="label % 2 = 1 AND label < 6", same="true").replace("a.vec_id <> b.vec_id AND ", "")})""",
+    nearest_sql("cosine", pool="label % 2 = 1 AND label < 6", more=f", {r('greatest(0, least(1, 1 - round(d, 12) / 2))')} AS similarity").replace("a.vec_id <> b.vec_id AND ", ""),
 )
 def similar_datasets_query(t: Tables) -> DataFrame:
     """Active catalog entries of one task type only."""
     catalog = t.embeddings.withColumn("is_active", F.col("label") < 6).withColumn(
         "task_type_code", F.when(F.col("label") % 2 == 1, "REGRESSION").otherwise("BINARY_CLASSIFICATION")
     )
-    found = similar_datasets(t.embeddings, catalog, "REGRESSION", query_id="vec_id", catalog_id="vec_id", vector="embedding")
-    return found.withColumn("distance", F.round("distance", 6)).withColumn("similarity", similarity(F.round("distance", 6)))
+    return similar_datasets(t.embeddings, catalog, "REGRESSION", query_id="vec_id", catalog_id="vec_id", vector="embedding")
 
 
 @query(
