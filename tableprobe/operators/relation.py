@@ -202,14 +202,16 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
         (ref(target).cast("double") if y_number else ref(target).cast("string")).alias(target),
     )
     names = [f.name for f in features]
-    n_rows = filled.count()
-    approx = dict(
+    estimates = (
         unpivot_text(filled, [*names, target])
         .groupBy("column")
-        .agg(F.approx_count_distinct("value").alias("d"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("value").alias("d"))
         .collect()
     )
-    limit = max(MAX_CLASS_VALUES, int(MAX_CLASS_SHARE * n_rows))
+    if not estimates:
+        return df.sparkSession.createDataFrame([(c, 0.0) for c in names], "column string, mi double")
+    approx = {e["column"]: e["d"] for e in estimates}
+    limit = max(MAX_CLASS_VALUES, int(MAX_CLASS_SHARE * estimates[0]["rows"]))
     check = [c for c in names if approx.get(c, 0) <= 4 * bins]
     y_close = y_number and approx.get(target, 0) >= limit / 2
     # Exact distinct counts only where the estimate is near a limit.
@@ -256,17 +258,21 @@ def information(binned: DataFrame, names: list[str]) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
     )
     n = F.col("n")
+    # The three tables of counts (x and y, x, y) in one more shuffle of already small counts.
+    sides = joint.select(
+        "column",
+        F.stack(F.lit(3), F.lit("xy"), F.col("x"), F.col("__y"), F.lit("x"), F.col("x"), F.lit(None), F.lit("y"), F.lit(None), F.col("__y"))
+        .alias("side", "a", "b"),
+        "n",
+    )
+    summed = sides.groupBy("column", "side", "a", "b").agg(F.sum("n").alias("n"))
 
-    def entropy(groups: DataFrame, alias: str) -> DataFrame:
-        return groups.groupBy("column").agg(
-            (F.ln(F.sum(n)) - F.sum(n * F.ln(n)) / F.sum(n)).alias(alias)
-        )
+    def spread_of(side: str) -> Column:
+        return F.sum(F.when(F.col("side") == side, n * F.ln(n)).otherwise(0.0))
 
-    h_xy = entropy(joint, "h_xy")
-    h_x = entropy(joint.groupBy("column", "x").agg(F.sum("n").alias("n")), "h_x")
-    h_y = entropy(joint.groupBy("column", "__y").agg(F.sum("n").alias("n")), "h_y")
-    mi = F.greatest(F.lit(0.0), F.col("h_x") + F.col("h_y") - F.col("h_xy"))
-    return h_xy.join(h_x, "column").join(h_y, "column").select("column", mi.alias("mi"))
+    total = F.sum(F.when(F.col("side") == "xy", n).otherwise(0))
+    mi = F.ln(total) + (spread_of("xy") - spread_of("x") - spread_of("y")) / total
+    return summed.groupBy("column").agg(F.greatest(F.lit(0.0), mi).alias("mi"))
 
 
 def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[str]]:

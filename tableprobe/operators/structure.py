@@ -32,19 +32,21 @@ def type_counts(df: DataFrame) -> dict[str, int]:
     return counts
 
 
-def structure(df: DataFrame) -> DataFrame:
-    """One row: n_rows, n_cols, memory_mb (data bytes, not engine memory)."""
+def structure_aggregates(df: DataFrame) -> list[Column]:
+    """Aggregates n_rows and memory_mb (data bytes, not engine memory)."""
     fixed = [f for f in df.schema.fields if not _variable(f.dataType)]
     variable = [f for f in df.schema.fields if _variable(f.dataType)]
     row_bytes = sum((_cell_bytes(f) for f in variable), F.lit(0).cast("long"))
-    n = F.count(F.lit(1))
     fixed_bytes = sum((_cell_bytes(f) for f in fixed), F.lit(0).cast("long"))
+    n = F.count(F.lit(1))
     total = F.coalesce(F.sum(row_bytes), F.lit(0)) + n * fixed_bytes
-    return df.agg(
-        n.alias("n_rows"),
-        F.lit(len(df.columns)).cast("long").alias("n_cols"),
-        (total / BYTES_PER_MB).alias("memory_mb"),
-    )
+    return [n.alias("n_rows"), (total / BYTES_PER_MB).alias("memory_mb")]
+
+
+def structure(df: DataFrame) -> DataFrame:
+    """One row: n_rows, n_cols, memory_mb."""
+    found = df.agg(*structure_aggregates(df))
+    return found.withColumn("n_cols", F.lit(len(df.columns)).cast("long"))
 
 
 def _variable(kind: T.DataType) -> bool:

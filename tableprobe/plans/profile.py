@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import column_groups, is_numeric, nan_to_null, ref
+from tableprobe.functions.columns import column_groups, nan_to_null, ref
 from tableprobe.functions.dates import date_share
 from tableprobe.operators import categorical, distribution, normality, numeric, relation, structure, target as target_ops
 from tableprobe.session import cut_lineage, spread
+from tableprobe.sources.store import check_target
 
 
 @dataclass
@@ -23,6 +27,12 @@ class Profile:
     histograms: DataFrame  # one row per numeric column and bin
     categories: DataFrame  # top values of the category columns
     classes: DataFrame  # class counts of a class target
+    cached: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the cached copy of a small table."""
+        if self.cached is not None and self.cached.is_cached:
+            self.cached.unpersist()
 
 
 def text_date_shares(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,6 +44,13 @@ def text_date_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
+def _together(**steps: Callable[[], object]) -> dict[str, object]:
+    """Run independent Spark jobs at the same time from a few driver threads."""
+    with ThreadPoolExecutor(max_workers=max(1, min(len(steps), MAX_JOBS))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(step)) for name, step in steps.items()}
+        return {name: job.result() for name, job in running.items()}
+
+
 def profile(
     df: DataFrame,
     dataset: str,
@@ -43,109 +60,165 @@ def profile(
 ) -> Profile:
     """Profile ``df``; ``key`` only steers which values the normality test looks at.
 
-    Between the steps the driver sees a few numbers per column (moments, quartiles, shares);
-    everything else stays in DataFrames.
+    Each step is one or a few jobs over the whole table, independent steps run side by side.
+    The driver sees a few numbers per column, never rows of the table.
     """
-    if target is not None and target not in df.columns:
-        raise ValueError(f"no column {target!r} in the table")
+    check_target(df, target)
     spark = df.sparkSession
     data = spread(nan_to_null(df))
-    everything = column_groups(data)
-    features = column_groups(data, target)
+    everything, features = column_groups(data), column_groups(data, target)
     numbers, categories = everything["numeric"], everything["categorical"]
-
-    size = structure.structure(data)
-    missing = structure.missing_by_column(data)
-    copies = structure.duplicates(data)
-    moment_rows = numeric.moments(data, numbers).collect()
-    n_rows = missing.select("n_rows").first()[0] if data.columns else 0
-    normal = normality.normality(data, features["numeric"], n_rows, key).collect()
-    is_normal = {r["column"] for r in normal if r["is_normal"]}
-    outlier_rows = numeric.outliers(data, features["numeric"], is_normal, moment_rows)
-    pairs = relation.correlations(data, numbers)
-
-    # The value counts feed entropy, cardinality and the category tables: computed once.
-    counts = cut_lineage(categorical.value_counts(data, categories))
-    entropy = categorical.with_cardinality(categorical.entropies(counts), n_rows)
     texts = [f.name for f in data.schema.fields if f.dataType.simpleString() == "string"]
-    dates = text_date_shares(data, texts)
-
-    if target is None:
-        facts, classes, information, with_r = None, None, None, None
-    else:
-        facts = target_ops.target_stats(data, [target])
-        classes = target_ops.class_counts(data, target)
-        information = relation.mutual_information(data, target)
-        with_r = relation.target_correlations(pairs, target) if is_numeric(data.schema[target].dataType) else None
-
-    moment_table = spark.createDataFrame(
-        [tuple(r) for r in moment_rows if r["column"] in features["numeric"]], numeric.MOMENT_FIELDS
+    target_field = data.schema[target] if target else None
+
+    first = _together(
+        sizes=lambda: _sizes(data, texts),
+        moments=lambda: numeric.moments(data, numbers).collect(),
+        copies=lambda: structure.duplicates(data).first(),
+        # The value counts feed entropy, cardinality and the category tables: computed once.
+        counts=lambda: cut_lineage(categorical.value_counts(data, categories)),
+        information=lambda: dict(relation.mutual_information(data, target).collect()) if target else {},
     )
-    test_table = spark.createDataFrame([(r["column"], r["p_value"], r["is_normal"]) for r in normal],
-                                       "column string, p_value double, is_normal boolean")
-    kinds = [(f.name, f.dataType.simpleString(), group, f.name == target, i)
-             for i, f in enumerate(data.schema.fields)
-             for group, names in everything.items() if f.name in names]
-    # From here on every table has one row per column of the profiled table.
-    per_column = spark.createDataFrame(kinds, "column string, type string, kind string, is_target boolean, position int")
-    parts = [
-        missing.select("column", "n_missing", "missing_pct"),
-        moment_table,
-        test_table,
-        outlier_rows.select("column", "n_outliers", "outliers_pct"),
-        entropy.where(F.col("column") != F.lit(target or "")).select("column", "n_distinct", "entropy", "normalized_entropy", "cardinality_ratio"),
-        dates,
-        with_r.withColumnRenamed("abs_r", "target_abs_r") if with_r is not None else _none(spark, "target_abs_r"),
-        information.withColumnRenamed("mi", "target_mi") if information is not None else _none(spark, "target_mi"),
-    ]
-    for part in parts:
-        per_column = per_column.join(part, "column", "left")
-    per_column = per_column.withColumn("dataset", F.lit(dataset))
-    is_category_feature = (F.col("kind") == "categorical") & ~F.col("is_target")
-    per_column = per_column.withColumn(
-        "cardinality_ratio",
-        F.when(is_category_feature, F.coalesce("cardinality_ratio", F.lit(0.0))),
+    sizes, moment_rows, counts = first["sizes"], first["moments"], first["counts"]
+    n_rows = sizes["n_rows"]
+    by_moment = {m["column"]: m for m in moment_rows}
+    known = {c: (m["n_finite"], m["min"], m["max"]) for c, m in by_moment.items()}
+
+    def outlier_rows(normal: list) -> list:
+        is_normal = {x["column"] for x in normal if x["is_normal"]}
+        return numeric.outliers(data, features["numeric"], is_normal, moment_rows, fence_of).collect()
+
+    second = _together(
+        normal=lambda: normality.normality(data, features["numeric"], n_rows, key).collect(),
+        fences=lambda: numeric.fences(data, features["numeric"], known=known),
+        pairs=lambda: relation.correlations(data, numbers).collect(),
+        entropy=lambda: categorical.entropies(counts).collect(),
+        facts=lambda: target_ops.target_stats(data, [target]).first() if target else None,
     )
-    per_column = cut_lineage(per_column)
-
-    rolled = numeric.numeric_summary(per_column.where((F.col("kind") == "numeric") & ~F.col("is_target")))
-    worst = per_column.agg(
-        F.coalesce(F.try_divide(F.sum("n_missing"), F.lit(n_rows) * F.count(F.lit(1))), F.lit(0.0)).alias("total_missing_pct"),
-        F.coalesce(F.max("missing_pct"), F.lit(0.0)).alias("max_col_missing_pct"),
-        F.max("target_abs_r").alias("target_correlation_max"),
-        F.max("target_mi").alias("target_mutual_information_max"),
-        F.avg("target_mi").alias("target_mutual_information_mean"),
+    fence_of = second["fences"]
+    outlier_of = {x["column"]: x for x in outlier_rows(second["normal"])}
+    test_of = {x["column"]: x for x in second["normal"]}
+    entropy_of = {x["column"]: x for x in second["entropy"]}
+    pair_rows, information = second["pairs"], first["information"]
+
+    # From here on tables have one row per column (or pair of columns) of the profiled table.
+    pairs = spark.createDataFrame([tuple(x) for x in pair_rows], "column_a string, column_b string, r double")
+    with_target = {}
+    if target in numbers:
+        with_target = {
+            (b if a == target else a): (None if r is None else abs(r)) for a, b, r in map(tuple, pair_rows) if target in (a, b)
+        }
+    rows = []
+    for i, field in enumerate(data.schema.fields):
+        c = field.name
+        kind = next(k for k, names in everything.items() if c in names)
+        feature = c != target
+        moment = by_moment.get(c) if feature else None
+        outlier, test = outlier_of.get(c), test_of.get(c)
+        entropy = entropy_of.get(c) if feature else None
+        category = feature and kind == "categorical"
+        n_distinct = entropy["n_distinct"] if entropy else (0 if category else None)
+        rows.append(
+            (
+                dataset, c, i, field.dataType.simpleString(), kind, not feature,
+                n_rows - sizes["present"][c],
+                (n_rows - sizes["present"][c]) / max(n_rows, 1),
+                *([moment[k] for k in MOMENTS] if moment else [None] * len(MOMENTS)),
+                test["p_value"] if test else None,
+                test["is_normal"] if test else None,
+                outlier["n_outliers"] if outlier else None,
+                outlier["outliers_pct"] if outlier else None,
+                n_distinct,
+                entropy["entropy"] if entropy else None,
+                entropy["normalized_entropy"] if entropy else None,
+                n_distinct / max(n_rows, 1) if category else None,
+                sizes["dates"].get(c),
+                with_target.get(c),
+                information.get(c),
+            )
+        )
+    per_column = spark.createDataFrame(rows, COLUMN_FIELDS)
+    table = _table_row(spark, dataset, target, n_rows, sizes, first["copies"], second["facts"], per_column, pair_rows, information, with_target)
+    name = F.lit(dataset).alias("dataset")
+    classes = (
+        target_ops.class_counts(data, target)
+        if target and second["facts"]["target_kind"] == "categorical"
+        else spark.createDataFrame([], "label string, n long")
     )
-    strongest = pairs.agg(F.max(F.abs("r")).alias("max_abs_correlation"))
-    # One row each: joined side by side on the dataset name.
-    table = size.withColumn("dataset", F.lit(dataset))
-    for one in (copies.drop("n_rows"), worst, rolled, strongest, facts.drop("target") if facts is not None else _no_target(spark)):
-        table = table.join(one.withColumn("dataset", F.lit(dataset)), "dataset", "left")
-    table = table.withColumn("target_column", F.lit(target).cast("string")).withColumn(
+    table = table.withColumn(
         "original_rows", F.lit(original_rows).cast("long") if original_rows is not None else F.col("n_rows")
-    ).withColumn("type_counts", F.lit(None).cast("map<string,bigint>") if not data.columns else F.create_map(
+    ).withColumn("type_counts", F.create_map(
         *[x for k, v in structure.type_counts(data).items() for x in (F.lit(k), F.lit(v).cast("long"))]
-    ))
-    name = F.lit(dataset).alias("dataset")
+    ).cast("map<string,bigint>"))
     return Profile(
-        table=cut_lineage(table),
+        table=table,
         columns=per_column,
         correlations=pairs.select(name, "*"),
         histograms=distribution.histograms(data, numbers, moment_rows=moment_rows).select(name, "*"),
         categories=categorical.top_with_rest(counts).select(name, "*"),
-        classes=(classes if classes is not None else spark.createDataFrame([], "label string, n long")).select(name, "*"),
+        classes=classes.select(name, "*"),
+        cached=data,
     )
 
 
-def _none(spark, field: str) -> DataFrame:
-    return spark.createDataFrame([], f"column string, {field} double")
+def _sizes(data: DataFrame, texts: list[str]) -> dict:
+    """Rows, bytes, present values and date shares of all columns in one scan."""
+    row = structure.structure_aggregates(data)
+    columns = data.columns
+    found = data.agg(
+        *row,
+        *[F.count(ref(c)).alias(f"present_{i}") for i, c in enumerate(columns)],
+        *[date_share(ref(c)).alias(f"date_{i}") for i, c in enumerate(texts)],
+    ).first()
+    return {
+        "n_rows": found["n_rows"],
+        "memory_mb": found["memory_mb"],
+        "present": {c: found[f"present_{i}"] for i, c in enumerate(columns)},
+        "dates": {c: found[f"date_{i}"] for i, c in enumerate(texts)},
+    }
+
+
+def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column, pair_rows, information, with_target) -> DataFrame:
+    """The one-row table of a profile."""
+    cells = n_rows * len(sizes["present"])
+    missing = {c: n_rows - present for c, present in sizes["present"].items()}
+    strongest = [abs(x["r"]) for x in pair_rows if x["r"] is not None]
+    tied = [v for v in with_target.values() if v is not None]
+    known = list(information.values())
+    facts = facts.asDict() if facts else {}
+    base = spark.createDataFrame(
+        [
+            (
+                dataset, n_rows, len(sizes["present"]), sizes["memory_mb"], target,
+                sum(missing.values()) / (cells or 1),
+                max((m / max(n_rows, 1) for m in missing.values()), default=0.0),
+                copies["n_duplicates"], copies["duplicate_rows_pct"],
+                max(strongest, default=None), max(tied, default=None), max(known, default=None),
+                sum(known) / len(known) if known else None,
+                *[facts.get(f.split(" ")[0]) for f in TARGET_FIELDS.split(", ")],
+            )
+        ],
+        TABLE_FIELDS + ", " + TARGET_FIELDS,
+    )
+    rolled = numeric.numeric_summary(per_column.where((F.col("kind") == "numeric") & ~F.col("is_target")))
+    return base.join(rolled.withColumn("dataset", F.lit(dataset)), "dataset", "left")
 
 
+# Rows per column are few, so the local results above become small tables again.
+MAX_JOBS = 6
+MOMENTS = ("n_finite", "mean", "std", "skewness", "kurtosis", "min", "max")
+COLUMN_FIELDS = (
+    "dataset string, column string, position int, type string, kind string, is_target boolean, n_missing long, missing_pct double, "
+    "n_finite long, mean double, std double, skewness double, kurtosis double, min double, max double, p_value double, is_normal boolean, "
+    "n_outliers long, outliers_pct double, n_distinct long, entropy double, normalized_entropy double, cardinality_ratio double, "
+    "date_share double, target_abs_r double, target_mi double"
+)
+TABLE_FIELDS = (
+    "dataset string, n_rows long, n_cols long, memory_mb double, target_column string, total_missing_pct double, max_col_missing_pct double, "
+    "n_duplicates long, duplicate_rows_pct double, max_abs_correlation double, target_correlation_max double, "
+    "target_mutual_information_max double, target_mutual_information_mean double"
+)
 TARGET_FIELDS = (
     "target_kind string, target_n_unique long, target_imbalance_ratio double, target_class_entropy double, "
     "target_skewness double, min_class_size long, min_class string, all_number_labels boolean"
 )
-
-
-def _no_target(spark) -> DataFrame:
-    return spark.createDataFrame([(None,) * 8], TARGET_FIELDS)
