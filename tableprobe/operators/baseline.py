@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +23,7 @@ from tableprobe.operators.preparation import (
     prepared,
 )
 from tableprobe.operators.sampling import FOLDS, plain_folds, random_sample, stratified_folds, stratified_sample
-from tableprobe.session import cut_lineage
+from tableprobe.session import cut_lineage, together
 
 # Hyper-parameters of the baselines.
 LOGISTIC_ITERATIONS = 200
@@ -124,33 +125,33 @@ def train_baseline(
     numeric, categorical = columns["numeric"], columns["categorical"]
     frame = frame.select(
         ref(key),
-        ref(target),
+        ref(target).alias("__target"),
         *[ref(c).cast("double").alias(c) for c in numeric],
         *[ref(c).cast("string").alias(c) for c in categorical],
     )
     if task == REGRESSION:
-        labelled = plain_folds(frame, key, folds).withColumn("label", ref(target).cast("double"))
+        labelled = plain_folds(frame, key, folds).withColumn("label", ref("__target").cast("double"))
     else:
-        codes = class_codes(frame, target)
-        split = stratified_folds(frame, target, key, folds)
+        codes = class_codes(frame, "__target")
+        split = stratified_folds(frame, "__target", key, folds)
         labelled = split.join(
             F.broadcast(codes.select(F.col("label").alias("__class"), F.col("code").cast("double").alias("label"))),
-            ref(target) == F.col("__class"),
+            ref("__target") == F.col("__class"),
         ).drop("__class")
-    data = cut_lineage(labelled.drop(target))
+    data = cut_lineage(labelled.drop("__target"))
     n_rows = data.count()
     encoder = Encoder(numeric, categorical).fit_levels(data)
     whole = (fill_values(data, numeric, categorical), None)
     whole = (whole[0], fit_scale(impute(data, whole[0]), numeric))
     names = regressors() if task == REGRESSION else classifiers()
 
-    predictions = None
-    for fold in range(folds):
+    def run_fold(fold: int) -> DataFrame:
         train, test = data.where(F.col("fold") != fold), data.where(F.col("fold") == fold)
         fills = whole[0] if fit_once else fill_values(train, numeric, categorical)
         scale = whole[1] if fit_once else fit_scale(impute(train, fills), numeric)
         train_x = _weighted(encoder.vectors(impute(train, fills), scale), task).persist()
         test_x = encoder.vectors(impute(test, fills), scale)
+        parts = []
         for name in names:
             model = _estimator(name, task, train_x).fit(train_x)
             scored = model.transform(test_x)
@@ -159,10 +160,15 @@ def train_baseline(
                 if task == REGRESSION
                 else F.element_at(vector_to_array("probability"), -1)
             )
-            part = scored.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prediction", score.alias("score"))
-            predictions = part if predictions is None else predictions.unionByName(part)
+            parts.append(
+                scored.select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "label", "prediction", score.alias("score"))
+            )
         train_x.unpersist()
-    predictions = cut_lineage(predictions)
+        return reduce(DataFrame.unionByName, parts)
+
+    # The folds are independent, so a few of them are fitted side by side.
+    scored = together({f"fold {i}": (lambda i=i: run_fold(i)) for i in range(folds)}, at_once=3)
+    predictions = cut_lineage(reduce(DataFrame.unionByName, scored.values()))
     per_fold = fold_metrics(predictions, task, ["model", "fold"], positive=1.0)
 
     final = _weighted(encoder.vectors(impute(data, whole[0]), whole[1]), task)

@@ -14,11 +14,14 @@ from tableprobe.functions.columns import is_numeric, is_temporal, nan_to_null, r
 from tableprobe.operators.categorical import unpivot_text
 from tableprobe.operators.order_stats import bin_of, rank_bin_edges
 from tableprobe.operators.sampling import PROFILE_SAMPLE, TRAINING_SAMPLE, random_sample
+from tableprobe.session import cut_lineage
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
 MI_BINS = 16
 NATIVE_PAIR_COLUMNS = 14
 SPLITTERS = 256
+SPLITTER_LENGTH = 64
+ORDERED_VALUES = 50_000
 LATE = 4.0e18  # beyond any time in microseconds: where a missing time is put
 
 
@@ -228,7 +231,7 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
     number_edges = rank_bin_edges(
         filled, [c for c in names if c not in few and c not in texts] + ([target] if y_binned else []), bins
     )
-    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins)
+    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins, approx)
     cells = []
     for c in names:
         value = ref(c)
@@ -275,11 +278,12 @@ def information(binned: DataFrame, names: list[str]) -> DataFrame:
     return summed.groupBy("column").agg(F.greatest(F.lit(0.0), mi).alias("mi"))
 
 
-def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[str]]:
+def text_bin_edges(df: DataFrame, columns: list[str], bins: int, distinct: dict[str, int] | None = None) -> dict[str, list[str]]:
     """Edges of equal-count bins over the sorted order of text columns, exact.
 
-    Value counts are split at a bounded number of splitters drawn from the distinct values;
-    only the pieces that hold a wanted rank are then put in order.
+    Values are counted first. While a column has few distinct values (``distinct`` gives
+    estimates) they are put in order directly; otherwise a bounded number of splitters cuts
+    them into pieces and only the pieces that hold a wanted rank are put in order.
     """
     if not columns:
         return {}
@@ -289,34 +293,29 @@ def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, li
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    by_hash = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
-    drawn = counts.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= SPLITTERS)
-    splitters: dict[str, list[str]] = {c: [] for c in columns}
-    for row in drawn.select("column", "value").collect():
-        splitters[row["column"]].append(row["value"])
-    of_column = F.create_map(
-        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in sorted(splitters[c])]))]
-    )
-    piece = F.size(F.filter(of_column[F.col("column")], lambda s: s < F.col("value")))
-    pieces = counts.withColumn("piece", piece)
+    large = distinct is None or max(distinct.get(c, 0) for c in columns) > ORDERED_VALUES
+    pieces = counts.withColumn("piece", _piece(counts, columns) if large else F.lit(0))
+    if large:
+        pieces = cut_lineage(pieces)
     sums = pieces.groupBy("column", "piece").agg(F.sum("n").alias("n")).collect()
     wanted = []
     for c in columns:
-        mine = sorted((r["piece"], r["n"]) for r in sums if r["column"] == c)
+        mine = sorted((x["piece"], x["n"]) for x in sums if x["column"] == c)
         total = sum(n for _, n in mine)
         for j in range(1, bins):
             rank, before = -(-j * total // bins) - 1, 0
             for number, n in mine:
                 if before + n > rank:
-                    wanted.append((c, j, number, rank - before))
+                    wanted.append((c, number, rank - before))
                     break
                 before += n
-    spark = df.sparkSession
-    ranks = spark.createDataFrame(wanted, "column string, j int, piece int, rank long")
-    needed = F.broadcast(ranks.select("column", "piece").distinct())  # at most bins - 1 per column
+    ranks = F.broadcast(  # at most bins - 1 rows per column
+        df.sparkSession.createDataFrame(wanted, "column string, piece int, rank long")
+    )
+    needed = F.broadcast(ranks.select("column", "piece").distinct())
     inside = Window.partitionBy("column", "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = pieces.join(needed, ["column", "piece"], "left_semi").withColumn("upto", F.sum("n").over(inside))
-    hits = placed.join(F.broadcast(ranks), ["column", "piece"]).where(
+    hits = placed.join(ranks, ["column", "piece"]).where(
         (F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
     )
     edges: dict[str, list[str]] = {c: [] for c in columns}
@@ -325,6 +324,19 @@ def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, li
     return {c: sorted(v) for c, v in edges.items()}
 
 
+def _piece(counts: DataFrame, columns: list[str]) -> Column:
+    """Number of splitters below a value. Splitters are shortened: any text can be a boundary."""
+    by_hash = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
+    drawn = counts.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= SPLITTERS)
+    splitters: dict[str, set[str]] = {c: set() for c in columns}
+    for row in drawn.select("column", F.substring("value", 1, SPLITTER_LENGTH).alias("value")).collect():
+        splitters[row["column"]].add(row["value"])
+    of_column = F.create_map(
+        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in sorted(splitters[c])]))]
+    )
+    return F.size(F.filter(of_column[F.col("column")], lambda s: s < F.col("value")))
+
+
 def information_summary(by_column: DataFrame) -> DataFrame:
     """Maximum and mean over the features."""
     return by_column.agg(

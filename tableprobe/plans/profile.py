@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import column_groups, nan_to_null, ref
 from tableprobe.functions.dates import date_share
 from tableprobe.operators import categorical, distribution, normality, numeric, relation, structure, target as target_ops
-from tableprobe.session import cut_lineage, spread
+from tableprobe.session import cut_lineage, spread, together
 from tableprobe.sources.store import check_target
 
 
@@ -45,10 +43,7 @@ def text_date_shares(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _together(**steps: Callable[[], object]) -> dict[str, object]:
-    """Run independent Spark jobs at the same time from a few driver threads."""
-    with ThreadPoolExecutor(max_workers=max(1, min(len(steps), MAX_JOBS))) as pool:
-        running = {name: pool.submit(inheritable_thread_target(step)) for name, step in steps.items()}
-        return {name: job.result() for name, job in running.items()}
+    return together(steps)
 
 
 def profile(
@@ -205,7 +200,6 @@ def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column,
 
 
 # Rows per column are few, so the local results above become small tables again.
-MAX_JOBS = 6
 MOMENTS = ("n_finite", "mean", "std", "skewness", "kurtosis", "min", "max")
 COLUMN_FIELDS = (
     "dataset string, column string, position int, type string, kind string, is_target boolean, n_missing long, missing_pct double, "

@@ -105,7 +105,8 @@ def decision() -> Column:
 
 def decide(profiles: DataFrame) -> DataFrame:
     """Profile rows plus task_type_code, confidence, requires_ml, rule_codes."""
-    return profiles.withColumn("__d", decision()).select(*profiles.columns, "__d.*")
+    facts = profiles.drop("task_type_code", "confidence", "requires_ml", "rule_codes")
+    return facts.withColumn("__d", decision()).select(*facts.columns, "__d.*")
 
 
 def with_warnings(decided: DataFrame, flags: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from tableprobe.plans.rules import RULES, default_rules
 from tableprobe.queries.registry import Tables, query, r, union_all
 from tableprobe.queries.relations import mi_sql, r_of
 from tableprobe.queries.statistics import _TARGETS, target_facts, target_sql
+from tableprobe.session import together
 
 THRESHOLDS = {k: v for _, _, _, limits in RULES for k, v in limits.items()}
 SEVERITY = {code: severity for code, _, severity, _ in RULES}
@@ -154,7 +155,8 @@ SHOWN = ["dataset", "rule_code", "column", "method", "value", "threshold", "seve
 @query("quality_flags", "Q1 Q2 Q3 Q4 Q5 Q6 Q7 Q8 Q9 Q10 Q11 Q12 A23 J1 T2", shown_sql(union_all([flags_sql(a) for a in AUDITED])))
 def all_flags(t: Tables) -> DataFrame:
     """All twelve rules over full profiles of seven tables, worst severity first."""
-    flags = reduce(DataFrame.unionByName, [flags_of(t, a) for a in AUDITED])
+    parts = together({a.name: (lambda a=a: flags_of(t, a)) for a in AUDITED}, at_once=4)
+    flags = reduce(DataFrame.unionByName, parts.values())
     return flags.orderBy(severity_rank(F.col("severity")), "dataset", "rule_code", "column").select(*SHOWN)
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -67,3 +70,10 @@ def spread(df: DataFrame) -> DataFrame:
     if stored_bytes(df) > SMALL_TABLE_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores).persist()
+
+
+def together(steps: dict[str, Callable[[], object]], at_once: int = 6) -> dict[str, object]:
+    """Run independent Spark jobs at the same time from a few driver threads."""
+    with ThreadPoolExecutor(max_workers=max(1, min(len(steps), at_once))) as pool:
+        running = {name: pool.submit(inheritable_thread_target(step)) for name, step in steps.items()}
+        return {name: job.result() for name, job in running.items()}
