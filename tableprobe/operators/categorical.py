@@ -67,11 +67,9 @@ def top_values(counts: DataFrame, k: int = TOP_CATEGORIES, group: str = "column"
 def top_with_rest(counts: DataFrame, k: int = TOP_CATEGORIES, group: str = "column") -> DataFrame:
     """:func:`top_values` and, per column, the count of all other values."""
     top = top_values(counts, k, group)
-    totals = counts.groupBy(group).agg(F.sum("n").alias("total"))
-    shown = top.groupBy(group).agg(F.sum("n").alias("shown"))
-    rest = totals.join(shown, group).select(
-        group, (F.col("total") - F.col("shown")).alias("other_count")
-    )
+    # The sum over all values and the sum over the shown ones meet in one small aggregate.
+    sums = counts.select(group, F.col("n").alias("rest")).unionByName(top.select(group, (-F.col("n")).alias("rest")))
+    rest = sums.groupBy(group).agg(F.sum("rest").alias("other_count"))
     return top.join(rest, group).select(group, "rank", "value", "n", "other_count")
 
 

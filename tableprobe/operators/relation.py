@@ -205,8 +205,10 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
         (ref(target).cast("double") if y_number else ref(target).cast("string")).alias(target),
     )
     names = [f.name for f in features]
+    # Distinct values are estimated on hashes: no number has to be written out as text.
+    hashes = filled.select(*[F.xxhash64(ref(c)).alias(c) for c in [*names, target]])
     estimates = (
-        unpivot_text(filled, [*names, target])
+        hashes.unpivot([], [ref(c) for c in hashes.columns], "column", "value")
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("value").alias("d"))
         .collect()

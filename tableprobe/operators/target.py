@@ -74,6 +74,17 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     return value_counts(df.select(ref(target)), [target]).select(F.col("value").alias("label"), "n")
 
 
+MAX_MAP_CLASSES = 10_000
+
+
+def class_map(classes: DataFrame) -> DataFrame:
+    """One row with ``map<label, n>``, labels in order; refused for more than 10 000 classes."""
+    if classes.limit(MAX_MAP_CLASSES + 1).count() > MAX_MAP_CLASSES:
+        raise ValueError(f"more than {MAX_MAP_CLASSES} classes; read the counts as rows")
+    entries = F.array_sort(F.collect_list(F.struct("label", "n")))
+    return classes.agg(F.map_from_entries(entries).alias("value_counts"))
+
+
 def with_target(df: DataFrame, target: str) -> DataFrame:
     """Rows whose target is known."""
     return nan_to_null(df).where(ref(target).isNotNull())

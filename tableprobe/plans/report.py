@@ -70,18 +70,24 @@ def importance_table(importances: DataFrame) -> DataFrame:
 
 
 def result_page(results: DataFrame, flags: DataFrame) -> DataFrame:
-    """One row per dataset with its flags as a list, worst first."""
-    listed = flags.groupBy("dataset").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(severity_rank(F.col("severity")).alias("rank"), "rule_code", "column", "severity", "message")
-            )
-        ).alias("flags")
-    )
-    return results.join(listed, "dataset", "left")
+    """Result rows with their flags, one row per flag, worst first; a result without flags stays."""
+    ranked = flags.select("dataset", severity_rank(F.col("severity")).alias("severity_rank"), "severity", "rule_code", "column", "message")
+    joined = results.join(ranked, "dataset", "left")
+    return joined.orderBy("dataset", F.asc_nulls_last("severity_rank"), "rule_code", "column")
 
 
 def history(runs: DataFrame, datasets: DataFrame, results: DataFrame, number: int, size: int) -> DataFrame:
-    """A page of runs, newest first, with the dataset name and the recommended task if any."""
-    joined = runs.join(datasets, "dataset_id", "left").join(results, "analysis_id", "left")
-    return page(joined, [F.desc("started_at"), F.asc("analysis_id")], number, size)
+    """A page of runs, newest first, with the dataset name and the recommended task if any.
+
+    The page is cut first; both lookups are then filtered by the few keys of the page before
+    they are joined, so neither large table is shuffled.
+    """
+    order = [F.desc("started_at"), F.asc("analysis_id")]
+    shown = page(runs, order, number, size)
+
+    def looked_up(table: DataFrame, key: str) -> DataFrame:
+        keys = F.broadcast(shown.select(key).distinct())  # at most one page of keys
+        return table.join(keys, key, "left_semi")
+
+    joined = shown.join(looked_up(datasets, "dataset_id"), "dataset_id", "left")
+    return joined.join(looked_up(results, "analysis_id"), "analysis_id", "left").orderBy(*order)

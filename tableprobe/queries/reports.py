@@ -96,13 +96,12 @@ def importance_bars(t: Tables) -> DataFrame:
     FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1""",
 )
 def result_flags(t: Tables) -> DataFrame:
-    """Result rows with their flags listed worst first."""
+    """Result rows with their flags, worst first, counted per result."""
     flags = order_flags(t).join(rules_table(t), "rule_code").select(
         F.col("dataset_id").alias("dataset"), "rule_code", F.lit(None).cast("string").alias("column"), "severity", F.lit("").alias("message")
     )
-    results = flags.select("dataset").distinct()
-    page = report.result_page(results, flags)
-    return page.select("dataset", F.size("flags").cast("long").alias("n_flags"), F.col("flags")[0]["severity"].alias("worst"))
+    rows = report.result_page(flags.select("dataset").distinct(), flags)
+    return rows.groupBy("dataset").agg(F.count("rule_code").alias("n_flags"), F.min_by("severity", "severity_rank").alias("worst"))
 
 
 @query("whole_run", "P7 P5 A23")

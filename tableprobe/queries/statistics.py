@@ -320,6 +320,15 @@ def class_counts(t: Tables) -> DataFrame:
     return target_ops.class_counts(documents_with_labels(t), "toxic").orderBy(F.desc("n"), "label")
 
 
+@query(
+    "class_count_map",
+    "X9 A17",
+    """SELECT '{' || string_agg('"' || event_type || '":' || n, ',' ORDER BY event_type) || '}' AS value_counts FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)""",
+)
+def class_count_map(t: Tables) -> DataFrame:
+    return target_ops.class_map(target_ops.class_counts(t.events, "event_type")).select(F.to_json("value_counts").alias("value_counts"))
+
+
 def top_sql(c: str, table: str, k: int) -> str:
     return f"""SELECT '{c}' AS "column", rn::INTEGER AS rank, v AS value, n, (total - shown)::BIGINT AS other_count FROM (
       SELECT v, n, rn, sum(n) OVER () AS total, sum(CASE WHEN rn <= {k} THEN n ELSE 0 END) OVER () AS shown FROM (
