@@ -360,7 +360,7 @@ def candidate_profiles(t: Tables) -> DataFrame:
 
 
 _FACTS = union_all([target_sql(*x) for x in _TARGETS])
-_DECIDED = f"""SELECT concat_ws('.', t, c) AS dataset, CASE
+_DECIDED = f"""SELECT concat_ws('.', t, c) AS dataset, n_rows, CASE
   WHEN c IS NULL AND n_cols > 10 THEN 'CLUSTERING|0.8|false|NO_TARGET_HIGH_DIM,DIMENSIONALITY_REDUCTION'
   WHEN c IS NULL THEN 'CLUSTERING|0.9|false|NO_TARGET_LOW_DIM'
   WHEN num AND u <= 2 THEN 'BINARY_CLASSIFICATION|0.95|false|NUMERIC_BINARY_TARGET'
@@ -394,8 +394,8 @@ def task_recommendations(t: Tables) -> DataFrame:
 @query(
     "warned_recommendations",
     "R17 U2",
-    f"""SELECT dataset, task_type_code, confidence, rule_codes || CASE WHEN dataset LIKE 'supplier.%' AND (SELECT count(*) FROM supplier) < 100 OR dataset = 'region' THEN ',SMALL_DATASET' ELSE '' END AS rule_codes
-    FROM ({_SHOWN_DECISION} FROM ({_DECIDED}))""",
+    f"""SELECT dataset, task_type_code, confidence, rule_codes || CASE WHEN n_rows < 100 THEN ',SMALL_DATASET' ELSE '' END AS rule_codes
+    FROM ({_SHOWN_DECISION}, n_rows FROM ({_DECIDED}))""",
 )
 def warned_recommendations(t: Tables) -> DataFrame:
     """Critical flags are appended as warnings; task and confidence stay."""

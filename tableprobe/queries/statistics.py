@@ -465,13 +465,12 @@ def training_sample(t: Tables) -> DataFrame:
 @query(
     "sampling_record",
     "T7",
-    """SELECT 'lineitem' AS "table", true AS sampled, 50000::BIGINT AS sample_size, count(*) AS original_size FROM lineitem
+    """SELECT 'lineitem' AS "table", count(*) > 50000 AS sampled, least(count(*), 50000)::BIGINT AS sample_size, count(*) AS original_size FROM lineitem
     UNION ALL SELECT 'orders', false, count(*), count(*) FROM orders""",
 )
 def sampling_record(t: Tables) -> DataFrame:
     lines = t.lineitem.withColumn("key", F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"))
-    n = lines.count()
-    _, one = sampling.sampled(lines, "key", threshold=min(n - 1, 50_000), size=min(n - 1, 50_000))
+    _, one = sampling.sampled(lines, "key")
     _, two = sampling.sampled(t.orders, "o_orderkey", threshold=10**9)
     return one.withColumn("table", F.lit("lineitem")).unionByName(two.withColumn("table", F.lit("orders")))
 
