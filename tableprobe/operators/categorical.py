@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tableprobe.functions.columns import nan_to_null, ref
 
 TOP_CATEGORIES = 20
+LONG_TEXT = 64
+LONG_MARK = "\u0001md5:"
 
 
 def unpivot_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -27,6 +29,41 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def value_key(value: Column) -> Column:
+    """The value itself, or a mark and its md5 when it is a long text."""
+    return F.when(F.length(value) <= LONG_TEXT, value).otherwise(F.concat(F.lit(LONG_MARK), F.md5(value.cast("binary"))))
+
+
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`value_counts` with long texts replaced by their key.
+
+    Enough for entropy and cardinality, and a column of whole documents shuffles as short
+    keys. :func:`with_long_texts` brings the texts back where a few of them are shown.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long")
+    long = unpivot_text(nan_to_null(df), columns).where(F.col("value").isNotNull())
+    return long.groupBy("column", value_key(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_long_texts(rows: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """A few ``(column, value, …)`` rows with keys replaced by the texts they stand for."""
+    keys = F.broadcast(  # callers pass a bounded number of rows per column
+        rows.where(F.col("value").startswith(LONG_MARK)).select("column", F.col("value").alias("__key"))
+    )
+    long = unpivot_text(df, columns).where(F.length("value") > LONG_TEXT)
+    found = (
+        long.select("column", F.col("value").alias("__text"), value_key(F.col("value")).alias("__key"))
+        .join(keys, ["column", "__key"])
+        .groupBy("column", "__key")
+        .agg(F.first("__text").alias("__text"))
+    )
+    joined = rows.join(F.broadcast(found), (rows["column"] == found["column"]) & (rows["value"] == found["__key"]), "left")
+    return joined.select(
+        *[F.coalesce(F.col("__text"), rows["value"]).alias("value") if c == "value" else rows[c] for c in rows.columns]
+    )
+
+
 def entropy_of(n: Column, base_log=F.log2) -> Column:
     """Entropy of counts inside an aggregate, without knowing the total beforehand."""
     total = F.sum(n)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import column_groups, finite, is_numeric, nan_to_null, ref
-from tableprobe.operators.categorical import entropies, modes, value_counts, with_cardinality
+from tableprobe.operators.categorical import distinct_counts, entropies, modes, value_counts, with_cardinality
 from tableprobe.operators.order_stats import quantiles
 
 # Fixed value: categories at or above this share of distinct values are left out.
@@ -19,7 +19,7 @@ MAX_LEVELS = 10_000
 
 def cardinality(df: DataFrame, columns: list[str]) -> dict[str, float]:
     """Distinct values over rows for every named column."""
-    rows = with_cardinality(entropies(value_counts(df, columns)), df.count()).collect()
+    rows = with_cardinality(entropies(distinct_counts(df, columns)), df.count()).collect()
     found = {r["column"]: r["cardinality_ratio"] for r in rows}
     return {c: found.get(c, 0.0) for c in columns}
 
@@ -131,7 +131,7 @@ class Encoder:
         self.indexer = None
         self.names = list(self.numeric)
         if self.categorical:
-            sizes = {r["column"]: r["n_distinct"] for r in entropies(value_counts(df, self.categorical)).collect()}
+            sizes = {r["column"]: r["n_distinct"] for r in entropies(distinct_counts(df, self.categorical)).collect()}
             wide = [c for c, n in sizes.items() if n > MAX_LEVELS]
             if wide:
                 raise ValueError(f"one-hot of {wide} needs more than {MAX_LEVELS} levels; leave the column out")

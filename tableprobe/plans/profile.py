@@ -71,7 +71,7 @@ def profile(
         moments=lambda: numeric.moments(data, numbers).collect(),
         copies=lambda: structure.duplicates(data).first(),
         # The value counts feed entropy, cardinality and the category tables: computed once.
-        counts=lambda: cut_lineage(categorical.value_counts(data, categories)),
+        counts=lambda: cut_lineage(categorical.distinct_counts(data, categories)),
         information=lambda: dict(relation.mutual_information(data, target).collect()) if target else {},
     )
     sizes, moment_rows, counts = first["sizes"], first["moments"], first["counts"]
@@ -135,6 +135,10 @@ def profile(
     per_column = spark.createDataFrame(rows, COLUMN_FIELDS)
     table = _table_row(spark, dataset, target, n_rows, sizes, first["copies"], second["facts"], per_column, pair_rows, information, with_target)
     name = F.lit(dataset).alias("dataset")
+    top = categorical.top_with_rest(counts)
+    long_texts = [c for c in texts if (sizes["longest"][c] or 0) > categorical.LONG_TEXT]
+    if long_texts:
+        top = categorical.with_long_texts(cut_lineage(top), data, long_texts)
     classes = (
         target_ops.class_counts(data, target)
         if target and second["facts"]["target_kind"] == "categorical"
@@ -150,7 +154,7 @@ def profile(
         columns=per_column,
         correlations=pairs.select(name, "*"),
         histograms=distribution.histograms(data, numbers, moment_rows=moment_rows).select(name, "*"),
-        categories=categorical.top_with_rest(counts).select(name, "*"),
+        categories=top.select(name, "*"),
         classes=classes.select(name, "*"),
         cached=data,
     )
@@ -164,11 +168,13 @@ def _sizes(data: DataFrame, texts: list[str]) -> dict:
         *row,
         *[F.count(ref(c)).alias(f"present_{i}") for i, c in enumerate(columns)],
         *[date_share(ref(c)).alias(f"date_{i}") for i, c in enumerate(texts)],
+        *[F.max(F.length(ref(c))).alias(f"longest_{i}") for i, c in enumerate(texts)],
     ).first()
     return {
         "n_rows": found["n_rows"],
         "memory_mb": found["memory_mb"],
         "present": {c: found[f"present_{i}"] for i, c in enumerate(columns)},
+        "longest": {c: found[f"longest_{i}"] for i, c in enumerate(texts)},
         "dates": {c: found[f"date_{i}"] for i, c in enumerate(texts)},
     }
 

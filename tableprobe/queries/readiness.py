@@ -283,7 +283,7 @@ def rule_too_few_features(t: Tables) -> DataFrame:
 def _variation(df: DataFrame, a: Audited) -> DataFrame:
     groups = column_groups(df, a.target)
     numbers = numeric.moments(df, groups["numeric"]).select("column", "mean", "std")
-    texts = categorical.entropies(categorical.value_counts(df, groups["categorical"])).select("column", "normalized_entropy")
+    texts = categorical.entropies(categorical.distinct_counts(df, groups["categorical"])).select("column", "normalized_entropy")
     return numbers.unionByName(texts, allowMissingColumns=True)
 
 
@@ -293,7 +293,7 @@ def rule_low_variance(t: Tables) -> DataFrame:
 
 
 def _cardinality(df: DataFrame, a: Audited) -> DataFrame:
-    counts = categorical.value_counts(df, column_groups(df, a.target)["categorical"])
+    counts = categorical.distinct_counts(df, column_groups(df, a.target)["categorical"])
     return categorical.with_cardinality(categorical.entropies(counts), df.count()).select("column", "cardinality_ratio")
 
 

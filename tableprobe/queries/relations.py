@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tableprobe.functions.scalars import is_id_like, similarity
 from tableprobe.functions.vectors import FEATURE_ORDER, distance, order_fingerprint, pad
 from tableprobe.operators import preparation, relation
-from tableprobe.operators.categorical import entropies, value_counts, with_cardinality
+from tableprobe.operators.categorical import distinct_counts, entropies, value_counts, with_cardinality
 from tableprobe.operators.evaluation import class_distribution
 from tableprobe.operators.neighbours import nearest
 from tableprobe.operators.service import page
@@ -334,7 +334,7 @@ def id_like_columns(t: Tables) -> DataFrame:
     for name, columns in (("customer", ["c_name", "c_mktsegment"]), ("part", ["p_name", "p_brand", "p_type"])):
         df = getattr(t, name)
         n = df.count()
-        per = with_cardinality(entropies(value_counts(df, columns)), n)
+        per = with_cardinality(entropies(distinct_counts(df, columns)), n)
         part = per.select("column", is_id_like(F.col("cardinality_ratio"), F.lit(n)).alias("id_like"))
         out = part if out is None else out.unionByName(part)
     return out

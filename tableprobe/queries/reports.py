@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import column_groups
-from tableprobe.operators.categorical import entropies, value_counts, with_cardinality
+from tableprobe.operators.categorical import distinct_counts, entropies, value_counts, with_cardinality
 from tableprobe.operators.evaluation import top_importances
 from tableprobe.plans import report
 from tableprobe.plans.fleet import analyse
@@ -22,7 +22,7 @@ def _columns(df: DataFrame) -> DataFrame:
     groups = column_groups(df)
     kinds = [(c, k, df.columns.index(c)) for k, names in groups.items() for c in names]
     base = df.sparkSession.createDataFrame(kinds, "column string, kind string, position int")
-    ratios = with_cardinality(entropies(value_counts(df, groups["categorical"])), df.count()).select("column", "cardinality_ratio")
+    ratios = with_cardinality(entropies(distinct_counts(df, groups["categorical"])), df.count()).select("column", "cardinality_ratio")
     return base.join(ratios, "column", "left")
 
 

@@ -9,6 +9,7 @@ from tableprobe.functions.columns import finite
 from tableprobe.operators import categorical, distribution, normality, numeric, order_stats, preparation, sampling, structure
 from tableprobe.operators import target as target_ops
 from tableprobe.queries.registry import Tables, query, r, union_all
+from tableprobe.session import cut_lineage
 
 LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORDER_TEXTS = ["o_orderstatus", "o_orderpriority"]
@@ -244,12 +245,29 @@ def entropy_sql(c: str, table: str) -> str:
 
 @query("category_entropy", "A13 A14", union_all([entropy_sql(c, "orders") for c in ORDER_TEXTS]))
 def category_entropy(t: Tables) -> DataFrame:
-    return categorical.entropies(categorical.value_counts(t.orders, ORDER_TEXTS))
+    return categorical.entropies(categorical.distinct_counts(t.orders, ORDER_TEXTS))
 
 
 @query("entropy_of_ids_and_texts", "A13 A14", union_all([entropy_sql("text", "documents"), entropy_sql("lang", "documents"), entropy_sql("source", "documents")]))
 def entropy_of_ids_and_texts(t: Tables) -> DataFrame:
-    return categorical.entropies(categorical.value_counts(t.documents, ["text", "lang", "source"]))
+    return categorical.entropies(categorical.distinct_counts(t.documents, ["text", "lang", "source"]))
+
+
+@query(
+    "top_texts",
+    "A21 A22",
+    union_all(
+        [f"""SELECT '{c}' AS "column", n, (total - shown)::BIGINT AS other_count, len::INTEGER AS length FROM (
+          SELECT *, sum(n) OVER () AS total, sum(CASE WHEN rn <= 20 THEN n ELSE 0 END) OVER () AS shown FROM (
+            SELECT length({c}) AS len, n, row_number() OVER (ORDER BY n DESC, CASE WHEN length({c}) <= 64 THEN {c} ELSE chr(1) || 'md5:' || md5({c}) END) AS rn
+            FROM (SELECT {c}, count(*) AS n FROM documents GROUP BY 1))) WHERE rn <= 20 AND n > 1""" for c in ("text", "lang", "source")]
+    ),
+)
+def top_texts(t: Tables) -> DataFrame:
+    """Top values of columns that hold whole documents, counted by key."""
+    columns = ["text", "lang", "source"]
+    top = cut_lineage(categorical.top_with_rest(categorical.distinct_counts(t.documents, columns)))
+    return categorical.with_long_texts(top, t.documents, columns).select("column", "n", "other_count", F.length("value").alias("length")).where("n > 1")
 
 
 @query(
@@ -265,7 +283,7 @@ def cardinality(t: Tables) -> DataFrame:
     out = None
     for df, columns in ((t.customer, CUSTOMER_TEXTS), (documents_with_labels(t), ["quality"])):
         n_rows = df.count()
-        per = categorical.with_cardinality(categorical.entropies(categorical.value_counts(df, columns)), n_rows)
+        per = categorical.with_cardinality(categorical.entropies(categorical.distinct_counts(df, columns)), n_rows)
         part = per.select("column", "n_distinct", "cardinality_ratio", (F.col("cardinality_ratio") > 0.5).alias("high"))
         out = part if out is None else out.unionByName(part)
     return out

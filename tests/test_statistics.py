@@ -219,3 +219,13 @@ def test_class_ranks_do_not_depend_on_buckets(spark, monkeypatch):
     one = {(r["id"], r["class_rank"]) for r in sampling.rank_in_class(df, "y", "id").collect()}
     monkeypatch.setattr(sampling, "ROWS_PER_BUCKET", 50)
     assert {(r["id"], r["class_rank"]) for r in sampling.rank_in_class(df, "y", "id").collect()} == one
+
+
+def test_long_texts_are_counted_by_key_and_shown_in_full(spark):
+    long_a, long_b = "a" * 500, "a" * 499 + "b"
+    df = spark.createDataFrame([(v,) for v in [long_a] * 3 + [long_b] * 2 + ["short", None]], "t string")
+    counts = categorical.distinct_counts(df, ["t"])
+    assert max(len(r["value"]) for r in counts.collect()) < 100
+    assert categorical.entropies(counts).first()["n_distinct"] == 3
+    top = categorical.with_long_texts(categorical.top_with_rest(counts, 2), df, ["t"]).orderBy("rank").collect()
+    assert [(r["value"], r["n"], r["other_count"]) for r in top] == [(long_a, 3, 1), (long_b, 2, 1)]
