@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tableprobe.llm import query_quality  # noqa: F401
+from tableprobe.llm import query_html, query_quality  # noqa: F401
 from tableprobe.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
