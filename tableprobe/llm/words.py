@@ -46,3 +46,22 @@ def grams(hashes: np.ndarray, size: int) -> np.ndarray:
     if count <= 0:
         return np.empty(0, np.uint64)
     return chain([hashes[k : k + count] for k in range(size)])
+
+
+class RunHashes:
+    """Hashes of any run of words of a text from sums over its prefixes, modulo 2^64."""
+
+    def __init__(self, hashes: np.ndarray, multiplier: int = 0x9E3779B97F4A7C15):
+        n = len(hashes)
+        power, self.back = self._powers(multiplier, n), self._powers(pow(multiplier, -1, 1 << 64), n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(multiplier)) * power[:n], dtype=np.uint64)])
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def of(self, starts: np.ndarray, size) -> np.ndarray:
+        """Hash of the ``size`` words from each start on."""
+        return mix((self.sums[starts + size] - self.sums[starts]) * self.back[starts] + np.asarray(size).astype(np.uint64))
