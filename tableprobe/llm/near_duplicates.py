@@ -438,3 +438,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         .join(member.select(F.col("doc_").alias("j_"), F.lit(1).alias("has_"), "component_", "links_"), ["j_", "has_"], "left")
         .select("key_", F.col("n_").alias("n_shingles_"), F.coalesce("component_", "key_").alias("component_"), F.coalesce("links_", F.lit(0)).alias("links_"))
     )
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of its component, with all their columns.
+
+    Of rows with the same id one stays, as with other copies; rows without an id or without words
+    stay, for nothing is linked to them. Only the ids of rows that go are sent to the texts.
+    """
+    found = cut_lineage(near_duplicates(df, key, text, size, percent))
+    gone = found.where("key_ != component_").select(F.col("key_").alias("gone_")).distinct()
+    small = gone.count() <= BROADCAST_IDS
+    kept = df.join(F.broadcast(gone) if small else gone, df[key].cast("long") == gone["gone_"], "left_anti")
+    twice = found.where("key_ = component_ and n_shingles_ > 0").groupBy("key_").agg(F.count("*").alias("c")).where("c > 1")
+    if twice.isEmpty():
+        return kept
+    ids = twice.select(F.col("key_").alias("twice_"))
+    several = kept.join(ids, kept[key].cast("long") == ids["twice_"], "left_semi")
+    return kept.join(ids, kept[key].cast("long") == ids["twice_"], "left_anti").unionByName(several.dropDuplicates([key]))
