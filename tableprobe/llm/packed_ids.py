@@ -25,6 +25,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,7 @@ PIECE = re.compile(
 )
 
 
-# A space that does not stand alone between two words.
-ODD_SPACE = re.compile(rf"[{SPACE}] | [{SPACE}]|\A | \Z")
+WHITE = {c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{SPACE}]", c)}
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -67,6 +67,40 @@ def unpack(payload: bytes, width: int, first: int, count: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width - 1, -1, -1, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+class Numbered(dict):
+    """Numbers keys as they come; ``ids`` from ``starts[n]`` to ``starts[n + 1]`` belong to key n."""
+
+    def __init__(self):
+        self.clear()
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def clear(self) -> None:
+        super().clear()
+        self.new: list[str] = []
+        self.ids = np.empty(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+
+    def number(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
+
+    def learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of the keys in ``new``."""
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.new = []
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered keys in a row, and where those of each key end."""
+        lengths = self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[numbers] - ends + lengths, lengths)], ends
+
+
 class PieceEncoder:
     """Encodes texts through bounded tables of the words and pieces seen so far.
 
@@ -79,51 +113,45 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def _learn(self, words: set[str]) -> None:
+        self.words, self.pieces = Numbered(), Numbered()
+        self.odd = np.zeros(0, bool)
+
+    def _learn(self) -> None:
+        """Ids of the new words. A word with white space next to its cut is odd: the text that
+        has it is cut by ``PIECE`` instead."""
+        if not self.words.new:
+            return
         if len(self.pieces) > CACHED_PIECES:
             self.pieces.clear()
-        new = list(words)
-        cut = [PIECE.findall(word) for word in new]
-        fresh = list({piece for parts in cut for piece in parts if piece not in self.pieces})
-        for piece, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.pieces[piece] = tuple(encoded.ids)
-        encoded = [[i for piece in parts for i in self.pieces[piece]] for parts in cut]
-        base = len(self.number)
-        self.number.update(zip(new, range(base, base + len(new))))
-        lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        ids = np.fromiter((i for e in encoded for i in e), np.uint32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        odd = np.fromiter((word[-1:] in WHITE or word[1:2] in WHITE for word in self.words.new), bool, len(self.words.new))
+        self.odd = np.concatenate([self.odd, odd])
+        cut = list(map(PIECE.findall, self.words.new))
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = self.pieces.number(list(chain.from_iterable(cut)))
+        if self.pieces.new:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(self.pieces.new, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            self.pieces.learn(np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths)
+        ids, ends = self.pieces.gather(flat)
+        self.words.learn(ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.number) > CACHED_PIECES:
-            self.clear()
-        split = []
+        if len(self.words) > CACHED_PIECES:
+            self.words.clear()
+            self.odd = np.zeros(0, bool)
+        numbers = []
         for text in texts:
-            words = text.split(" ")
-            if ODD_SPACE.search(text):
-                words = PIECE.findall(text)
-            else:
-                words = [words[0], *(" " + word for word in words[1:])]
-            split.append(words)
-        self._learn({word for words in split for word in words if word not in self.number})
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-            lengths = self.starts[at + 1] - self.starts[at]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.arange(total) + np.repeat(self.starts[at] - ends + lengths, lengths)])
-        return out
+            cut = PIECE.findall(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
+            numbers.append(self.words.number(cut))
+        self._learn()
+        for n, text in enumerate(texts):
+            if self.odd[numbers[n]].any():
+                numbers[n] = self.words.number(PIECE.findall(text))
+        self._learn()
+        counts = np.array([len(n) for n in numbers], np.int64)
+        ids, ends = self.words.gather(np.concatenate(numbers) if numbers else np.empty(0, np.int64))
+        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
 
 
 def encoder(path: str) -> PieceEncoder:
