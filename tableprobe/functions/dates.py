@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date spellings that are recognised, and the longest text that can be one.
+# Date spellings that are recognised.
 DATE_FORMATS = (
     "yyyy-MM-dd",
     "yyyy-MM-dd HH:mm:ss",
@@ -15,14 +15,12 @@ DATE_FORMATS = (
     "MM/dd/yyyy",
     "dd/MM/yyyy",
 )
-LONGEST = 32
 
 
 def parsed_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """The time a text names under the first format that fits, else NULL."""
     value = F.trim(text)
-    short = F.when((F.length(value) >= 8) & (F.length(value) <= LONGEST), value)
-    return F.coalesce(*[F.try_to_timestamp(short, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats])
 
 
 def date_share(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

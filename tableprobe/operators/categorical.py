@@ -30,8 +30,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def value_key(value: Column) -> Column:
-    """The value itself, or a mark and its md5 when it is a long text."""
-    return F.when(F.length(value) <= LONG_TEXT, value).otherwise(F.concat(F.lit(LONG_MARK), F.md5(value.cast("binary"))))
+    """The value itself, or a mark and its md5 when it is a long text (or begins with the mark)."""
+    return F.when((F.length(value) <= LONG_TEXT) & ~value.startswith(LONG_MARK), value).otherwise(F.concat(F.lit(LONG_MARK), F.md5(value.cast("binary"))))
 
 
 def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def with_long_texts(rows: DataFrame, df: DataFrame, columns: list[str]) -> DataF
     keys = F.broadcast(  # callers pass a bounded number of rows per column
         rows.where(F.col("value").startswith(LONG_MARK)).select("column", F.col("value").alias("__key"))
     )
-    long = unpivot_text(df, columns).where(F.length("value") > LONG_TEXT)
+    long = unpivot_text(df, columns).where((F.length("value") > LONG_TEXT) | F.col("value").startswith(LONG_MARK))
     found = (
         long.select("column", F.col("value").alias("__text"), value_key(F.col("value")).alias("__key"))
         .join(keys, ["column", "__key"])
@@ -91,13 +91,19 @@ def with_cardinality(per_column: DataFrame, n_rows: int | Column) -> DataFrame:
     )
 
 
+def tie_order(value: Column) -> Column:
+    """Order of equally frequent values: by md5, which a value and its key share."""
+    key = F.substring(value, len(LONG_MARK) + 1, 32)
+    return F.when(value.startswith(LONG_MARK), key).otherwise(F.md5(value.cast("binary")))
+
+
 def top_values(counts: DataFrame, k: int = TOP_CATEGORIES, group: str = "column") -> DataFrame:
-    """The ``k`` most frequent values per column, ties by value.
+    """The ``k`` most frequent values per column, ties by the md5 of the value.
 
     The filter on the row number right above the window lets Spark keep only ``k`` rows per
     column and task before the shuffle.
     """
-    window = Window.partitionBy(group).orderBy(F.desc("n"), F.asc("value"))
+    window = Window.partitionBy(group).orderBy(F.desc("n"), tie_order(F.col("value")))
     return counts.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 256
+PIECES = 256  # at least; more for many scores
+SCORES_PER_PIECE = 1_000_000
 
 BINARY = "BINARY_CLASSIFICATION"
 MULTICLASS = "MULTICLASS_CLASSIFICATION"
@@ -86,7 +89,8 @@ def roc_auc(predictions: DataFrame, positive, keys: list[str]) -> DataFrame:
     scores = predictions.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
         F.count(F.when(is_positive, 1)).alias("pos"), F.count(F.when(~is_positive, 1)).alias("neg")
     )
-    shares = [F.lit(i / PIECES) for i in range(1, PIECES)]
+    pieces_wanted = max(PIECES, math.ceil(scores.count() / SCORES_PER_PIECE))
+    shares = [F.lit(i / pieces_wanted) for i in range(1, pieces_wanted)]
     cuts = scores.agg(F.percentile_approx("score", F.array(*shares), F.lit(10_000))).first()[0] or []
     cut_list = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<double>")
     pieces = scores.withColumn("piece", F.size(F.filter(cut_list, lambda x: x < F.col("score"))))
@@ -129,7 +133,12 @@ def class_distribution(table: DataFrame, label: str) -> DataFrame:
 
 
 def top_importances(importances: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` largest importances with the bar width in percent of the largest."""
-    top = importances.orderBy(F.desc("importance"), F.asc("feature")).limit(k)
-    share = F.try_divide(F.col("importance"), F.max("importance").over(Window.partitionBy()))
+    """The ``k`` largest importances of each model with the bar width in percent of its largest.
+
+    A table without a ``model`` column is one model.
+    """
+    model = [F.col("model")] if "model" in importances.columns else [F.lit(1)]
+    order = Window.partitionBy(*model).orderBy(F.desc("importance"), F.asc("feature"))
+    top = importances.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__k")
+    share = F.try_divide(F.col("importance"), F.max("importance").over(Window.partitionBy(*model)))
     return top.withColumn("width_pct", F.coalesce(100 * share, F.lit(0.0)))

@@ -1,130 +1,36 @@
-"""Shapiro–Wilk normality test per column on at most 5 000 values.
+"""Normality of a column from its moments: the Jarque–Bera test over all rows.
 
-W and its p-value follow Royston's published approximation (Applied Statistics algorithm
-AS R94, 1995).
+JB = n / 6 · (skewness² + kurtosis² / 4), with p = exp(−JB / 2). The moments of a profile are all
+it needs, so it costs no scan of its own and does not depend on the layout of the files.
 """
 
 from __future__ import annotations
 
-import math
-from statistics import NormalDist
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import finite, ref
-from tableprobe.operators.sampling import hash_level
+from tableprobe.operators.numeric import moments
 
-# Sample limit and significance level of the test.
-MAX_VALUES = 5_000
+# Fixed value: significance level of the test.
 ALPHA = 0.05
 
-# Polynomial coefficients of AS R94, constant term first.
-WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
-WEIGHT_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-SMALL_MEAN = (0.5440, -0.39978, 0.025054, -6.714e-4)
-SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
-LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
-LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
-SMALL_GAMMA = (-2.273, 0.459)
-
-
-def _poly(coefficients: tuple, x: float) -> float:
-    return sum(c * x**k for k, c in enumerate(coefficients))
-
-
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float] | None:
-    """(W, p) of at least three values that are not all equal, else None."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = x.size
-    if n < 3 or x[0] == x[-1]:
-        return None
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        normal = NormalDist()
-        m = np.array([normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        total, u = float(m @ m), 1.0 / math.sqrt(n)
-        last = _poly(WEIGHT_LAST, u) + m[-1] / math.sqrt(total)
-        a = np.empty(n)
-        if n <= 5:
-            scale = (total - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[1:-1] = m[1:-1] / math.sqrt(scale)
-        else:
-            following = _poly(WEIGHT_NEXT, u) + m[-2] / math.sqrt(total)
-            scale = (total - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * following**2)
-            a[2:-2] = m[2:-2] / math.sqrt(scale)
-            a[-2], a[1] = following, -following
-        a[-1], a[0] = last, -last
-    centred = x - x.mean()
-    w = min(1.0, float(a @ x) ** 2 / float(centred @ centred))
-    return w, _p_value(w, n)
 
+def jarque_bera(n: Column, skewness: Column, kurtosis: Column) -> Column:
+    """The statistic; ``kurtosis`` is the excess. NULL without both moments."""
+    return n / 6 * (skewness * skewness + kurtosis * kurtosis / 4)
 
-def _p_value(w: float, n: int) -> float:
-    if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return min(1.0, max(0.0, p))
-    if w >= 1.0:
-        return 1.0
-    y, log_n = math.log(1 - w), math.log(n)
-    if n <= 11:
-        gamma = _poly(SMALL_GAMMA, n)
-        if y >= gamma:
-            return 1e-99
-        y = -math.log(gamma - y)
-        mean, sd = _poly(SMALL_MEAN, n), math.exp(_poly(SMALL_LOG_SD, n))
-    else:
-        mean, sd = _poly(LARGE_MEAN, log_n), math.exp(_poly(LARGE_LOG_SD, log_n))
-    return 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
 
+def of_moments(rows: DataFrame) -> DataFrame:
+    """``(column, jb, p_value, is_normal)`` of rows of :func:`moments`.
 
-def _test_column(group: pd.DataFrame) -> pd.DataFrame:
-    tested = shapiro_wilk(group["value"].to_numpy())
-    w, p = tested if tested else (None, None)
-    return pd.DataFrame({"column": [group["column"].iloc[0]], "w": [w], "p_value": [p]})
-
-
-def _may_be_chosen(long: DataFrame) -> Column:
-    """Rows whose hash is short enough to be among the smallest; about 2 · 5 000 per column."""
-    level = hash_level(F.abs(F.shiftright("h", 1)))
-    counts = long.groupBy("column", level.alias("level")).count().orderBy("column", "level").collect()
-    last: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    for row in counts:  # at most 64 levels per column
-        if seen.get(row["column"], 0) < MAX_VALUES:
-            seen[row["column"]] = seen.get(row["column"], 0) + row["count"]
-            last[row["column"]] = row["level"]
-    if not last:
-        return F.lit(False)
-    limits = F.create_map(*[F.lit(x) for kv in last.items() for x in kv])
-    return level <= limits[F.col("column")]
-
+    Fewer than four values or a constant: no p-value and not normal.
+    """
+    jb = jarque_bera(F.col("n_finite"), F.col("skewness"), F.col("kurtosis"))
+    tested = rows.withColumn("jb", F.when(F.col("min") < F.col("max"), jb))
+    p = F.exp(-F.col("jb") / 2)
+    return tested.select("column", "jb", p.alias("p_value"), F.coalesce(p > ALPHA, F.lit(False)).alias("is_normal"))
 
-def normality(df: DataFrame, columns: list[str], n_rows: int | None = None, key: str | None = None) -> DataFrame:
-    """``(column, w, p_value, is_normal)``; fewer than three values or a constant: not normal.
 
-    Above the limit a column is represented by 5 000 of its values, those of the rows with
-    the smallest hash (of ``key``, or of the numbers of the row and its place in the files).
-    """
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], "column string, w double, p_value double, is_normal boolean")
-    hashed = F.xxhash64(ref(key)) if key else F.xxhash64(*[ref(c) for c in columns], F.monotonically_increasing_id())
-    keyed = df.select(hashed.alias("h"), *[finite(ref(c)).alias(c) for c in columns])
-    long = keyed.unpivot(["h"], [ref(c) for c in columns], "column", "value").where(F.col("value").isNotNull())
-    if n_rows is None or n_rows > 20 * MAX_VALUES:
-        long = long.where(_may_be_chosen(long))
-    window = Window.partitionBy("column").orderBy(F.abs(F.shiftright("h", 1)), "h", "value")
-    chosen = long.withColumn("k", F.row_number().over(window)).where(F.col("k") <= MAX_VALUES)
-    tested = (
-        chosen.select("column", "value")
-        .groupBy("column")
-        .applyInPandas(_test_column, "column string, w double, p_value double")
-    )
-    every = spark.createDataFrame([(c,) for c in columns], "column string")
-    return every.join(tested, "column", "left").withColumn(
-        "is_normal", F.coalesce(F.col("p_value") > ALPHA, F.lit(False))
-    )
+def normality(df: DataFrame, columns: list[str]) -> DataFrame:
+    """:func:`of_moments` of the numeric columns of ``df``, in one scan."""
+    return of_moments(moments(df, columns))

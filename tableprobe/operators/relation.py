@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tableprobe.functions.columns import is_numeric, is_temporal, nan_to_null, ref
 from tableprobe.operators.categorical import unpivot_text
 from tableprobe.operators.order_stats import bin_of, rank_bin_edges
-from tableprobe.operators.sampling import PROFILE_SAMPLE, TRAINING_SAMPLE, random_sample
 from tableprobe.session import cut_lineage
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
@@ -213,8 +212,9 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
         .agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("value").alias("d"))
         .collect()
     )
-    if not estimates:
-        return df.sparkSession.createDataFrame([(c, 0.0) for c in names], "column string, mi double")
+    if not estimates or estimates[0]["rows"] < 2:
+        # One known row says nothing about a relation.
+        return df.sparkSession.createDataFrame([(c, None) for c in names], "column string, mi double")
     approx = {e["column"]: e["d"] for e in estimates}
     limit = max(MAX_CLASS_VALUES, int(MAX_CLASS_SHARE * estimates[0]["rows"]))
     check = [c for c in names if approx.get(c, 0) <= 4 * bins]
@@ -346,116 +346,3 @@ def information_summary(by_column: DataFrame) -> DataFrame:
         F.avg("mi").alias("target_mutual_information_mean"),
     )
 
-
-# ---- the nearest-neighbour estimate -------------------------------------------------
-
-NEIGHBOURS = 3
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    """Digamma of positive whole numbers: harmonic numbers less Euler's constant."""
-    top = int(x.max())
-    harmonic = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, top + 1))])
-    return harmonic[x.astype(int) - 1] - 0.5772156649015329
-
-
-def _class_information(x: np.ndarray, y: np.ndarray, k: int) -> float:
-    """Ross' estimator (2014) for a number and a class.
-
-    For every value: the distance to its k-th neighbour inside its class, then how many
-    values of any class lie within it. Neighbours in one dimension are next to each other in
-    sorted order, so nothing is compared with everything.
-    """
-    radius, near, size = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
-    for label in np.unique(y):
-        at = np.flatnonzero(y == label)
-        size[at] = len(at)
-        if len(at) < 2:
-            continue
-        kk = min(k, len(at) - 1)
-        order = at[np.argsort(x[at], kind="stable")]
-        v = x[order]
-        best = np.full(len(v), np.inf)
-        for left in range(kk + 1):  # windows of kk + 1 neighbours that contain the value
-            low, high = np.arange(len(v)) - left, np.arange(len(v)) + kk - left
-            ok = (low >= 0) & (high < len(v))
-            low, high = np.clip(low, 0, len(v) - 1), np.clip(high, 0, len(v) - 1)
-            best = np.where(ok, np.minimum(best, np.maximum(v - v[low], v[high] - v)), best)
-        radius[order], near[order] = np.nextafter(best, 0), kk
-    kept = near > 0
-    x, radius, near, size = x[kept], radius[kept], near[kept], size[kept]
-    if not len(x):
-        return 0.0
-    every = np.sort(x)
-    within = np.searchsorted(every, x + radius, "right") - np.searchsorted(every, x - radius, "left")
-    mi = _digamma(np.array([len(x)]))[0] + _digamma(near).mean() - _digamma(size).mean() - _digamma(np.maximum(within, 1)).mean()
-    return max(0.0, float(mi))
-
-
-def _number_information(x: np.ndarray, y: np.ndarray, k: int, chunk: int = 256) -> float:
-    """Kraskov's first estimator (2004) for two numbers."""
-    n, total = len(x), 0.0
-    if n <= k:
-        return 0.0
-    xs, ys = np.sort(x), np.sort(y)
-    for start in range(0, n, chunk):
-        part = slice(start, start + chunk)
-        gap = np.maximum(np.abs(x[part, None] - x[None, :]), np.abs(y[part, None] - y[None, :]))
-        radius = np.nextafter(np.partition(gap, k, axis=1)[:, k], 0)
-        nx = np.searchsorted(xs, x[part] + radius, "right") - np.searchsorted(xs, x[part] - radius, "left")
-        ny = np.searchsorted(ys, y[part] + radius, "right") - np.searchsorted(ys, y[part] - radius, "left")
-        total += (_digamma(np.maximum(nx, 1)) + _digamma(np.maximum(ny, 1))).sum()
-    mi = _digamma(np.array([n]))[0] + _digamma(np.array([k]))[0] - total / n
-    return max(0.0, float(mi))
-
-
-def neighbour_information(
-    df: DataFrame, target: str, key: str, k: int = NEIGHBOURS, sample_rows: int | None = None
-) -> DataFrame:
-    """``(column, mi)`` by nearest neighbours on a sample of rows, one task per feature.
-
-    This estimator needs all values of a feature together, so it works on the profile sample
-    (at most 50 000 rows for a class target, 5 000 for a numeric one); use
-    :func:`mutual_information` for whole tables. Text is coded by its sorted order and numbers
-    are scaled and shaken by a tiny reproducible amount, so that ties do not count as
-    neighbours.
-    """
-    known = nan_to_null(df).where(ref(target).isNotNull())
-    y_field = next(f for f in df.schema.fields if f.name == target)
-    n_rows = known.count()
-    distinct = known.select(ref(target)).distinct().limit(max(MAX_CLASS_VALUES, int(MAX_CLASS_SHARE * n_rows)) + 1).count()
-    as_number = is_numeric(y_field.dataType) and distinct > max(MAX_CLASS_VALUES, int(MAX_CLASS_SHARE * n_rows))
-    size = sample_rows or (TRAINING_SAMPLE if as_number else PROFILE_SAMPLE)
-    sample = random_sample(known, key, size)
-    features = [f for f in df.schema.fields if f.name not in (target, key)]
-    cells = [
-        F.struct(
-            F.lit(f.name).alias("column"),
-            (F.coalesce(ref(f.name).cast("double"), F.lit(0.0)) if is_numeric(f.dataType) else F.lit(None).cast("double")).alias("number"),
-            (F.lit(None).cast("string") if is_numeric(f.dataType) else F.coalesce(ref(f.name).cast("string"), F.lit("MISSING"))).alias("text"),
-        )
-        for f in features
-    ]
-    long = sample.select(
-        (ref(target).cast("double") if as_number else ref(target).cast("string")).alias("y"), F.inline(F.array(*cells))
-    )
-
-    def estimate(group: pd.DataFrame) -> pd.DataFrame:
-        shake = np.random.default_rng(42)
-        group = group.sort_values(["y", "number", "text"], kind="stable")
-        if group["number"].notna().all():
-            x = group["number"].to_numpy(dtype=float)
-        else:
-            x = pd.factorize(group["text"], sort=True)[0].astype(float)
-
-        def shaken(v: np.ndarray) -> np.ndarray:
-            v = v / (v.std() or 1.0)
-            return v + 1e-10 * max(1.0, np.abs(v).mean()) * shake.standard_normal(len(v))
-
-        if as_number:
-            mi = _number_information(shaken(x), shaken(group["y"].to_numpy(dtype=float)), k)
-        else:
-            mi = _class_information(shaken(x), pd.factorize(group["y"])[0], k)
-        return pd.DataFrame({"column": [group["column"].iloc[0]], "mi": [mi]})
-
-    return long.groupBy("column").applyInPandas(estimate, "column string, mi double")

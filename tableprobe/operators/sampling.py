@@ -20,7 +20,6 @@ TRAINING_SAMPLE = 5_000
 FOLDS = 5
 
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 65_536
 
 
 def hash_of(key: Column) -> Column:
@@ -29,9 +28,9 @@ def hash_of(key: Column) -> Column:
 
 
 def _bucket(hashed: Column, n_rows: int) -> tuple[Column, int]:
-    buckets = min(MAX_BUCKETS, 2 ** max(0, math.ceil(math.log2(max(n_rows, 1) / ROWS_PER_BUCKET))))
-    top = F.conv(F.substring(hashed, 1, 4), 16, 10).cast("int")
-    return F.floor(top / (65_536 // buckets)).cast("int"), buckets
+    bits = max(0, math.ceil(math.log2(max(n_rows, 1) / ROWS_PER_BUCKET)))
+    top = F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long")  # 32 bits: room for any table
+    return F.shiftright(top, max(0, 32 - bits)), 2**bits
 
 
 def rank_in_class(df: DataFrame, label: str, key: str, n_rows: int | None = None) -> DataFrame:

@@ -41,10 +41,19 @@ def with_child_counts(parents: DataFrame, key: str, children: dict[str, tuple[Da
     return out
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: the first by the text of its fields."""
+    order = Window.partitionBy(ref(key)).orderBy(F.to_json(F.struct(*[ref(c) for c in df.columns])))
+    return df.withColumn("__k", F.row_number().over(order)).where(F.col("__k") == 1).drop("__k")
+
+
 def merge_on(old: DataFrame, new: DataFrame, key: str, mutable: list[str]) -> DataFrame:
-    """Insert rows with a new key; for a known key overwrite only the ``mutable`` fields."""
+    """Insert rows with a new key; for a known key overwrite only the ``mutable`` fields.
+
+    Of new rows with the same key one is used.
+    """
     o = old.select(ref(key), F.struct(*old.columns).alias("__old"))
-    n = new.select(ref(key), F.struct(*new.columns).alias("__new"))
+    n = one_per_key(new, key).select(ref(key), F.struct(*new.columns).alias("__new"))
     joined = o.join(n, key, "full_outer")
     fields = []
     for c in old.columns:
@@ -58,8 +67,8 @@ def merge_on(old: DataFrame, new: DataFrame, key: str, mutable: list[str]) -> Da
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """``old`` plus the rows of ``new`` whose key is not there yet."""
-    return old.unionByName(new.join(old.select(key), key, "left_anti").select(*old.columns))
+    """``old`` plus the rows of ``new`` whose key is not there yet, one per key."""
+    return old.unionByName(one_per_key(new, key).join(old.select(key), key, "left_anti").select(*old.columns))
 
 
 def purge(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:

@@ -46,6 +46,11 @@ def _together(**steps: Callable[[], object]) -> dict[str, object]:
     return together(steps)
 
 
+def _moment_table(spark: SparkSession, rows: list) -> DataFrame:
+    """The moments, one row per column, as a table again."""
+    return spark.createDataFrame([tuple(r) for r in rows], numeric.MOMENT_FIELDS)
+
+
 def profile(
     df: DataFrame,
     dataset: str,
@@ -53,7 +58,7 @@ def profile(
     key: str | None = None,
     original_rows: int | None = None,
 ) -> Profile:
-    """Profile ``df``; ``key`` only steers which values the normality test looks at.
+    """Profile ``df``; ``key`` is kept for callers and has no influence.
 
     Each step is one or a few jobs over the whole table, independent steps run side by side.
     The driver sees a few numbers per column, never rows of the table.
@@ -84,7 +89,7 @@ def profile(
         return numeric.outliers(data, features["numeric"], is_normal, moment_rows, fence_of).collect()
 
     second = _together(
-        normal=lambda: normality.normality(data, features["numeric"], n_rows, key).collect(),
+        normal=lambda: normality.of_moments(_moment_table(spark, moment_rows)).where(F.col("column").isin(features["numeric"])).collect(),
         fences=lambda: numeric.fences(data, features["numeric"], known=known),
         pairs=lambda: relation.correlations(data, numbers).collect(),
         entropy=lambda: categorical.entropies(counts).collect(),

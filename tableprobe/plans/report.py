@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.scalars import estimated_distinct, highlight_duplicates, highlight_missing, is_id_like
@@ -16,9 +16,17 @@ CATEGORY_CHARTS = 5
 BARS = 15
 
 
+def _first_columns(columns: DataFrame, kind: str, limit: int) -> DataFrame:
+    """The first columns of a kind in table order, per dataset where there are several."""
+    dataset = [F.col("dataset")] if "dataset" in columns.columns else [F.lit(1)]
+    order = Window.partitionBy(*dataset).orderBy("position")
+    ranked = columns.where(F.col("kind") == kind).withColumn("__k", F.row_number().over(order))
+    return ranked.where(F.col("__k") <= limit).drop("__k")
+
+
 def numeric_charts(histograms: DataFrame, columns: DataFrame, limit: int = NUMERIC_CHARTS) -> DataFrame:
-    """Histogram rows of the first ``limit`` numeric columns in table order."""
-    first = columns.where(F.col("kind") == "numeric").orderBy("position").limit(limit)
+    """Histogram rows of the first ``limit`` numeric columns of each dataset in table order."""
+    first = _first_columns(columns, "numeric", limit)
     return histograms.join(first.select("dataset", "column"), ["dataset", "column"], "left_semi")
 
 
@@ -26,7 +34,7 @@ def category_charts(
     counts: DataFrame, columns: DataFrame, n_rows: Column, limit: int = CATEGORY_CHARTS, bars: int = BARS
 ) -> tuple[DataFrame, DataFrame]:
     """Bars of the first ``limit`` category columns, and one line for each id-like one."""
-    first = columns.where(F.col("kind") == "categorical").orderBy("position").limit(limit)
+    first = _first_columns(columns, "categorical", limit)
     judged = first.withColumn("id_like", is_id_like(F.col("cardinality_ratio"), n_rows))
     bars_of = judged.where(~F.col("id_like")).select("column")
     lines = judged.where("id_like").select(

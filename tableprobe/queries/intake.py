@@ -37,10 +37,31 @@ def csv_without_header(t: Tables) -> DataFrame:
     path = scratch(t.spark)
     size = F.when(F.col("p_size") < 10, F.lit("?")).otherwise(F.col("p_size").cast("string"))
     t.part.select("p_partkey", size.alias("p_size"), "p_brand").write.option("sep", "|").csv(path)
-    raw = csv_source.read_text_table(t.spark, path, sep="|", header=False, names=["id", "size", "brand"])
+    raw = csv_source.read_text_table(t.spark, path, sep="|", header=False, names=["id", "size", "brand"], missing=(*csv_source.MISSING_TOKENS, "?"))
     return csv_source.typed(raw)
 
 
+@query("csv_with_line_breaks", "S1 S2", "SELECT doc_id, text, lang FROM documents")
+def csv_with_line_breaks(t: Tables) -> DataFrame:
+    """Documents with their line breaks and quotes, in quoted fields, beside files without any."""
+    path = scratch(t.spark)
+    quoted = t.documents.select("doc_id", "text", "lang").write.option("header", True).option("escape", '"').option("quoteAll", True)
+    quoted.csv(path)
+    return csv_source.read_csv(t.spark, path)
+
+
+@query("json_of_both_kinds", "S7", f"SELECT event_id, event_type, {r('value')} AS value FROM events")
+def json_of_both_kinds(t: Tables) -> DataFrame:
+    """One folder with files of records per line and files of one list each."""
+    path = scratch(t.spark)
+    events = t.events.select("event_id", "event_type", "value")
+    store.write_records(events.where("event_id % 2 = 0"), f"{path}/lines")
+    for number in (1, 3):
+        one = events.where(F.col("event_id") % 4 == number).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
+        one.write.text(f"{path}/list{number}")
+    return store.read_records(t.spark, f"{path}/*", "event_id long, event_type string, value double")
+
+
 @query("blank_separated_scan", "S1 S2", f"SELECT s_suppkey AS id, s_name AS name, {r('s_acctbal')} AS balance FROM supplier")
 def blank_separated_scan(t: Tables) -> DataFrame:
     """Columns separated by runs of blanks."""

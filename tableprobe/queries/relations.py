@@ -176,12 +176,6 @@ def information_summary(t: Tables) -> DataFrame:
     return relation.information_summary(relation.mutual_information(t.orders, "o_orderstatus"))
 
 
-@query("information_by_neighbours", "A20")
-def information_by_neighbours(t: Tables) -> DataFrame:
-    """The nearest-neighbour estimate on the (up to 50 000 row) profile sample."""
-    return relation.neighbour_information(t.orders.drop("o_orderdate"), "o_orderstatus", "o_orderkey")
-
-
 # ---- vectors --------------------------------------------------------------------------
 
 

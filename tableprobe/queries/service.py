@@ -5,7 +5,7 @@ customer stands for the users, orders for their runs, lineitem for what hangs of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.scalars import duration_seconds, duration_text, shorten
@@ -193,13 +193,14 @@ def flags_by_severity(t: Tables) -> DataFrame:
 @query(
     "flags_in_order",
     "T2",
-    f"""SELECT flag_id, severity FROM {_FLAGS_SQL} JOIN {_RULES_SQL} USING (rule_code) ORDER BY {_RANK_SQL}, created_at, flag_id LIMIT 100""",
+    f"""SELECT flag_id, severity, row_number() OVER (PARTITION BY severity ORDER BY created_at, flag_id) AS place FROM {_FLAGS_SQL} JOIN {_RULES_SQL} USING (rule_code)""",
 )
 def flags_in_order(t: Tables) -> DataFrame:
-    """The first hundred flags: worst severity first, then the older one."""
+    """All flags, worst severity first, then the older one, with their place in their severity."""
     joined = order_flags(t).join(rules_table(t), "rule_code")
+    place = F.row_number().over(Window.partitionBy("severity").orderBy("created_at", "flag_id")).cast("long")
     order = [service.severity_rank(F.col("severity")), F.asc("created_at"), F.asc("flag_id")]
-    return joined.orderBy(*order).limit(100).select("flag_id", "severity")
+    return joined.withColumn("place", place).orderBy(*order).select("flag_id", "severity", "place")
 
 
 @query(

@@ -191,9 +191,16 @@ def outliers_by_shape(t: Tables) -> DataFrame:
     return found.select("column", "n_finite", "n_outliers", "outliers_pct")
 
 
-@query("normality_test", "A11 W2")
+def normality_sql(c: str, source: str) -> str:
+    d = f"({c}::DOUBLE - (SELECT avg({c}::DOUBLE) FROM {source}))"
+    m2, m3, m4 = (f"avg(pow({d}, {k}))" for k in (2, 3, 4))
+    jb = f"(count({c}) / 6 * (pow({m3} / pow({m2}, 1.5), 2) + pow({m4} / pow({m2}, 2) - 3, 2) / 4))"
+    return f"SELECT '{c}' AS \"column\", {r(jb)} AS jb, {r(f'exp(-{jb} / 2)')} AS p_value, exp(-{jb} / 2) > 0.05 AS is_normal FROM {source}"
+
+
+@query("normality_test", "A11", union_all([normality_sql("value", "events"), normality_sql("user_id", "events"), normality_sql("c_acctbal", "customer")]))
 def normality_test(t: Tables) -> DataFrame:
-    return normality.normality(t.events, ["value", "user_id"], key="event_id")
+    return normality.normality(t.events, ["value", "user_id"]).unionByName(normality.normality(t.customer, ["c_acctbal"]))
 
 
 _ROLLED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "flat"]
@@ -259,15 +266,15 @@ def entropy_of_ids_and_texts(t: Tables) -> DataFrame:
     union_all(
         [f"""SELECT '{c}' AS "column", n, (total - shown)::BIGINT AS other_count, len::INTEGER AS length FROM (
           SELECT *, sum(n) OVER () AS total, sum(CASE WHEN rn <= 20 THEN n ELSE 0 END) OVER () AS shown FROM (
-            SELECT length({c}) AS len, n, row_number() OVER (ORDER BY n DESC, CASE WHEN length({c}) <= 64 THEN {c} ELSE chr(1) || 'md5:' || md5({c}) END) AS rn
-            FROM (SELECT {c}, count(*) AS n FROM documents GROUP BY 1))) WHERE rn <= 20 AND n > 1""" for c in ("text", "lang", "source")]
+            SELECT length({c}) AS len, n, row_number() OVER (ORDER BY n DESC, md5({c})) AS rn
+            FROM (SELECT {c}, count(*) AS n FROM documents GROUP BY 1))) WHERE rn <= 20""" for c in ("text", "lang", "source")]
     ),
 )
 def top_texts(t: Tables) -> DataFrame:
     """Top values of columns that hold whole documents, counted by key."""
     columns = ["text", "lang", "source"]
     top = cut_lineage(categorical.top_with_rest(categorical.distinct_counts(t.documents, columns)))
-    return categorical.with_long_texts(top, t.documents, columns).select("column", "n", "other_count", F.length("value").alias("length")).where("n > 1")
+    return categorical.with_long_texts(top, t.documents, columns).select("column", "n", "other_count", F.length("value").alias("length"))
 
 
 @query(
@@ -350,7 +357,7 @@ def class_count_map(t: Tables) -> DataFrame:
 def top_sql(c: str, table: str, k: int) -> str:
     return f"""SELECT '{c}' AS "column", rn::INTEGER AS rank, v AS value, n, (total - shown)::BIGINT AS other_count FROM (
       SELECT v, n, rn, sum(n) OVER () AS total, sum(CASE WHEN rn <= {k} THEN n ELSE 0 END) OVER () AS shown FROM (
-        SELECT v, n, row_number() OVER (ORDER BY n DESC, v) AS rn FROM (
+        SELECT v, n, row_number() OVER (ORDER BY n DESC, md5(v)) AS rn FROM (
           SELECT {c}::VARCHAR AS v, count(*) AS n FROM {table} WHERE {c} IS NOT NULL GROUP BY 1))) WHERE rn <= {k}"""
 
 

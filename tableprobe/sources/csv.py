@@ -12,7 +12,9 @@ from tableprobe.functions.columns import ref
 # Delimiters that are tried, in order of preference, and texts read as missing.
 DELIMITERS = (",", ";", "\t", "|")
 FALLBACK_CHARSET = "windows-1251"
-MISSING_TOKENS = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "?")
+MISSING_TOKENS = tuple(
+    "|#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null".split("|")
+)
 
 
 def file_charsets(spark: SparkSession, path: str, fallback: str = FALLBACK_CHARSET) -> DataFrame:
@@ -62,6 +64,13 @@ def file_delimiters(spark: SparkSession, path: str) -> DataFrame:
     return best.select("path", F.when(F.col("mean") >= 1, F.col("delimiter")).otherwise(",").alias("delimiter"))
 
 
+def files_with_broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, broken)``: whether the quotes of some line do not balance, so a record goes on."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
+    return lines.groupBy("path").agg(F.bool_or("odd").alias("broken"))
+
+
 def read_text_table(
     spark: SparkSession,
     path: str | list[str],
@@ -70,8 +79,11 @@ def read_text_table(
     header: bool = True,
     names: list[str] | None = None,
     missing: tuple[str, ...] = MISSING_TOKENS,
+    broken_lines: bool = False,
 ) -> DataFrame:
-    """A CSV as text columns; the missing tokens become NULL.
+    """A CSV as text columns; fields that are exactly a missing token become NULL.
+
+    ``broken_lines``: quoted fields hold line breaks. Such a file is read by one task.
 
     ``sep=r"\\s+"`` splits at any run of blanks and needs ``names``.
     """
@@ -86,11 +98,11 @@ def read_text_table(
         if charset.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         reader = spark.read.option("sep", sep).option("encoding", charset).option("header", header)
-        raw = reader.option("multiLine", False).csv(path)
+        raw = reader.option("escape", '"').option("multiLine", broken_lines).csv(path)
         if names:
             raw = raw.toDF(*names)
     return raw.select(
-        *[F.when(~F.trim(ref(c)).isin(*missing), ref(c)).alias(c) for c in raw.columns]
+        *[F.when(~ref(c).isin(*missing), ref(c)).alias(c) for c in raw.columns]
     )
 
 
@@ -131,13 +143,14 @@ def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
     """Files under ``path`` with charset and delimiter found per file, then types inferred.
 
-    Files are grouped by (charset, delimiter) and each group is one read.
+    Files are grouped by (charset, delimiter, quoted line breaks) and each group is one read.
     """
     found = file_charsets(spark, path).join(file_delimiters(spark, path), "path", "left")
-    groups: dict[tuple[str, str], list[str]] = {}
+    found = found.join(files_with_broken_lines(spark, path), "path", "left")
+    groups: dict[tuple[str, str, bool], list[str]] = {}
     for r in found.collect():  # one row per file
-        groups.setdefault((r["charset"], r["delimiter"] or ","), []).append(r["path"])
+        groups.setdefault((r["charset"], r["delimiter"] or ",", bool(r["broken"])), []).append(r["path"])
     if not groups:
         raise ValueError(f"no rows under {path}")
-    tables = [read_text_table(spark, paths, sep=d, charset=c, **options) for (c, d), paths in sorted(groups.items())]
+    tables = [read_text_table(spark, paths, sep=d, charset=c, broken_lines=b, **options) for (c, d, b), paths in sorted(groups.items())]
     return typed(reduce(lambda a, b: a.unionByName(b), tables))

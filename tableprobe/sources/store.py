@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from tableprobe.functions.columns import json_safe
 
 PREVIEW_ROWS = 100
+RUNS = "runs"  # which run of a dataset counts
 
 
 def preview(df: DataFrame, order: list[Column], rows: int = PREVIEW_ROWS) -> DataFrame:
@@ -39,14 +43,28 @@ def write_records(df: DataFrame, path: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Records written line by line or as one JSON list per file."""
+    """Records written line by line or as one JSON list per file; a folder may hold both kinds.
+
+    Each file is judged by its first character that is not blank, and each kind is one read.
+    """
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.option("multiLine", _is_list(spark, path)).json(path)
+    lists = _list_files(spark, path)
+    if not any(lists.values()) or all(lists.values()):
+        return reader.option("multiLine", any(lists.values())).json(path)
+    parts = [
+        reader.option("multiLine", multi).json([name for name, is_list in lists.items() if is_list == multi])
+        for multi in (False, True)
+    ]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
-def _is_list(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).first()
-    return bool(first and first[0].lstrip().startswith("["))
+def _list_files(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Per file whether it holds one JSON list. The driver gets one row per file."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    first = lines.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.ltrim("value").substr(1, 1).alias("sign"))
+    found = first.groupBy("path").agg(F.min_by("sign", "place").alias("sign"))
+    return {r["path"]: r["sign"] == "[" for r in found.collect()}
 
 
 def records_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
@@ -60,19 +78,22 @@ def records_or_none(spark: SparkSession, path: str, schema=None) -> DataFrame |
 
 
 def save_results(results: dict[str, DataFrame], path: str) -> None:
-    """Write the parts of a run; the parts of the same dataset from an older run are replaced.
+    """Write the parts of a run; all parts of the same dataset from an older run are replaced.
 
-    Each part is a Parquet table partitioned by dataset; only the partitions at hand are
-    overwritten.
+    Each part is a Parquet table partitioned by dataset and run. Which run of a dataset counts is
+    written last, so a part that is empty now replaces an older one that was not, and a run that
+    breaks off leaves the older one in force.
     """
+    run = uuid.uuid4().hex
+    datasets = [part.select("dataset").distinct() for part in results.values()]
     for name, part in results.items():
-        (
-            part.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("dataset")
-            .parquet(f"{path}/{name}")
-        )
+        part.withColumn("run", F.lit(run)).write.mode("append").partitionBy("dataset", "run").parquet(f"{path}/{name}")
+    current = reduce(DataFrame.unionByName, datasets).distinct().withColumn("run", F.lit(run))
+    current.withColumn("saved", F.current_timestamp()).write.mode("append").parquet(f"{path}/{RUNS}")
 
 
 def load_results(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{name}")
+    """A part of the latest run of every dataset."""
+    runs = spark.read.parquet(f"{path}/{RUNS}")
+    latest = runs.groupBy("dataset").agg(F.max_by("run", "saved").alias("run"))
+    return spark.read.parquet(f"{path}/{name}").join(latest, ["dataset", "run"], "left_semi").drop("run")
