@@ -70,38 +70,37 @@ def table_candidates(tables: DataFrame) -> DataFrame:
     )
 
 
+# What each rule measures, by rule and, where a rule has two methods, by method.
+MEASURED = {
+    "TARGET_MISSING": "share of missing target values",
+    "HIGH_MISSING": "share of missing values",
+    "DUPLICATES": "share of repeated rows",
+    "IMBALANCE_BINARY": "size of the larger class over the smaller",
+    "IMBALANCE_MULTICLASS": "rows of the rarest class",
+    "SMALL_DATASET": "number of rows",
+    "TOO_FEW_FEATURES": "number of features",
+    "HIGH_CARDINALITY": "distinct values per row",
+    "OUTLIERS": "share of outliers",
+    "DATE_NOT_PARSED": "share of texts that read as dates",
+    "LEAKAGE_SUSPICION/pearson": "correlation with the target",
+    "LEAKAGE_SUSPICION": "information about the target in nats",
+    "LOW_VARIANCE/numeric": "spread relative to the mean",
+    "LOW_VARIANCE": "normalized entropy",
+}
+BOUNDS = {"above": "more than", "below": "less than", "at_least": "from"}
+
+
 def _message() -> Column:
-    """One English sentence per rule."""
-    code, column, value, limit = (F.col(c) for c in ("rule_code", "column", "value", "threshold"))
-    percent = 100 * value
-    texts = {
-        "TARGET_MISSING": F.format_string("Target %s: %.1f%% of the values are missing (limit %.0f%%); those rows cannot be learned from.", column, percent, 100 * limit),
-        "HIGH_MISSING": F.format_string("Column %s: %.1f%% of the values are missing (limit %.0f%%).", column, percent, 100 * limit),
-        "DUPLICATES": F.format_string("%.1f%% of the rows repeat an earlier row (limit %.0f%%, %d rows).", percent, 100 * limit, F.rint(value * F.col("n_rows")).cast("long")),
-        "IMBALANCE_BINARY": F.format_string("The classes of %s stand at %.1f to 1 (limit %.0f).", column, value, limit),
-        "IMBALANCE_MULTICLASS": F.format_string("Class %s of %s has %.0f rows (at least %.0f wanted).", F.col("min_class"), column, value, limit),
-        "SMALL_DATASET": F.format_string("The table has %.0f rows (at least %.0f wanted).", value, limit),
-        "TOO_FEW_FEATURES": F.format_string("The table has %.0f features (at least %.0f wanted).", value, limit),
-        "HIGH_CARDINALITY": F.format_string("Column %s: %.1f%% distinct values (limit %.0f%%), maybe an identifier.", column, percent, 100 * limit),
-        "OUTLIERS": F.format_string("Column %s: %.1f%% of the values are outliers (limit %.0f%%).", column, percent, 100 * limit),
-        "DATE_NOT_PARSED": F.format_string("Column %s reads as a date in %.0f%% of its values but is stored as text.", column, percent),
-    }
-    text = F.when(
-        (code == "LEAKAGE_SUSPICION") & (F.col("method") == "pearson"),
-        F.format_string("Column %s correlates with the target at %.3f; it may leak the answer.", column, value),
-    ).when(
-        code == "LEAKAGE_SUSPICION",
-        F.format_string("Column %s shares %.3f nats with the target; it may leak the answer.", column, value),
-    ).when(
-        (code == "LOW_VARIANCE") & (F.col("method") == "numeric"),
-        F.format_string("Column %s is almost constant.", column),
-    ).when(
-        code == "LOW_VARIANCE",
-        F.format_string("One value dominates column %s (normalized entropy %.3f).", column, value),
+    """``place: measure = value (rule fires bound limit)``, one shape for all rules."""
+    code = F.col("rule_code")
+    measures = F.create_map(*[F.lit(x) for kv in MEASURED.items() for x in kv])
+    bounds = F.create_map(*[F.lit(x) for kv in BOUNDS.items() for x in kv])
+    measure = F.coalesce(F.try_element_at(measures, F.concat_ws("/", code, "method")), F.try_element_at(measures, code))
+    rarest = F.when(code == "IMBALANCE_MULTICLASS", F.col("min_class"))
+    place = F.concat_ws("/", F.coalesce(F.col("column"), F.lit("table")), rarest)
+    return F.format_string(
+        "%s: %s = %.3f (%s fires %s %.3f)", place, measure, F.col("value").cast("double"), code, bounds[F.col("direction")], F.col("threshold").cast("double")
     )
-    for name, sentence in texts.items():
-        text = text.when(code == name, sentence)
-    return text
 
 
 def quality_flags(tables: DataFrame, columns: DataFrame, rules: DataFrame) -> DataFrame:

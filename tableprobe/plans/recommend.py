@@ -22,26 +22,26 @@ ID_SHARE = 0.5
 
 # Flags repeated as warnings in a recommendation.
 WARNING_TEXTS = {
-    "TARGET_MISSING": "The target has missing values; those rows are not used for training.",
-    "LEAKAGE_SUSPICION": "A feature is tied to the target so closely that it may leak the answer.",
-    "SMALL_DATASET": "There are few rows, so quality estimates vary a lot.",
+    "TARGET_MISSING": "warning: target column, NULL values present, such rows left out of the fit",
+    "LEAKAGE_SUSPICION": "warning: feature column, near copy of the target possible",
+    "SMALL_DATASET": "warning: table, row count low, scores unsteady",
 }
 
 RULE_TEXTS = {
-    "NO_TARGET_HIGH_DIM": "No target is given and there are more than 10 columns.",
-    "DIMENSIONALITY_REDUCTION": "Reduce the number of dimensions before clustering.",
-    "NO_TARGET_LOW_DIM": "No target is given and there are few columns: cluster directly.",
-    "NUMERIC_BINARY_TARGET": "The numeric target has at most two values.",
-    "AMBIGUOUS_NUMERIC_TARGET": "The numeric target has few values: classes or numbers, the model decides.",
-    "NUMERIC_TARGET_SYMMETRIC_FEW_VALUES": "The numeric target has few, symmetrically spread values.",
-    "NUMERIC_TARGET_MANY_VALUES": "The numeric target has many values.",
-    "ONLY_ONE_CLASS": "The target has a single class, nothing can be learned.",
-    "BINARY_IMBALANCED": "Two classes, one more than ten times the other.",
-    "BINARY_BALANCED": "Two classes in fair proportion.",
-    "MULTICLASS": "Three to twenty classes.",
-    "TARGET_LOOKS_LIKE_ID": "Most target values are distinct: it looks like an identifier.",
-    "HIGH_CARDINALITY_MULTICLASS": "More than twenty classes: the model should confirm.",
-    "UNKNOWN_TARGET_KIND": "The kind of the target is not known; check it by hand.",
+    "NO_TARGET_HIGH_DIM": "target: none; columns: over 10",
+    "DIMENSIONALITY_REDUCTION": "step before clustering: fewer dimensions",
+    "NO_TARGET_LOW_DIM": "target: none; columns: 10 or fewer",
+    "NUMERIC_BINARY_TARGET": "target: number; distinct values: 1 or 2",
+    "AMBIGUOUS_NUMERIC_TARGET": "target: number; distinct values: between class and quantity, model asked",
+    "NUMERIC_TARGET_SYMMETRIC_FEW_VALUES": "target: number; distinct values: few; skewness: small",
+    "NUMERIC_TARGET_MANY_VALUES": "target: number; distinct values: many",
+    "ONLY_ONE_CLASS": "target: one class in all rows",
+    "BINARY_IMBALANCED": "target: two classes; ratio: over 10",
+    "BINARY_BALANCED": "target: two classes; ratio: up to 10",
+    "MULTICLASS": "target: 3 to 20 classes",
+    "TARGET_LOOKS_LIKE_ID": "target: distinct values in over half of the rows",
+    "HIGH_CARDINALITY_MULTICLASS": "target: over 20 classes, model asked",
+    "UNKNOWN_TARGET_KIND": "target: neither number nor category",
 }
 
 TASK_NAMES = {
@@ -148,14 +148,14 @@ def explanation(with_model: bool, model_missing: bool = False) -> Column:
     """Headline, one bullet per rule, and a sentence on the model where it decided."""
     names = F.create_map(*[F.lit(x) for kv in TASK_NAMES.items() for x in kv])
     texts = F.create_map(*[F.lit(x) for kv in {**RULE_TEXTS, **WARNING_TEXTS}.items() for x in kv])
-    headline = F.concat(F.lit("Recommended task: "), names[F.col("task_type_code")], F.lit("."))
-    bullets = F.transform("rule_codes", lambda c: F.concat(F.lit("• "), F.coalesce(texts[c], c)))
-    parts = [headline, F.when(F.size("rule_codes") > 0, F.lit("Rules that apply:")), F.array_join(bullets, "\n")]
+    headline = F.concat(F.lit("task: "), names[F.col("task_type_code")])
+    bullets = F.transform("rule_codes", lambda c: F.concat(F.lit("- "), F.coalesce(texts[c], c)))
+    parts = [headline, F.when(F.size("rule_codes") > 0, F.lit("grounds:")), F.array_join(bullets, "\n")]
     if with_model:
-        model = F.format_string("The model favours this task at %.0f%%; the choice is yours.", 100 * F.col("confidence"))
+        model = F.format_string("model: %.0f%% for this task", 100 * F.col("confidence"))
         parts.append(F.when(F.col("source") != "rules", model))
     if model_missing:
-        parts.append(F.lit("Only the rules were used; no trained model is at hand."))
+        parts.append(F.lit("model: no trained model, rules alone"))
     return F.concat_ws("\n", *parts)
 
 
