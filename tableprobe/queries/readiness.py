@@ -15,7 +15,7 @@ from tableprobe.operators import target as target_ops
 from tableprobe.operators.service import severity_rank
 from tableprobe.plans import profile as profile_plan
 from tableprobe.plans.quality import leakage_columns, quality_flags
-from tableprobe.plans.recommend import CLUSTERING, applied_rules, decide, hybrid, with_warnings
+from tableprobe.plans.recommend import CLUSTERING, RULE_TEXTS, TASK_NAMES, WARNING_TEXTS, applied_rules, decide, hybrid, with_warnings
 from tableprobe.plans.rules import RULES, default_rules
 from tableprobe.queries.registry import Tables, query, r, union_all
 from tableprobe.queries.relations import mi_sql, r_of
@@ -330,7 +330,21 @@ def date_share_query(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderpriority").agg(date_share(text).alias("share"))
 
 
-@query("flag_messages", "X2")
+_CARDINALITY_ROWS = union_all(
+    [f"SELECT 'HIGH_CARDINALITY' AS rule_code, '{c}' AS \"column\", count(DISTINCT {c}) / count(*) AS v, 'distinct values per row' AS what, 0.5 AS bound FROM d" for c in ("text", "lang", "source")]
+)
+
+
+@query(
+    "flag_messages",
+    "X2",
+    f"""WITH d AS (SELECT text, lang, source, toxic FROM documents LEFT JOIN labels USING (doc_id)), m AS ({_CARDINALITY_ROWS}
+    UNION ALL SELECT 'TARGET_MISSING', 'toxic', 1 - count(toxic) / count(*), 'share of missing target values', 0.05 FROM d
+    UNION ALL SELECT 'DUPLICATES', NULL, 1 - count(DISTINCT text) / count(*), 'share of repeated rows', 0.05 FROM d)
+    SELECT 'labelled_documents' AS dataset, rule_code, "column",
+      format('{{}}: {{}} = {{:.3f}} ({{}} fires more than {{:.3f}})', coalesce("column", 'table'), what, v::DOUBLE, rule_code, bound::DOUBLE) AS message
+    FROM m WHERE v > bound""",
+)
 def flag_messages(t: Tables) -> DataFrame:
     """The sentences shown to the user."""
     a = BY_NAME["labelled_documents"]
@@ -405,7 +419,22 @@ def warned_recommendations(t: Tables) -> DataFrame:
     return decided.select("dataset", "task_type_code", "confidence", F.array_join("rule_codes", ",").alias("rule_codes"))
 
 
-@query("recommendation_texts", "X3 R18")
+_TEXT_ROWS = ", ".join(f"('{code}', '{text}')" for code, text in {**RULE_TEXTS, **WARNING_TEXTS}.items())
+_TASK_ROWS = ", ".join(f"('{code}', '{name}')" for code, name in TASK_NAMES.items())
+
+
+@query(
+    "recommendation_texts",
+    "X3 R18",
+    f"""WITH d AS ({_SHOWN_DECISION} FROM ({_DECIDED})), texts AS (SELECT * FROM (VALUES {_TEXT_ROWS}) v(code, text)),
+    names AS (SELECT * FROM (VALUES {_TASK_ROWS}) v(task_type_code, name)),
+    c AS (SELECT dataset, unnest(string_split(rule_codes, ',')) AS code, generate_subscripts(string_split(rule_codes, ','), 1) AS place FROM d),
+    b AS (SELECT dataset, string_agg('- ' || text, chr(10) ORDER BY place) AS bullets,
+      '[' || string_agg('{{"code":"' || code || '","description":"' || text || '"}}', ',' ORDER BY place) || ']' AS applied_rules FROM c JOIN texts USING (code) GROUP BY dataset)
+    SELECT dataset, task_type_code, confidence, 'rules' AS source, applied_rules,
+      'task: ' || name || chr(10) || 'grounds:' || chr(10) || bullets || chr(10) || 'model: no trained model, rules alone' AS explanation
+    FROM d JOIN b USING (dataset) JOIN names USING (task_type_code)""",
+)
 def recommendation_texts(t: Tables) -> DataFrame:
     """Without a model the rules stand; the explanation says so."""
     return hybrid(decide(candidate_profiles(t))).select(
