@@ -15,6 +15,11 @@ exhaustively across components: sets already known to hang together need no comp
 group of thousands of near copies does not cost the square of its size. Nodes that stay large at
 the last level are compared in pairs of blocks, each in a task of its own.
 
+The first check also tells in which shingles a set differs from the one it was compared with. If
+two sets differ from the same set p in nothing they share, each is at least as close to p as to
+the other, so a link between them means links of both to p. Second comparisons therefore ask,
+of sets with the same p, for enough shared differences; random edits have none.
+
 A comparison looks at sizes and at a 256-bit sketch first (one bit of 256 minwise hashes). It
 passes pairs from an estimate of about 0.6 on; a pair of similarity 0.8 fails that with a chance
 below one in a million. Every link is confirmed on the shingles themselves.
@@ -32,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +52,7 @@ MIN_EQUAL_BITS = 206  # expected at a similarity of 0.8: 230, with a deviation o
 SMALL_NODE = 4
 NODE_LIMIT = 512
 BROADCAST_IDS = 2_000_000
+DIFFERENCE_COLUMNS = 2048  # differences that are compared at a time
 MASKS, FACTORS = np.random.default_rng(20).integers(0, 2**32, (2, TREES * LAST_LEVEL + SKETCH_BITS), dtype=np.uint32)
 FACTORS = FACTORS | np.uint32(1)
 
@@ -212,6 +219,34 @@ def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
     return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary, path_ array<long>")
 
 
+def shared_differences(pivot: np.ndarray, differences: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether rows a and b may be linked, by what both differ in from the same pivot.
+
+    With s = (1 - t) / (1 + t), a link needs |A - B| + |B - A| <= s (|A| + |B|), and that symmetric
+    difference is the sum of both differences less twice what they share.
+    """
+    ok = np.ones(len(a), bool)
+    same = pivot[a] == pivot[b]
+    if not same.any():
+        return ok
+    length = np.array([len(d) if d.is_valid else 0 for d in differences], np.int64)
+    flat = np.concatenate([d.values.to_numpy() if d.is_valid and len(d) else np.empty(0, np.int32) for d in differences])
+    row = np.repeat(np.arange(len(length)), length)
+    # Only differences that several rows have can be shared.
+    names, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    common = count[place] > 1
+    columns, place = np.unique(place[common], return_inverse=True)
+    row, both = row[common], np.zeros((len(length), len(length)), np.float32)
+    for at in range(0, len(columns), DIFFERENCE_COLUMNS):
+        mine = (place >= at) & (place < at + DIFFERENCE_COLUMNS)
+        table = np.zeros((len(length), DIFFERENCE_COLUMNS), np.float32)
+        table[row[mine], place[mine] - at] = 1
+        both += table @ table.T
+    both = both[a, b]
+    s = (1 - threshold) / (1 + threshold)
+    return ~same | (length[a] + length[b] - 2 * both <= s * (n[a] + n[b]) + 1e-6)
+
+
 OUT = pa.schema(
     [
         ("kind_", pa.int32()),
@@ -240,7 +275,8 @@ def _second_look(nodes: DataFrame, threshold: float, last: bool) -> DataFrame:
             label, rep = rows.column("label_").to_numpy(), rows.column("rep_").to_numpy()
             n, sk = rows.column("n_").to_numpy(), sketches(rows.column("sk_"))
             a, b = np.nonzero(label[:, None] < label[None, :])
-            ok = similar(n, sk, a, b, threshold)
+            ok = np.flatnonzero(similar(n, sk, a, b, threshold))
+            ok = ok[shared_differences(rows.column("p_").to_numpy(), rows.column("d_").combine_chunks(), n, a[ok], b[ok], threshold)]
             low, high = np.minimum(rep[a[ok]], rep[b[ok]]), np.maximum(rep[a[ok]], rep[b[ok]])
             nothing = pa.nulls(len(low))
             return pa.table(
@@ -296,7 +332,7 @@ def _second_look(nodes: DataFrame, threshold: float, last: bool) -> DataFrame:
         if out is not None:
             yield from out.combine_chunks().to_batches()
 
-    columns = ["node_", "rep_", "n_", "sk_", "path_", "label_"]
+    columns = ["node_", "rep_", "n_", "sk_", "path_", "label_", "p_", "d_"]
     return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary, path_ array<long>")
 
 
@@ -313,21 +349,22 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
         at, i, j = batch.column("at_").to_numpy(), batch.column("i_")[0].as_py(), batch.column("j_")[0].as_py()
         n, sk = batch.column("n_").to_numpy(), sketches(batch.column("sk_"))
         one, two = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        low, high = [], []
-        for a in one:
-            b = two[label[two] != label[a]]
-            b = b[similar(n, sk, np.full(len(b), a), b, threshold)]
-            low.append(np.minimum(rep[a], rep[b]))
-            high.append(np.maximum(rep[a], rep[b]))
-        low, high = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (low, high))
-        return pa.table({"x_": pa.array(low, pa.int64()), "y_": pa.array(high, pa.int64())})
-
-    columns = ["node_", "i_", "j_", "at_", "rep_", "n_", "sk_", "label_"]
+        a, b = np.nonzero(label[one][:, None] != label[two][None, :])
+        a, b = one[a], two[b]
+        ok = np.flatnonzero(similar(n, sk, a, b, threshold))
+        ok = ok[shared_differences(batch.column("p_").to_numpy(), batch.column("d_").combine_chunks(), n, a[ok], b[ok], threshold)]
+        a, b = rep[a[ok]], rep[b[ok]]
+        return pa.table({"x_": pa.array(np.minimum(a, b), pa.int64()), "y_": pa.array(np.maximum(a, b), pa.int64())})
+
+    columns = ["node_", "i_", "j_", "at_", "rep_", "n_", "sk_", "label_", "p_", "d_"]
     return met.select(*columns).groupBy("node_", "i_", "j_").applyInArrow(compare, "x_ long, y_ long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x_, y_) whose full sets reach the similarity; ``docs`` has doc_ and t_, one per id."""
+    """All pairs (x_, y_) with ``linked_``, whether their full sets reach the similarity.
+
+    ``d_`` has 32-bit hashes of the shingles in which y_ differs from x_. ``docs`` has doc_ and t_.
+    """
     ids = cut_lineage(pairs.select(F.col("x_").alias("doc_")).unionAll(pairs.select(F.col("y_").alias("doc_"))).distinct())
     # Few ids are sent to the texts; many are joined by a shuffle.
     small = ids.count() <= BROADCAST_IDS
@@ -338,16 +375,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, mine = [], None, None
+            linked, differ, last, mine = [], [], None, None
             for x, tx, ty in zip(batch.column("x_").to_pylist(), batch.column("tx_"), batch.column("ty_")):
                 if x != last:
                     last, mine = x, shingles(tx.as_py(), size)
                 other = shingles(ty.as_py(), size)
-                both = len(mine & other)
-                keep.append(100 * both >= percent * (len(mine) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("x_"), batch.column("y_")], names=["x_", "y_"]).filter(pa.array(keep, pa.bool_()))
+                apart = mine ^ other
+                union = (len(mine) + len(other) + len(apart)) // 2
+                linked.append(100 * (union - len(apart)) >= percent * union)
+                differ.append([xxhash.xxh3_64_intdigest(b" ".join(w)) % (1 << 31) for w in apart])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("x_"), batch.column("y_"), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int32()))],
+                names=["x_", "y_", "linked_", "d_"],
+            )
 
-    return sides.select("x_", "y_", "tx_", "ty_").mapInArrow(check, "x_ long, y_ long").distinct()
+    return sides.select("x_", "y_", "tx_", "ty_").mapInArrow(check, "x_ long, y_ long, linked_ boolean, d_ array<int>")
 
 
 def shingles(text: str | None, size: int) -> set:
@@ -356,6 +398,12 @@ def shingles(text: str | None, size: int) -> set:
     return set(zip(*(w[k:] for k in range(size)))) if len(w) >= size else ({tuple(w)} if w else set())
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Number of links and sums of their hashes, to tell whether a round has changed anything."""
+    hashes = [F.xxhash64("low", "high", F.lit(seed)).cast("decimal(20,0)") for seed in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *[F.sum(h) for h in hashes]).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """rep_ and comp_ (the smallest id reachable) of all ends of ``edges`` (x_, y_).
 
@@ -364,16 +412,17 @@ def components(edges: DataFrame) -> DataFrame:
     at a node are grouped as a minimum and a join, never as a list.
     """
     now = cut_lineage(edges.where("x_ != y_").select(F.least("x_", "y_").alias("low"), F.greatest("x_", "y_").alias("high")).distinct())
+    mark = _checksum(now)
     while True:
         both = now.unionAll(now.select(F.col("high").alias("low"), F.col("low").alias("high"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         star = both.where("v > u").join(least, "u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low != high").distinct()
         down = star.groupBy("high").agg(F.min("low").alias("m"))
         up = star.join(down, "high").select(F.col("m").alias("low"), F.when(F.col("low") == F.col("m"), F.col("high")).otherwise(F.col("low")).alias("high"))
-        after = cut_lineage(up.where("low != high").distinct())
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
+        now = cut_lineage(up.where("low != high").distinct())
+        before, mark = mark, _checksum(now)
+        if mark == before:
             break
-        now = after
     ends = now.groupBy(F.col("high").alias("rep_")).agg(F.min("low").alias("comp_"))
     return ends.unionAll(ends.select(F.col("comp_").alias("rep_"), "comp_").distinct())
 
@@ -406,25 +455,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     docs = docs.where("doc_ is not null and t_ is not null")
     seen = cut_lineage(_first_look(in_order(nodes), threshold))
     pairs = seen.where("kind_ = 0").select(F.col("node_").alias("x_"), F.col("rep_").alias("y_")).distinct()
-    links = [cut_lineage(confirm(cut_lineage(pairs), docs, size, percent))]
+    checked = cut_lineage(confirm(cut_lineage(pairs), docs, size, percent))
+    links = [checked.where("linked_").select("x_", "y_").distinct()]
+    apart = checked.groupBy(F.col("y_").alias("rep_")).agg(F.min_by("d_", "x_").alias("d_"), F.min("x_").alias("p_"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows with their component so far, and their difference from a set with a smaller id."""
+        out = rows.join(known, "rep_", "left").join(apart, "rep_", "left")
+        return out.withColumns(
+            {"label_": F.coalesce("comp_", "rep_"), "p_": F.coalesce("p_", "rep_"), "d_": F.coalesce("d_", F.array().cast("array<int>"))}
+        )
+
     known = cut_lineage(components(links[0]))
     open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_", "path_")
     found = []
     for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
         if open_.isEmpty():
             break
-        labelled = open_.join(known, "rep_", "left").withColumn("label_", F.coalesce("comp_", "rep_"))
         last = level == LAST_LEVEL
-        seen = cut_lineage(_second_look(in_order(labelled), threshold, last))
+        seen = cut_lineage(_second_look(in_order(labelled(open_)), threshold, last))
         found.append(seen.where("kind_ = 0").select(F.col("node_").alias("x_"), F.col("rep_").alias("y_")))
         open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_", "path_")
         if last and not open_.isEmpty():
-            left = open_.join(known, "rep_", "left").withColumn("label_", F.coalesce("comp_", "rep_"))
-            found.append(_blocks(left, threshold))
+            found.append(_blocks(labelled(open_), threshold))
     if found:
         more = cut_lineage(reduce(DataFrame.unionAll, found).distinct())
         if not more.isEmpty():
-            links.append(cut_lineage(confirm(more, docs, size, percent)))
+            links.append(cut_lineage(confirm(more, docs, size, percent).where("linked_").select("x_", "y_").distinct()))
             known = cut_lineage(components(reduce(DataFrame.unionAll, links)))
     degree = reduce(DataFrame.unionAll, links)
     degree = degree.select(F.col("x_").alias("rep_")).unionAll(degree.select(F.col("y_").alias("rep_"))).groupBy("rep_").agg(F.count("*").alias("links_"))
