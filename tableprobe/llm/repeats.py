@@ -13,10 +13,13 @@ besides it, to the side on which the window has more of them. That name depends
 the window alone and neighbouring windows mostly share it, so there are far fewer names than
 windows. Windows without any such symbol (long runs) are known by their words.
 
+A whole text is the last symbol of all: of texts with the same words only the one with the
+smallest id is looked at further, the others lose everything.
+
 Spark sorts the names; those found in two or more documents go back to the documents that have
 them, whose windows with such a name are hashed (128 bits) and sorted once more: a window whose
-words start in a document with a smaller id marks its words. A name or window has one row per
-document, rows of one name are read as a stream, and only its smallest id is remembered, so a
+words start in a document with a smaller id marks its words, wherever that document has it. A
+name or window has one row per document, rows of one name are read as a stream, and only its smallest id is remembered, so a
 passage that very many documents share needs no memory.
 
 Defined results: NULL and empty texts have no words; texts shorter than a window lose none. Rows
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -165,6 +169,12 @@ def window_hashes(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW)
     return RunHashes(hashes).of(starts, window), RunHashes(hashes, 0xC2B2AE3D27D4EB4F).of(starts, window)
 
 
+def whole_hash(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of all words, as two signed numbers."""
+    both = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
+
+
 def split(text: str | None) -> list[bytes]:
     """Words of a text; bytes.split cuts at the same six characters."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
@@ -210,18 +220,40 @@ def _repeats(sorted_rows: DataFrame, keys: list[str], schema: str, columns: list
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Every row: key_, n_words_, n_removed_ and the words that stay, joined by spaces, as kept_."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
-    # Rows without an id are spread by their text; both joins below share one shuffle of the texts.
+    # Rows without an id are spread by their text; the joins below share one shuffle of the texts.
     docs = docs.withColumn("link_", F.coalesce("doc_", F.xxhash64("t_")))
-    known = docs.where(F.col("doc_").isNotNull() & F.col("t_").isNotNull()).select("doc_", "t_")
+
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, a, b = [], [], []
+            for doc, value in zip(batch.column("doc_").to_pylist(), batch.column("t_")):
+                words = split(value.as_py())
+                if len(words) >= window:
+                    one, two = whole_hash(words)
+                    ids.append(doc)
+                    a.append(one)
+                    b.append(two)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, ids)], names=["a_", "b_", "doc_"])
+
+    keys = "a_ long, b_ long, doc_ long"
+    whole = docs.where(F.col("doc_").isNotNull() & F.col("t_").isNotNull()).select("doc_", "t_").mapInArrow(wholes, keys)
+    whole = whole.repartition("a_", "b_").sortWithinPartitions("a_", "b_", "doc_")
+    again = _repeats(whole, ["a_", "b_"], keys, ["a_", "b_", "doc_"]).where("doc_ > least_")
+    # One hash per document, and per text where rows share an id.
+    copies = again.groupBy(F.col("doc_").alias("link_")).agg(F.collect_set("a_").alias("copy_"))
+    known = docs.join(copies, "link_", "left").select("doc_", "t_", "copy_")
 
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             ids, out = [], []
-            docs_of = batch.column("doc_").to_pylist()
+            docs_of, copy_of = batch.column("doc_").to_pylist(), batch.column("copy_").to_pylist()
             for at in range(0, batch.num_rows, TEXTS):
-                texts = [table.of(split(t)) for t in batch.column("t_").slice(at, TEXTS).to_pylist()]
-                for doc, found in zip(docs_of[at : at + TEXTS], names_of_texts(texts, window, rounds)):
+                some = [n for n in range(at, min(at + TEXTS, batch.num_rows)) if docs_of[n] is not None]
+                texts = [split(batch.column("t_")[n].as_py()) for n in some]
+                fresh = [k for k, n in enumerate(some) if not copy_of[n] or whole_hash(texts[k])[0] not in copy_of[n]]
+                named = names_of_texts([table.of(texts[k]) for k in fresh], window, rounds)
+                for doc, found in zip([docs_of[some[k]] for k in fresh], named):
                     found = np.unique(found)
                     if len(found):
                         out.append(found.view(np.int64))
@@ -248,6 +280,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                     starts = np.flatnonzero(np.isin(names, wanted))
                     if len(starts):
                         one, two = window_hashes(hashes, starts, window)
+                        _, first = np.unique(one, return_index=True)  # one row for each window
+                        one, two, starts = one[first], two[first], starts[first]
                         a.append(one.view(np.int64))
                         b.append(two.view(np.int64))
                         ids.append(np.full(len(starts), docs_of[n], np.int64))
@@ -261,17 +295,23 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     found = found.repartition("a_").sortWithinPartitions("a_", "b_", "doc_")
     again = _repeats(found, ["a_", "b_"], columns, ["a_", "b_", "doc_", "at_"]).where("doc_ > least_")
     starts = again.groupBy(F.col("doc_").alias("link_")).agg(F.collect_set("at_").alias("at_"))
-    marked = docs.join(starts, "link_", "left")
+    marked = docs.join(starts, "link_", "left").join(copies, "link_", "left")
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for doc, value, at in zip(batch.column("doc_"), batch.column("t_"), batch.column("at_")):
+            table = WordHashes()
+            for doc, value, at, copy in zip(*(batch.column(c) for c in ("doc_", "t_", "at_", "copy_"))):
                 words = split(value.as_py())
                 cover = np.zeros(len(words) + 1, np.int64)
-                if at.is_valid and doc.is_valid:
+                if copy.is_valid and doc.is_valid and whole_hash(words)[0] in copy.as_py():
+                    cover[0] = 1
+                elif at.is_valid and doc.is_valid:
                     first = at.values.to_numpy(zero_copy_only=False)
                     first = first[first + window <= len(words)]  # of another row with the same id
+                    every = np.arange(len(words) - window + 1)
+                    all_hashes, _ = window_hashes(table.of(words), every, window) if len(first) else (every, every)
+                    first = every[np.isin(all_hashes, all_hashes[first])] if len(first) else first
                     np.add.at(cover, first, 1)
                     np.add.at(cover, first + window, -1)
                 out = np.cumsum(cover)[:-1] > 0
@@ -285,5 +325,5 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
                 names=["key_", "n_words_", "n_removed_", "kept_"],
             )
 
-    return marked.select("doc_", "t_", "at_").mapInArrow(rest, "key_ long, n_words_ long, n_removed_ long, kept_ string")
+    return marked.select("doc_", "t_", "at_", "copy_").mapInArrow(rest, "key_ long, n_words_ long, n_removed_ long, kept_ string")
 

@@ -62,7 +62,7 @@ def test_random_texts_like_brute_force(spark):
             text += p[a : a + rng.integers(1, 40)] + list(rng.choice(pool, rng.integers(0, 10)))
         rows.append((int(key), rng.choice([" ", "\n", " \t"]).join(text)))
     long = " ".join(passages[0] * 2_000)
-    rows += [(None, rows[3][1]), (None, None), (200, None), (201, ""), (202, long), (203, long), (5, rows[5][1]), (204, "é " * 13 + "Ü")]
+    rows += [(None, rows[3][1]), (None, None), (200, None), (201, ""), (202, long), (203, long), (5, rows[5][1]), (7, rows[9][1] + ' and more of it'), (205, rows[9][1]), (205, rows[11][1] + ' tail'), (204, "é " * 13 + "Ü")]
     assert run(spark, rows) == brute(rows)
 
 
