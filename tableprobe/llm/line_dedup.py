@@ -31,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.words import RunHashes, mix
 from tableprobe.session import cut_lineage
 
 MAX_EDITS = 2
 CHARS_PER_EDIT = 20
 SPACES = " \t\n\r\x0b\x0c"
 NODE_LIMIT = 1024
+TEXTS = 256  # texts whose keys are made together
 BROADCAST_LINES = 2_000_000
 
 
@@ -73,11 +75,17 @@ def plan_keys(length: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def bags(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of lines in a row: character counts in 16 classes, four bits each, modulo 16."""
+    kind = ((codes * np.uint32(2654435769)) >> np.uint32(28)).astype(np.int64)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    counts = np.bincount(line * 16 + kind, minlength=16 * len(sizes)).reshape(-1, 16).astype(np.uint64) & np.uint64(15)
+    return (counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def bag(line: str) -> int:
-    """Character counts in 16 classes, four bits each, modulo 16."""
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-    counts = np.bincount((codes * np.uint32(2654435769)) >> np.uint32(28), minlength=16).astype(np.uint64) & np.uint64(15)
-    return int((counts << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(dtype=np.uint64).view(np.int64))
+    return int(bags(codes, np.array([len(line)]))[0])
 
 
 def bag_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,64 +135,61 @@ def stripped(text: str | None) -> list[tuple[int, str]]:
     return [(n, line) for n, line in enumerate(part.strip(SPACES) for part in (text or "").split("\n")) if line]
 
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
-ROW = "kind_ int, key_ long, h_ long, g_ long, doc_ long, at_ int, role_ int, bag_ long"
-FIELDS = pa.schema(
-    [("kind_", pa.int32()), ("key_", pa.int64()), ("h_", pa.int64()), ("g_", pa.int64()), ("doc_", pa.int64())]
-    + [("at_", pa.int32()), ("role_", pa.int32()), ("bag_", pa.int64())]
-)
+def names_of(line: str) -> tuple[int, int]:
+    """128 bits of a line as two signed numbers."""
+    both = xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(both[:8], "big", signed=True), int.from_bytes(both[8:], "big", signed=True)
 
 
-def _enter(docs: DataFrame) -> DataFrame:
-    """Occurrences (kind 0: h_, g_, doc_, at_) and keys (kind 1: key_, h_, role_, bag_) of all lines.
-
-    A line that comes again in a batch enters its keys once.
-    """
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """h_, g_ (the name of a line), doc_ and at_ of every line with a word."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[int, list] = {}
         for batch in batches:
-            seen: dict[str, tuple[int, int]] = {}
             h, g, ids, at = [], [], [], []
-            keys, owner, roles, bags = [], [], [], []
             for doc, value in zip(batch.column("doc_").to_pylist(), batch.column("t_")):
                 for n, line in stripped(value.as_py()):
-                    names = seen.get(line)
-                    if names is None:
-                        both = xxhash.xxh3_128_intdigest(line)
-                        names = seen[line] = signed(both >> 64), signed(both & (2**64 - 1))
-                        size = len(line)
-                        if allowed(size):
-                            if size not in plans:
-                                plans[size] = plan_keys(size)
-                            mine = plans[size]
-                            keys += [
-                                signed(xxhash.xxh3_64_intdigest(line[a : a + w], other * 4 + k)) for other, k, a, w, _ in mine
-                            ]
-                            roles += [role | allowed(other) << 2 for other, *_, role in mine]
-                            owner += [names[0]] * len(mine)
-                            bags += [bag(line)] * len(mine)
-                    h.append(names[0])
-                    g.append(names[1])
+                    one, two = names_of(line)
+                    h.append(one)
+                    g.append(two)
                     ids.append(doc)
                     at.append(n)
-            a, b = len(h), len(keys)
-            arrays = [
-                np.concatenate([np.zeros(a, np.int32), np.ones(b, np.int32)]),
-                np.concatenate([np.zeros(a, np.int64), np.array(keys, np.int64)]),
-                np.concatenate([np.array(h, np.int64), np.array(owner, np.int64)]),
-                np.concatenate([np.array(g, np.int64), np.zeros(b, np.int64)]),
-                np.concatenate([np.array(ids, np.int64), np.zeros(b, np.int64)]),
-                np.concatenate([np.array(at, np.int32), np.zeros(b, np.int32)]),
-                np.concatenate([np.zeros(a, np.int32), np.array(roles, np.int32)]),
-                np.concatenate([np.zeros(a, np.int64), np.array(bags, np.int64)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], schema=FIELDS)
+            arrays = [pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h_", "g_", "doc_", "at_"])
+
+    return docs.select("doc_", "t_").mapInArrow(rows, "h_ long, g_ long, doc_ long, at_ int")
 
-    return docs.select("doc_", "t_").mapInArrow(rows, ROW)
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """key_, h_, role_ and bag_ of what every line enters and looks up.
+
+    Texts are taken some at a time; a line that comes again among them enters its keys once.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TEXTS):
+                texts = batch.column("t_").slice(begin, TEXTS).to_pylist()
+                lines = list(dict.fromkeys(line for text in texts for _, line in stripped(text) if allowed(len(line))))
+                if not lines:
+                    continue
+                sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+                codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+                for size in set(sizes.tolist()) - plans.keys():
+                    plans[size] = np.array(plan_keys(size), np.int64)
+                mine = [plans[size] for size in sizes.tolist()]
+                owner = np.repeat(np.arange(len(lines)), [len(p) for p in mine])
+                other, segment, start, width, role = np.concatenate(mine).T
+                starts = np.cumsum(sizes) - sizes
+                hashes = RunHashes(codes.astype(np.uint64)).of(starts[owner] + start, width)
+                keys = mix(hashes + (other * 4 + segment).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                names = np.array([names_of(line)[0] for line in lines], np.int64)
+                edits = np.minimum(MAX_EDITS, other // CHARS_PER_EDIT)
+                arrays = [keys.view(np.int64), names[owner], (role | edits << 2).astype(np.int32), bags(codes, sizes)[owner]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["key_", "h_", "role_", "bag_"])
+
+    return docs.select("t_").mapInArrow(rows, "key_ long, h_ long, role_ int, bag_ long")
 
 
 def _compare(h: np.ndarray, role: np.ndarray, bags: np.ndarray, enter: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +286,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             once = {line for value in batch.column("t_") for _, line in stripped(value.as_py()) if allowed(len(line))}
-            names = [(signed(b >> 64), signed(b & (2**64 - 1)), line) for line in once for b in [xxhash.xxh3_128_intdigest(line)]]
+            names = [(*names_of(line), line) for line in once]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.int64()), pa.array([n[2] for n in names], pa.string())],
                 names=["h_", "g_", "line_"],
@@ -308,15 +313,13 @@ def repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Every row: key_, lines_ (lines with a word) and removed_ (numbers of the lines that go, from 0)."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
     known = docs.where("doc_ is not null and t_ is not null")
-    entered = _enter(known)
-    keys = entered.where("kind_ = 1").select("key_", "h_", "role_", "bag_")
-    met = cut_lineage(_meet(keys.repartition("key_").sortWithinPartitions("key_", "h_", "role_")))
+    met = cut_lineage(_meet(_keys(known).repartition("key_").sortWithinPartitions("key_", "h_", "role_")))
     pairs = met.where("kind_ = 0").select(F.col("key_").alias("x_"), F.col("h_").alias("y_"))
     many = met.where("kind_ = 1")
     if not many.isEmpty():
         pairs = pairs.unionAll(_blocks(many))
     links = cut_lineage(_verified(cut_lineage(pairs.distinct()), known))
-    occurrences = entered.where("kind_ = 0").select("h_", "g_", "doc_", "at_")
+    occurrences = cut_lineage(_occurrences(known))
     firsts = cut_lineage(occurrences.groupBy("h_", "g_").agg(F.min(F.struct("doc_", "at_")).alias("first_"), F.count("*").alias("c_")))
     both = links.unionAll(links.select(F.col("y_").alias("x_"), F.col("gy_").alias("gx_"), F.col("x_").alias("y_"), F.col("gx_").alias("gy_")))
     other = both.join(firsts.select(F.col("h_").alias("y_"), F.col("g_").alias("gy_"), "first_"), ["y_", "gy_"])
