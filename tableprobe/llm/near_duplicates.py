@@ -3,17 +3,17 @@
 A document is the set of its word shingles. Independent trees branch the documents: each level of
 a tree has a hash function, and a document goes on to the child named by its minwise token under
 it. Two documents of similarity s take the same step with probability s, so a node at depth d
-holds both with probability s^d, and ``trees`` of them miss a pair with (1 - s^d)^trees: below
-one in a million for s = 0.8, d = 3 and 20 trees, and far less for closer pairs. Branching stops
-at nodes that are small.
+holds both with probability s^d, and ``trees`` of them miss a pair with (1 - s^d)^trees: 5.9e-7
+for s = 0.8, d = 3 and 20 trees, and far less for closer pairs. All nodes are at depth 3, whatever
+their size, so the chance is the same in groups of any size.
 
 Sets that are equal are joined first, by a 128-bit hash; one of them (the smallest id) stands for
 all. In a node of a few sets all are compared; in a larger one all with the first and each with
 the next. What this links is checked on the full sets and joined to components. Then nodes that
-still hold sets of different components are branched further while they are large and compared
-exhaustively across components: sets already known to hang together need no comparison, so a
-group of thousands of near copies does not cost the square of its size. Nodes that stay large at
-the last level are compared in pairs of blocks, each in a task of its own.
+still hold sets of different components are compared exhaustively across components: sets already
+known to hang together need no comparison, so a group of thousands of near copies does not cost
+the square of its size. Large nodes are compared in pairs of blocks, each in a task of its own:
+the sets outside the node's most frequent component with all sets of the node.
 
 The first check also tells in which shingles a set differs from the one it was compared with. If
 two sets differ from the same set p in nothing they share, each is at least as close to p as to
@@ -37,6 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,15 +46,16 @@ from tableprobe.llm.words import WordHashes, chain, grams, mix
 from tableprobe.session import cut_lineage
 
 TREES = 20
-FIRST_LEVEL = 3  # nodes above it hold nearly everything
-LAST_LEVEL = 6
+DEPTH = 3  # nodes above it hold nearly everything; those below miss more pairs
 SKETCH_BITS = 256
 MIN_EQUAL_BITS = 206  # expected at a similarity of 0.8: 230, with a deviation of 4.8
 SMALL_NODE = 4
 NODE_LIMIT = 512
+BLOCK_NODES = 4  # a block of a larger node holds about so many times NODE_LIMIT sets
+PAIRS_AT_ONCE = 1 << 18
 BROADCAST_IDS = 2_000_000
 DIFFERENCE_COLUMNS = 2048  # differences that are compared at a time
-MASKS, FACTORS = np.random.default_rng(20).integers(0, 2**32, (2, TREES * LAST_LEVEL + SKETCH_BITS), dtype=np.uint32)
+MASKS, FACTORS = np.random.default_rng(20).integers(0, 2**32, (2, TREES * DEPTH + SKETCH_BITS), dtype=np.uint32)
 FACTORS = FACTORS | np.uint32(1)
 
 
@@ -83,16 +85,14 @@ def minwise(shingles: np.ndarray) -> np.ndarray:
 
 
 def describe(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node names by tree and level, and the sketch, of a non-empty set."""
+    """Node names by tree, and the sketch, of a non-empty set."""
     least = mix(minwise(shingles).astype(np.uint64) + np.arange(len(MASKS), dtype=np.uint64) * np.uint64(1 << 32))
-    tokens = least[: TREES * LAST_LEVEL].reshape(TREES, LAST_LEVEL)
+    tokens = least[: TREES * DEPTH].reshape(TREES, DEPTH)
     name = mix(np.arange(1, TREES + 1, dtype=np.uint64))
-    path = np.empty((TREES, LAST_LEVEL), np.uint64)
-    for level in range(LAST_LEVEL):
+    for level in range(DEPTH):
         name = mix(name * np.uint64(0x9E3779B97F4A7C15) + tokens[:, level])
-        path[:, level] = name
-    bits = (least[TREES * LAST_LEVEL :] >> np.uint64(17)) & np.uint64(1)
-    return path[:, FIRST_LEVEL - 1 :], np.packbits(bits.astype(np.uint8)).view(np.uint64)
+    bits = (least[TREES * DEPTH :] >> np.uint64(17)) & np.uint64(1)
+    return name, np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
 def similar(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -102,34 +102,31 @@ def similar(n: np.ndarray, sketch: np.ndarray, a: np.ndarray, b: np.ndarray, thr
     return (small >= threshold * large) & (same >= MIN_EQUAL_BITS)
 
 
-PATHS = LAST_LEVEL - FIRST_LEVEL + 1
-
-
 def sketches(column: pa.Array) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, np.uint64).reshape(-1, SKETCH_BITS // 64)
 
 
 def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """doc_, n_, the hash of the set (a_, b_), paths_ (trees x levels) and sk_ of every row."""
+    """doc_, n_, the hash of the set (a_, b_), nodes_ (one per tree) and sk_ of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            n, a, b, paths, sk = [], [], [], [], []
+            n, a, b, nodes, sk = [], [], [], [], []
             for value in batch.column("t_"):
                 found = shingle_hashes(table.of(words(value.as_py())), size)
                 n.append(len(found))
                 if len(found):
-                    path, sketch = describe(found)
+                    node, sketch = describe(found)
                     a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)))
-                    paths.append(path.ravel().view(np.int64))
+                    nodes.append(node.view(np.int64))
                     sk.append(sketch.tobytes())
                 else:
                     a.append(None)
                     b.append(None)
-                    paths.append(None)
+                    nodes.append(None)
                     sk.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -137,14 +134,14 @@ def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     pa.array(n, pa.int64()),
                     pa.array(a, pa.int64()),
                     pa.array(b, pa.int64()),
-                    pa.array(paths, pa.list_(pa.int64())),
+                    pa.array(nodes, pa.list_(pa.int64())),
                     pa.array(sk, pa.binary()),
                 ],
-                names=["doc_", "n_", "a_", "b_", "paths_", "sk_"],
+                names=["doc_", "n_", "a_", "b_", "nodes_", "sk_"],
             )
 
     named = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
-    return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, paths_ array<long>, sk_ binary")
+    return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary")
 
 
 def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -204,10 +201,9 @@ def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
                     "rep_": pa.array(both[1]),
                     "n_": empty.cast(pa.int64()),
                     "sk_": empty.cast(pa.binary()),
-                    "path_": empty.cast(pa.list_(pa.int64())),
                 }
             )
-            members = now.take(pa.array(again)).select(["node_", "rep_", "n_", "sk_", "path_"])
+            members = now.take(pa.array(again)).select(["node_", "rep_", "n_", "sk_"])
             members = members.add_column(0, "kind_", pa.array(np.ones(len(again), np.int32)))
             for table in (found, members):
                 yield from table.cast(OUT).combine_chunks().to_batches()
@@ -215,8 +211,8 @@ def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
             keep = np.unique(np.concatenate([tail[:1], tail[-SMALL_NODE:]]))
             held = (now.take(pa.array(keep)), place[keep])
 
-    columns = ["node_", "rep_", "n_", "sk_", "path_"]
-    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary, path_ array<long>")
+    columns = ["node_", "rep_", "n_", "sk_"]
+    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
 
 
 def shared_differences(pivot: np.ndarray, differences: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -226,25 +222,29 @@ def shared_differences(pivot: np.ndarray, differences: pa.Array, n: np.ndarray,
     difference is the sum of both differences less twice what they share.
     """
     ok = np.ones(len(a), bool)
-    same = pivot[a] == pivot[b]
-    if not same.any():
+    same = np.flatnonzero(pivot[a] == pivot[b])
+    if not len(same):
         return ok
-    length = np.array([len(d) if d.is_valid else 0 for d in differences], np.int64)
-    flat = np.concatenate([d.values.to_numpy() if d.is_valid and len(d) else np.empty(0, np.int32) for d in differences])
-    row = np.repeat(np.arange(len(length)), length)
+    a, b = a[same], b[same]
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    some = differences.take(pa.array(rows))
+    length = pc.fill_null(pc.list_value_length(some), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(rows)), length)
     # Only differences that several rows have can be shared.
-    names, place, count = np.unique(flat, return_inverse=True, return_counts=True)
+    names, place, count = np.unique(some.flatten().to_numpy(), return_inverse=True, return_counts=True)
     common = count[place] > 1
-    columns, place = np.unique(place[common], return_inverse=True)
-    row, both = row[common], np.zeros((len(length), len(length)), np.float32)
-    for at in range(0, len(columns), DIFFERENCE_COLUMNS):
-        mine = (place >= at) & (place < at + DIFFERENCE_COLUMNS)
-        table = np.zeros((len(length), DIFFERENCE_COLUMNS), np.float32)
-        table[row[mine], place[mine] - at] = 1
-        both += table @ table.T
-    both = both[a, b]
+    row, (columns, place) = row[common], np.unique(place[common], return_inverse=True)
+    left, i = np.unique(at[: len(a)], return_inverse=True)
+    right, j = np.unique(at[len(a) :], return_inverse=True)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(columns), DIFFERENCE_COLUMNS):
+        mine = (place >= first) & (place < first + DIFFERENCE_COLUMNS)
+        table = np.zeros((len(rows), min(DIFFERENCE_COLUMNS, len(columns) - first)), np.float32)
+        table[row[mine], place[mine] - first] = 1
+        both += table[left] @ table[right].T
     s = (1 - threshold) / (1 + threshold)
-    return ~same | (length[a] + length[b] - 2 * both <= s * (n[a] + n[b]) + 1e-6)
+    ok[same] = length[at[: len(a)]] + length[at[len(a) :]] - 2 * both[i, j] <= s * (n[a] + n[b]) + 1e-6
+    return ok
 
 
 OUT = pa.schema(
@@ -254,17 +254,15 @@ OUT = pa.schema(
         ("rep_", pa.int64()),
         ("n_", pa.int64()),
         ("sk_", pa.binary()),
-        ("path_", pa.list_(pa.int64())),
     ]
 )
 
 
-def _second_look(nodes: DataFrame, threshold: float, last: bool) -> DataFrame:
+def _second_look(nodes: DataFrame, threshold: float) -> DataFrame:
     """Nodes in order, compared across components.
 
     Comes out: pairs (kind 0) of nodes of up to NODE_LIMIT sets with two components or more, and
-    the rows (kind 1) of larger nodes, named by their next level. At the last level a larger node
-    is named by itself once more, for the comparison in blocks.
+    the rows (kind 1) of larger nodes, for the comparison in blocks.
     """
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,16 +284,11 @@ def _second_look(nodes: DataFrame, threshold: float, last: bool) -> DataFrame:
                     "rep_": pa.array(high),
                     "n_": nothing.cast(pa.int64()),
                     "sk_": nothing.cast(pa.binary()),
-                    "path_": nothing.cast(pa.list_(pa.int64())),
                 }
             ).cast(OUT)
 
         def onward(rows: pa.Table) -> pa.Table:
-            if not last:
-                path = [p.as_py() for p in rows.column("path_")]
-                rows = rows.set_column(0, "node_", pa.array([p[0] for p in path], pa.int64()))
-                rows = rows.set_column(rows.schema.get_field_index("path_"), "path_", pa.array([p[1:] for p in path], pa.list_(pa.int64())))
-            rows = rows.select(["node_", "rep_", "n_", "sk_", "path_"])
+            rows = rows.select(["node_", "rep_", "n_", "sk_"])
             return rows.add_column(0, "kind_", pa.array(np.ones(rows.num_rows, np.int32))).cast(OUT)
 
         def finish(rows: pa.Table) -> pa.Table | None:
@@ -332,15 +325,30 @@ def _second_look(nodes: DataFrame, threshold: float, last: bool) -> DataFrame:
         if out is not None:
             yield from out.combine_chunks().to_batches()
 
-    columns = ["node_", "rep_", "n_", "sk_", "path_", "label_", "p_", "d_"]
-    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary, path_ array<long>")
+    columns = ["node_", "rep_", "n_", "sk_", "label_", "p_", "d_"]
+    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
 
 
-def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components of nodes of any size: every two blocks of a node meet in one group."""
-    sizes = rows.groupBy("node_").agg(F.ceil(F.count("*") / F.lit(NODE_LIMIT)).cast("int").alias("b_"))
-    placed = rows.join(sizes, "node_").withColumn("at_", F.pmod(F.xxhash64("rep_"), F.col("b_")).cast("int"))
-    met = placed.withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("b_") - 1))).withColumns(
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows of nodes with several components, with the block of each (``at_``).
+
+    The most frequent component of a node is not compared with itself. Its rows are in the ``q_``
+    blocks from ``r_`` on, all others in those below.
+    """
+    block = BLOCK_NODES * NODE_LIMIT
+    count = rows.groupBy("node_", "label_").agg(F.count("*").alias("c_"))
+    sizes = count.groupBy("node_").agg(F.max(F.struct("c_", "label_")).alias("m_"), F.sum("c_").alias("c_")).where("c_ > m_.c_")
+    blocks = [F.ceil(c / F.lit(block)).cast("int") for c in (F.col("c_") - F.col("m_.c_"), F.col("m_.c_"))]
+    sizes = sizes.select("node_", F.col("m_.label_").alias("main_"), blocks[0].alias("r_"), blocks[1].alias("q_"))
+    spread = F.xxhash64("rep_")
+    at = F.when(F.col("label_") == F.col("main_"), F.col("r_") + F.pmod(spread, F.col("q_"))).otherwise(F.pmod(spread, F.col("r_")))
+    return rows.join(sizes, "node_").withColumn("at_", at.cast("int")).drop("main_")
+
+
+def _blocks(placed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs across components of nodes of any size: every two blocks of a node, one of them below ``r_``, meet in one group."""
+    end = F.when(F.col("at_") < F.col("r_"), F.col("r_") + F.col("q_")).otherwise(F.col("r_"))
+    met = placed.withColumn("with_", F.explode(F.sequence(F.lit(0), end - 1))).withColumns(
         {"i_": F.least("at_", "with_"), "j_": F.greatest("at_", "with_")}
     )
 
@@ -349,10 +357,18 @@ def _blocks(rows: DataFrame, threshold: float) -> DataFrame:
         at, i, j = batch.column("at_").to_numpy(), batch.column("i_")[0].as_py(), batch.column("j_")[0].as_py()
         n, sk = batch.column("n_").to_numpy(), sketches(batch.column("sk_"))
         one, two = np.flatnonzero(at == i), np.flatnonzero(at == j)
-        a, b = np.nonzero(label[one][:, None] != label[two][None, :])
-        a, b = one[a], two[b]
-        ok = np.flatnonzero(similar(n, sk, a, b, threshold))
-        ok = ok[shared_differences(batch.column("p_").to_numpy(), batch.column("d_").combine_chunks(), n, a[ok], b[ok], threshold)]
+        found = [np.zeros((2, 0), np.int64)]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(two)))
+        for k in range(0, len(one), step):
+            some = one[k : k + step]
+            a, b = np.nonzero(label[some][:, None] != label[two][None, :])
+            a, b = some[a], two[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            ok = similar(n, sk, a, b, threshold)
+            found.append(np.stack([a[ok], b[ok]]))
+        a, b = np.concatenate(found, axis=1)
+        ok = shared_differences(batch.column("p_").to_numpy(), batch.column("d_").combine_chunks(), n, a, b, threshold)
         a, b = rep[a[ok]], rep[b[ok]]
         return pa.table({"x_": pa.array(np.minimum(a, b), pa.int64()), "y_": pa.array(np.maximum(a, b), pa.int64())})
 
@@ -439,14 +455,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     one = full.groupBy("doc_").agg(F.min(F.struct("a_", "b_")).alias("s_")).select("doc_", "s_.a_", "s_.b_")
     sets = one.groupBy("a_", "b_").agg(F.min("doc_").alias("rep_"))
     reps = full.join(sets.select(F.col("rep_").alias("doc_"), "a_", "b_"), ["doc_", "a_", "b_"], "left_semi").dropDuplicates(["doc_"])
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    nodes = reps.select(F.col("doc_").alias("rep_"), "n_", "sk_", "paths_", trees.alias("tree_")).select(
-        F.element_at("paths_", F.col("tree_") * PATHS + 1).alias("node_"),
-        "rep_",
-        "n_",
-        "sk_",
-        F.slice("paths_", F.col("tree_") * PATHS + 2, PATHS - 1).alias("path_"),
-    )
+    nodes = reps.select(F.explode("nodes_").alias("node_"), F.col("doc_").alias("rep_"), "n_", "sk_")
 
     def in_order(x: DataFrame) -> DataFrame:
         return x.repartition("node_").sortWithinPartitions("node_", "rep_")
@@ -460,26 +469,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     apart = checked.groupBy(F.col("y_").alias("rep_")).agg(F.min_by("d_", "x_").alias("d_"), F.min("x_").alias("p_"))
 
     def labelled(rows: DataFrame) -> DataFrame:
-        """Rows with their component so far, and their difference from a set with a smaller id."""
-        out = rows.join(known, "rep_", "left").join(apart, "rep_", "left")
-        return out.withColumns(
-            {"label_": F.coalesce("comp_", "rep_"), "p_": F.coalesce("p_", "rep_"), "d_": F.coalesce("d_", F.array().cast("array<int>"))}
-        )
+        """Rows with their component so far."""
+        return rows.join(known, "rep_", "left").withColumn("label_", F.coalesce("comp_", "rep_")).drop("comp_")
+
+    def differing(rows: DataFrame) -> DataFrame:
+        """Rows with their difference from a set with a smaller id."""
+        out = rows.join(apart, "rep_", "left")
+        return out.withColumns({"p_": F.coalesce("p_", "rep_"), "d_": F.coalesce("d_", F.array().cast("array<int>"))})
 
     known = cut_lineage(components(links[0]))
-    open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_", "path_")
-    found = []
-    for level in range(FIRST_LEVEL, LAST_LEVEL + 1):
-        if open_.isEmpty():
-            break
-        last = level == LAST_LEVEL
-        seen = cut_lineage(_second_look(in_order(labelled(open_)), threshold, last))
-        found.append(seen.where("kind_ = 0").select(F.col("node_").alias("x_"), F.col("rep_").alias("y_")))
-        open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_", "path_")
-        if last and not open_.isEmpty():
-            found.append(_blocks(labelled(open_), threshold))
-    if found:
-        more = cut_lineage(reduce(DataFrame.unionAll, found).distinct())
+    open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_")
+    if not open_.isEmpty():
+        seen = cut_lineage(_second_look(in_order(differing(labelled(open_))), threshold))
+        more = seen.where("kind_ = 0").select(F.col("node_").alias("x_"), F.col("rep_").alias("y_"))
+        large = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_")
+        if not large.isEmpty():
+            more = more.unionAll(_blocks(differing(cut_lineage(_placed(labelled(large)))), threshold))
+        more = cut_lineage(more.distinct())
         if not more.isEmpty():
             links.append(cut_lineage(confirm(more, docs, size, percent).where("linked_").select("x_", "y_").distinct()))
             known = cut_lineage(components(reduce(DataFrame.unionAll, links)))

@@ -62,6 +62,32 @@ def test_groups_like_brute_force(spark, monkeypatch, limit):
     assert run(spark, rows) == brute(rows, 2, 80)
 
 
+def test_copies_far_apart_around_a_late_hub(spark):
+    """2 000 different copies, each linked (0.802) to the set with the largest id alone, share nodes of any depth."""
+    rng = np.random.default_rng(3)
+    base = [f"w{n}" for n in range(201)]
+    rows = [(2000, " ".join(base))]
+    for key in range(2000):
+        text = list(base)
+        for at in 3 + 15 * rng.permutation(13)[:11] + rng.integers(0, 12, 11):
+            text[at] = f"new{key}-{at}"
+        rows.append((key, " ".join(text)))
+    assert {r[2] for r in run(spark, rows)} == {0}
+
+
+@pytest.mark.parametrize("limit", [2, 5])
+def test_blocks_of_mixed_components_like_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(module, "NODE_LIMIT", limit)
+    rng = np.random.default_rng(limit)
+    core = [f"c{n}" for n in range(90)]
+    texts = []
+    for group in range(12):  # groups share 90 of about 103 words, so their nodes mix components
+        base = core + [f"g{group}-{n}" for n in range(13)]
+        texts += list(copies(rng, base, 12, 3 + group))
+    rows = [(int(k), t) for k, t in zip(rng.permutation(len(texts)), texts)]
+    assert run(spark, rows) == brute(rows, 2, 80)
+
+
 def test_odd_rows(spark):
     rows = [(5, "a b c d e f g"), (None, "a b c d e f g"), (3, "A b C d e f g"), (4, None), (4, None), (7, "a b c d e f g"), (7, "a b c d e f g")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
