@@ -16,6 +16,8 @@ from tableprobe.queries.statistics import DOC_LABELS, documents_with_labels
 from tableprobe.sources import csv as csv_source
 from tableprobe.sources import store
 
+LIST_ROWS = 10_000  # records of one JSON list
+
 _ORDERS_TEXT = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority"
 
 
@@ -52,13 +54,15 @@ def csv_with_line_breaks(t: Tables) -> DataFrame:
 
 @query("json_of_both_kinds", "S7", f"SELECT event_id, event_type, {r('value')} AS value FROM events")
 def json_of_both_kinds(t: Tables) -> DataFrame:
-    """One folder with files of records per line and files of one list each."""
+    """One folder with files of records per line and files of one list each, of about LIST_ROWS records."""
     path = scratch(t.spark)
     events = t.events.select("event_id", "event_type", "value")
     store.write_records(events.where("event_id % 2 = 0"), f"{path}/lines")
-    for number in (1, 3):
-        one = events.where(F.col("event_id") % 4 == number).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value"))
-        one.write.text(f"{path}/list{number}")
+    odd = events.where("event_id % 2 != 0 or event_id is null")
+    lists = max(2, -(-odd.count() // LIST_ROWS))
+    bucket = F.pmod(F.xxhash64(*events.columns), F.lit(lists)).alias("bucket")
+    one = odd.groupBy(bucket).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
+    one.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/lists")
     return store.read_records(t.spark, f"{path}/*", "event_id long, event_type string, value double")
 
 
