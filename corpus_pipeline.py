@@ -19,7 +19,7 @@ from tableprobe.session import checkpoint_folder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents with a letter; no score or margin rejects a text, so one in an unknown language stays."""
     return keep_identified(docs, fit(docs))
 
 
