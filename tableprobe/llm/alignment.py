@@ -14,10 +14,10 @@ To read the counts back, the vector and the most frequent pairs (each above 1 /
 at most 65 536 of them) are broadcast; rarer pairs are joined by a shuffle in which no key can hold
 more than that share of the rows.
 
-Text is encoded in units that start at a white character after a visible one. Neither vocabulary
-joins tokens across such a place: the splitter of A starts a piece there, and the pieces of B are checked
-when they are loaded. Units met before in a task are not encoded again; the table of units is
-bounded and lives as long as the task.
+Text is encoded in units, cut before white characters and between a letter and the mark behind it.
+Neither vocabulary joins tokens across such a place: the splitter of A starts a piece there, and the
+pieces of B are checked when they are loaded. Units met before in a task are not encoded again; the
+table of units is bounded and lives as long as the task.
 
 Defined results: NULL and empty texts, and texts whose tokens do not spell a space and the text (B
 reads U+2581 as a space), have no tokens, zeros and an empty string of groups. Rows without an id and
@@ -29,10 +29,12 @@ an empty table. Only id and text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +44,10 @@ from pyspark.sql import functions as F
 
 from tableprobe.session import checkpoint_folder
 
+LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 SHIFT = 20  # a pair is one number: the A id above, the B id in the lower 20 bits
 FREQUENT = 65_536
-UNITS, UNIT_CHARACTERS = 100_000, 8_000_000  # bounds of a task's table
+UNITS, UNIT_CHARACTERS = 200_000, 8_000_000  # bounds of a task's table
 COUNTED_AT_ONCE = 1 << 20
 FAN_IN = 32
 
@@ -63,6 +66,7 @@ class Vocabularies:
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_file=path_b)
@@ -82,24 +86,28 @@ class Vocabularies:
         spelled = {self.b_bytes[i]: i for i in sorted(range(len(pieces)), key=lambda i: (not self.b.is_byte(i), -i)) if self.b_bytes[i]}
         self.same = np.array([spelled.get(x, -1) for x in self.a_bytes], np.int64)
         self.blank = self.b.piece_to_id("▁")
-        # A text may be cut before a blank unless a piece goes on from a visible character to a
-        # blank, and before a line break or tab if no piece but their byte has it.
-        written = [p for p, i in zip(pieces, range(len(pieces))) if not marked[i] and not self.b.is_byte(i)]
-        cuts = "".join(c for c in "\n\t" if not any(c in p for p in written))
-        if not any("▁" in p.lstrip("▁") for p in written):
-            cuts += " "
-        tied = rf"(?![{cuts}])\s" if cuts else r"\s"
-        self.unit = re.compile(rf"\s*\S+(?:{tied}\s*\S+)*(?:{tied}\s*)?|\s+") if " " in cuts else re.compile(r"(?s).+")
-
-    def pieces(self, unit: str) -> str:
-        """What B is asked for a unit: it puts a blank before, which a unit that starts with one spares."""
-        return unit[1:] if unit[0] == " " else unit
+        written = [p for i, p in enumerate(pieces) if not marked[i] and not self.b.is_byte(i)]
+        self.cut = cuts(written)
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and B of every unit."""
+        """Ids of A and B of every unit. B puts a blank before a text: a unit that starts with one is
+        given without it, any other one after a line break, which joins nothing."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        b = self.b.encode([self.pieces(u) for u in units], num_threads=1)
-        return a, [[self.blank] if u == " " else ids if u[0] == " " else ids[1:] for u, ids in zip(units, b)]
+        b = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
+        return a, [[self.blank] if u == " " else ids if u[0] == " " else ids[2:] for u, ids in zip(units, b)]
+
+
+def cuts(pieces: list[str]) -> re.Pattern:
+    """Where a text may be cut: no token of A or B goes across.
+
+    That is before a blank, line break or tab that follows a visible character, and between a Latin letter and the mark
+    behind it; each as far as no written piece of B goes on there.
+    """
+    if any("\n" in p for p in pieces) or any("▁" in p.lstrip("▁") for p in pieces):
+        return re.compile(r"(?!)")
+    white = "".join(c for c in " \n\t" if not any(c in p for p in pieces))
+    marks = "".join(c for c in ".,!?;:" if not any(re.search(rf"[{LATIN}]{re.escape(c)}", p) for p in pieces))
+    return re.compile(rf"(?<=\S)(?=[{white}])" + (rf"|(?<=[{LATIN}])(?=[{marks}])" if marks else ""))
 
 
 @lru_cache(maxsize=1)
@@ -109,7 +117,7 @@ def vocabularies(path_a: str, path_b: str) -> Vocabularies:
 
 
 def links(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of linked A and B tokens, and how many links end the groups.
+    """Positions of linked A and B tokens, and where groups end.
 
     Between two neighbouring ends of either side lies one stretch of bytes that belongs to one token of
     each side; it is their overlap.
@@ -142,48 +150,48 @@ class Units(dict):
         return number
 
     def learn(self) -> None:
-        """Align the units that are new."""
+        """Align the units that are new, all at once: laid end to end, both sides cut the same bytes."""
         if not self.new:
             return
         both = self.both
-        sizes, good, codes, counts = [], [], [], []
-        for unit, a, b in zip(self.new, *both.encode(self.new)):
-            spelled = unit.encode()
-            fine = b"".join(map(both.a_bytes.__getitem__, a)) == spelled == b"".join(map(both.b_bytes.__getitem__, b))
-            good.append(fine)
-            if not fine:
-                sizes.append((0, 0, 0, 0))
-                self.texts.append("")
-                counts.append(0)
-                continue
-            if len(a) == 1 == len(b):
-                code, groups, text = np.array([a[0] << SHIFT | b[0]], np.int64), 1, f"{a[0]}|{b[0]}"
-            else:
-                ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-                a_ends, b_ends = np.cumsum(both.a_length[ids_a]), np.cumsum(both.b_length[ids_b])
-                at_a, at_b, cuts = links(a_ends, b_ends)
-                code = ids_a[at_a] << SHIFT | ids_b[at_b]
-                stop_a, stop_b = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
-                groups, parts, i, j = len(cuts), [], 0, 0
-                for x, y in zip(stop_a.tolist(), stop_b.tolist()):
-                    parts.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                    i, j = x, y
-                text = ";".join(parts)
-            sizes.append((len(a), len(b), groups, len(code)))
-            self.texts.append(text)
-            codes.append(code)
-            counts.append(len(code))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
-        self.good = np.concatenate([self.good, np.array(good, bool)])
-        self.codes = np.concatenate([self.codes, *codes])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.array(counts, np.int64))])
+        units, (a, b) = self.new, both.encode(self.new)
+        spelled = [unit.encode() for unit in units]
+        fine = np.ones(len(units), bool)
+        for ids, names in ((a, both.a_bytes), (b, both.b_bytes)):
+            if [b"".join(map(names.__getitem__, x)) for x in ids] != spelled:
+                fine &= [b"".join(map(names.__getitem__, x)) == s for x, s in zip(ids, spelled)]
+        if not fine.all():
+            a, b = ([x if ok else [] for x, ok in zip(ids, fine.tolist())] for ids in (a, b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
+        a, b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        a_ends, b_ends = np.cumsum(both.a_length[ids_a]), np.cumsum(both.b_length[ids_b])
+        at_a, at_b, cuts = links(a_ends, b_ends)
+        stop_a, stop_b = np.searchsorted(a_ends, cuts) + 1, np.searchsorted(b_ends, cuts) + 1
+        # Where the links and the groups of every unit end.
+        last_a = np.cumsum(n_a)
+        end_links, end_groups = np.searchsorted(at_a, last_a), np.searchsorted(stop_a, last_a, "right")
+        n_links, n_groups = np.diff(end_links, prepend=0), np.diff(end_groups, prepend=0)
+        names_a, names_b = list(map(str, a)), list(map(str, b))
+        groups, i, j = [], 0, 0
+        for x, y in zip(stop_a.tolist(), stop_b.tolist()):
+            groups.append(f"{names_a[i] if x - i == 1 else ','.join(names_a[i:x])}|{names_b[j] if y - j == 1 else ','.join(names_b[j:y])}")
+            i, j = x, y
+        start = 0
+        for end in end_groups.tolist():
+            self.texts.append(groups[start] if end - start == 1 else ";".join(groups[start:end]))
+            start = end
+        self.sizes = np.concatenate([self.sizes, np.stack([n_a, n_b, n_groups, n_links], axis=1)])
+        self.good = np.concatenate([self.good, fine])
+        self.codes = np.concatenate([self.codes, ids_a[at_a] << SHIFT | ids_b[at_b]])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n_links)])
         self.new = []
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The units of every text by number."""
         if len(self) > UNITS or self.characters > UNIT_CHARACTERS:
             self.start()
-        found = [self.both.unit.findall(" " + t) if t else None for t in texts]
+        found = [self.both.cut.split(" " + t) if t else None for t in texts]
         out = [np.fromiter(map(self.__getitem__, u), np.int64, len(u)) if u else None for u in found]
         self.learn()
         return out
