@@ -115,9 +115,9 @@ def file_charsets(t: Tables) -> DataFrame:
     path = scratch(t.spark)
     flat = t.documents.select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"), "lang")
     french = flat.where((F.col("lang") == "fr") & F.col("text").rlike("[éèêàçù]"))
-    flat.select("doc_id", "text").write.option("sep", "\t").csv(f"{path}/kind=utf8")
-    latin = french.select("doc_id", "text").write.option("sep", "\t").option("encoding", "ISO-8859-1")
-    latin.csv(f"{path}/kind=latin")
+    for kind, rows, charset in (("utf8", flat, "UTF-8"), ("latin", french, "ISO-8859-1")):
+        writer = rows.select("doc_id", "text").write.option("sep", "\t").option("escape", '"')
+        writer.option("encoding", charset).csv(f"{path}/kind={kind}")
     found = csv_source.file_charsets(t.spark, f"{path}/*", fallback="ISO-8859-1")
     kinds = found.select(F.regexp_extract("path", "kind=([a-z0-9]+)", 1).alias("kind"), "charset").distinct()
     out = None
