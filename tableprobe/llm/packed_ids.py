@@ -11,20 +11,22 @@ unpacks a block, or any slice of it, without loops.
 Text goes through the tokenizer in pieces: the vocabulary's byte-level splitter never joins text
 across the cuts made here (before a single space that follows other text, and between a Latin
 word and the punctuation that ends it), so the ids of the pieces in a row are the ids of the
-text, and a piece that a worker has seen is not encoded again.
+text, and a piece that a task has seen is not encoded again. New pieces go through the tokenizer
+as one text, with line breaks between. The tables of words and pieces are bounded and end with the task.
 
 Defined results: a NULL or empty text is a document of the end id alone. Rows without an id come
-first; equal ids keep one entry per row, ordered by a hash of the text. Special tokens written in
-a text are ordinary text. An empty table gives empty tables. Other columns are not read.
+first; equal ids keep one entry per row, ordered by a hash of the text. A special token written in
+a text is that token, as in the library's own call; such a text is encoded whole. An empty table gives
+empty tables. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 65_536
-CACHED_PIECES = 600_000
+CACHED_PIECES = 250_000
 
 # White space and letters as the vocabulary's splitter sees them.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -101,6 +103,15 @@ class Numbered(dict):
         return self.ids[np.arange(total) + np.repeat(self.starts[numbers] - ends + lengths, lengths)], ends
 
 
+@lru_cache(maxsize=1)
+def tokenizer(path: str):
+    """The tokenizer of this worker, with the library's defaults."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for every core
+    return Tokenizer.from_file(path)
+
+
 class PieceEncoder:
     """Encodes texts through bounded tables of the words and pieces seen so far.
 
@@ -109,13 +120,39 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer = tokenizer(path)
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line_break = self.whole(["\n"])[0]
         self.words, self.pieces = Numbered(), Numbered()
         self.odd = np.zeros(0, bool)
 
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without cutting them."""
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self) -> None:
+        """Ids of the new pieces. A piece is either white or has no white character but a blank in front, so
+        a line break before and after is a token of its own."""
+        new = self.pieces.new
+        if not new:
+            return
+        white = np.fromiter((piece[-1] in WHITE for piece in new), bool, len(new))
+        visible = [piece for piece in new if piece[-1] not in WHITE]
+        ids = self.whole(["\n".join(visible)])[0] if visible and len(self.line_break) == 1 else np.empty(0, np.uint32)
+        breaks = np.flatnonzero(ids == self.line_break[0])
+        if len(breaks) == len(visible) - 1:
+            ends = np.append(breaks, len(ids))
+            lengths, ids = np.diff(ends, prepend=-1) - 1, np.delete(ids, breaks)
+        else:
+            some = self.whole(visible)
+            lengths, ids = np.array([len(x) for x in some], np.int64), np.concatenate([*some, np.empty(0, np.uint32)])
+        others = self.whole([piece for piece in new if piece[-1] in WHITE])
+        count = np.empty(len(new), np.int64)
+        count[~white], count[white] = lengths, [len(x) for x in others]
+        every, of_white = np.empty(int(count.sum()), np.uint32), np.repeat(white, count)
+        every[~of_white], every[of_white] = ids, np.concatenate([*others, np.empty(0, np.uint32)])
+        self.pieces.learn(every, count)
+
     def _learn(self) -> None:
         """Ids of the new words. A word with white space next to its cut is odd: the text that
         has it is cut by ``PIECE`` instead."""
@@ -128,10 +165,7 @@ class PieceEncoder:
         cut = list(map(PIECE.findall, self.words.new))
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         flat = self.pieces.number(list(chain.from_iterable(cut)))
-        if self.pieces.new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(self.pieces.new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            self.pieces.learn(np.fromiter(chain.from_iterable(encoded), np.uint32, int(lengths.sum())), lengths)
+        self._new_pieces()
         ids, ends = self.pieces.gather(flat)
         self.words.learn(ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]))
 
@@ -140,33 +174,27 @@ class PieceEncoder:
         if len(self.words) > CACHED_PIECES:
             self.words.clear()
             self.odd = np.zeros(0, bool)
-        numbers = []
-        for text in texts:
+        numbers, marked = [], {}
+        for n, text in enumerate(texts):
+            if any(token in text for token in self.special):
+                marked[n] = self.whole([text])[0]
+                text = ""
             cut = PIECE.findall(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
             numbers.append(self.words.number(cut))
         self._learn()
         for n, text in enumerate(texts):
-            if self.odd[numbers[n]].any():
+            if n not in marked and self.odd[numbers[n]].any():
                 numbers[n] = self.words.number(PIECE.findall(text))
         self._learn()
         counts = np.array([len(n) for n in numbers], np.int64)
         ids, ends = self.words.gather(np.concatenate(numbers) if numbers else np.empty(0, np.int64))
-        return np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
-
-
-def encoder(path: str) -> PieceEncoder:
-    """The encoder of this Python worker; its tables serve all tasks that the worker runs."""
-    held = sys.modules.setdefault("_piece_encoders", types.ModuleType("_piece_encoders"))
-    if path not in held.__dict__:
-        held.__dict__[path] = PieceEncoder(path)
-    return held.__dict__[path]
+        out = np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
+        return [marked.get(n, x) for n, x in enumerate(out)]
 
 
 def vocabulary(path: str) -> tuple[int, int]:
     """Size of a vocabulary and bits per id."""
-    from tokenizers import Tokenizer
-
-    size = Tokenizer.from_file(path).get_vocab_size()
+    size = tokenizer(path).get_vocab_size()
     return size, max(1, (size - 1).bit_length())
 
 
@@ -185,7 +213,7 @@ def write(
     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = encoder(path), TaskContext.get().partitionId()
+        coder, shard = PieceEncoder(path), TaskContext.get().partitionId()
         end = np.array([end_id], np.uint32)
         keys, parts, lengths, held, first, block = [], [], [], 0, 0, 0
 

@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    out = Tokenizer.from_file(PATH)
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 17, 20, 32])
@@ -29,7 +27,7 @@ def test_pack_and_slices(width):
 
 def test_pieces_give_the_ids_of_the_text(tokenizer):
     texts = ["", " ", "  a b", "a\n\n  b ", "it's, don't.!?", "x\x1cy \x1c z", "é×÷, naïve... ", ".,! .,! x", "²½ 12ab,"]
-    texts += ["漢字 かな, ok", "а́ б, в.", "<|endoftext|> hi", "tab\t\tq ", "<http://a.b/c?d=e&f>, (x)."]
+    texts += ["漢字 かな, ok", "а́ б, в.", "<|endoftext|> hi", "a <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>\n\n<|endoftext|>  b c", "<|endoftext", "tab\t\tq ", "<http://a.b/c?d=e&f>, (x)."]
     rng = np.random.default_rng(3)
     letters = list("aZé×.,!' \n\t1²_-漢\x1c s😀ſ") + [" "] * 6
     texts += ["".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3000)]
@@ -38,6 +36,10 @@ def test_pieces_give_the_ids_of_the_text(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_special_tokens_are_tokens(tokenizer):
+    assert PieceEncoder(PATH).encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_round_trip_random_access_and_odd_rows(spark, tokenizer, tmp_path):
     rows = [(5, "five five", "x"), (None, "no id", "x"), (2, None, "x"), (2, "two", None), (9, "long text. " * 30_000, ""), (7, "", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start string")
