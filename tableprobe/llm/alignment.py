@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.session import checkpoint_folder
+from tableprobe.llm.tables import stored
 
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 SHIFT = 20  # a pair is one number: the A id above, the B id in the lower 20 bits
@@ -217,14 +216,6 @@ DDL = (
 DOCUMENT, VECTOR, PAIRS = 0, 1, 2
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/alignment-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def encoded(df: DataFrame, path_a: str, path_b: str, key: str, text: str, hashed: bool) -> DataFrame:
     """One row per document with its sizes, groups and distinct links, and the counts of each task.
 
@@ -308,14 +299,14 @@ class Alignment:
     """Documents and pairs of one corpus. ``pairs`` has code, a, b and n, the number of documents."""
 
     def __init__(self, df: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text", hashed: bool = True):
-        self.rows = stored(encoded(df, path_a, path_b, key, text, hashed))
+        self.rows = stored(encoded(df, path_a, path_b, key, text, hashed), "alignment")
         both = vocabularies(path_a, path_b)
         vector = added(self.rows.where(F.col("kind_") == VECTOR))
         self.vector = np.zeros(len(both.same), np.int64) if vector is None else vector
         self.same = both.same
         tasks = self.rows.where(F.col("kind_") == PAIRS).select(F.explode(F.arrays_zip("codes_", "codes_n_")).alias("p"))
         counted = tasks.groupBy(F.col("p.codes_").alias("code")).agg(F.sum("p.codes_n_").alias("n"))
-        self.others = stored(counted.withColumns({"a": F.shiftright("code", SHIFT), "b": F.col("code").bitwiseAND((1 << SHIFT) - 1)}))
+        self.others = stored(counted.withColumns({"a": F.shiftright("code", SHIFT), "b": F.col("code").bitwiseAND((1 << SHIFT) - 1)}), "alignment")
 
     def pairs(self) -> DataFrame:
         """All linked pairs (a, b) with the number of documents that hold them."""
@@ -364,7 +355,7 @@ class Alignment:
         rare = self.others.where(~frequent)
         if rare.isEmpty():
             return counted.drop("row_", "rare_", "rare_n_")
-        counted = stored(counted)
+        counted = stored(counted, "alignment")
         bests = F.broadcast(spark.createDataFrame(pa.table({"a": ids, "best_": best[ids]})))  # as long as the vocabulary at most
         rare = rare.join(bests, "a").select("code", F.col("n").alias("c_"), (F.col("n") == F.col("best_")).cast("long").alias("is_best_"))
         held_by = counted.select("row_", F.explode(F.arrays_zip("rare_", "rare_n_")).alias("p"))

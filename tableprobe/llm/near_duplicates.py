@@ -22,12 +22,12 @@ of sets with the same p, for enough shared differences; random edits have none.
 
 A comparison looks at sizes and at a 256-bit sketch first (one bit of 256 minwise hashes). It
 passes pairs from an estimate of about 0.6 on; a pair of similarity 0.8 fails that with a chance
-below one in a million. Every link is confirmed on the shingles themselves.
+below one in a million. Every link is confirmed on the full sets of 64-bit shingle hashes, which are stored
+once and read for candidates only; no text is read twice.
 
 Defined results: NULL texts and texts without words have an empty set and no links; with fewer
 words than a shingle, the whole row of words is the one shingle. Rows without an id are not
-linked. Rows of one id are one document: the one with the smallest set hash is searched for, any
-of them can confirm a link. An empty table gives an empty table. Only id and text are read, so other columns cannot clash.
+linked. Rows of one id are one document: the one with the smallest set hash stands for it. An empty table gives an empty table. Only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -38,10 +38,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.tables import stored
 from tableprobe.llm.words import WordHashes, chain, grams, mix
 from tableprobe.session import cut_lineage
 
@@ -54,6 +54,7 @@ NODE_LIMIT = 512
 BLOCK_NODES = 4  # a block of a larger node holds about so many times NODE_LIMIT sets
 PAIRS_AT_ONCE = 1 << 18
 BROADCAST_IDS = 2_000_000
+PARTNERS = 512  # sets that are compared with one copy of another
 DIFFERENCE_COLUMNS = 2048  # differences that are compared at a time
 MASKS, FACTORS = np.random.default_rng(20).integers(0, 2**32, (2, TREES * DEPTH + SKETCH_BITS), dtype=np.uint32)
 FACTORS = FACTORS | np.uint32(1)
@@ -108,15 +109,16 @@ def sketches(column: pa.Array) -> np.ndarray:
 
 
 def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """doc_, n_, the hash of the set (a_, b_), nodes_ (one per tree) and sk_ of every row."""
+    """doc_, n_, the hash of the set (a_, b_), nodes_ (one per tree), sk_ and set_ (sorted hashes) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
-            n, a, b, nodes, sk = [], [], [], [], []
+            n, a, b, nodes, sk, sets = [], [], [], [], [], []
             for value in batch.column("t_"):
                 found = shingle_hashes(table.of(words(value.as_py())), size)
                 n.append(len(found))
+                sets.append(found.tobytes())
                 if len(found):
                     node, sketch = describe(found)
                     a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
@@ -136,12 +138,13 @@ def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     pa.array(b, pa.int64()),
                     pa.array(nodes, pa.list_(pa.int64())),
                     pa.array(sk, pa.binary()),
+                    pa.array(sets, pa.binary()),
                 ],
-                names=["doc_", "n_", "a_", "b_", "nodes_", "sk_"],
+                names=["doc_", "n_", "a_", "b_", "nodes_", "sk_", "set_"],
             )
 
     named = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
-    return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary")
+    return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary, set_ binary")
 
 
 def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -376,36 +379,45 @@ def _blocks(placed: DataFrame, threshold: float) -> DataFrame:
     return met.select(*columns).groupBy("node_", "i_", "j_").applyInArrow(compare, "x_ long, y_ long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, rows: DataFrame, searched: DataFrame, percent: int) -> DataFrame:
     """All pairs (x_, y_) with ``linked_``, whether their full sets reach the similarity.
 
-    ``d_`` has 32-bit hashes of the shingles in which y_ differs from x_. ``docs`` has doc_ and t_.
+    ``d_`` has the shingles in which y_ differs from x_. ``rows`` has set_ by (doc_, a_, b_) and ``searched`` names
+    those three once per id. The partners of a set stream past one copy of it; a set with many partners has several copies in different tasks.
     """
     ids = cut_lineage(pairs.select(F.col("x_").alias("doc_")).unionAll(pairs.select(F.col("y_").alias("doc_"))).distinct())
-    # Few ids are sent to the texts; many are joined by a shuffle.
+    # Few ids are sent to the sets; many are joined by a shuffle.
     small = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_", "left_semi")
-    sides = pairs.join(texts.select(F.col("doc_").alias("y_"), F.col("t_").alias("ty_")), "y_").join(
-        texts.select(F.col("doc_").alias("x_"), F.col("t_").alias("tx_")), "x_"
-    )
+    held = rows.select("doc_", "a_", "b_", "set_").join(F.broadcast(ids) if small else ids, "doc_", "left_semi")
+    held = held.join(searched, ["doc_", "a_", "b_"], "left_semi").dropDuplicates(["doc_"]).select("doc_", "set_")
+    parts = pairs.groupBy("x_").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts_"))
+    placed = pairs.join(parts, "x_").withColumn("at_", F.pmod(F.xxhash64("y_"), F.col("parts_")).cast("int"))
+    partners = placed.join(held.withColumnRenamed("doc_", "y_"), "y_").select("x_", "at_", "y_", "set_")
+    copies = parts.withColumn("at_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
+    copies = copies.join(held.withColumnRenamed("doc_", "x_"), "x_").select("x_", "at_", F.lit(None).cast("long").alias("y_"), "set_")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.empty(0, np.uint64)
         for batch in batches:
-            linked, differ, last, mine = [], [], None, None
-            for x, tx, ty in zip(batch.column("x_").to_pylist(), batch.column("tx_"), batch.column("ty_")):
-                if x != last:
-                    last, mine = x, shingles(tx.as_py(), size)
-                other = shingles(ty.as_py(), size)
-                apart = mine ^ other
+            x_, y_, linked, differ = [], [], [], []
+            for x, y, raw in zip(batch.column("x_").to_pylist(), batch.column("y_").to_pylist(), batch.column("set_")):
+                other = np.frombuffer(raw.as_buffer(), np.uint64)
+                if y is None:
+                    mine = other
+                    continue
+                apart = np.setxor1d(mine, other, assume_unique=True)
                 union = (len(mine) + len(other) + len(apart)) // 2
+                x_.append(x)
+                y_.append(y)
                 linked.append(100 * (union - len(apart)) >= percent * union)
-                differ.append([xxhash.xxh3_64_intdigest(b" ".join(w)) % (1 << 31) for w in apart])
+                differ.append(apart.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("x_"), batch.column("y_"), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int32()))],
+                [pa.array(x_, pa.int64()), pa.array(y_, pa.int64()), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))],
                 names=["x_", "y_", "linked_", "d_"],
             )
 
-    return sides.select("x_", "y_", "tx_", "ty_").mapInArrow(check, "x_ long, y_ long, linked_ boolean, d_ array<int>")
+    streams = partners.unionAll(copies).repartition("x_", "at_").sortWithinPartitions("x_", "at_", F.col("y_").asc_nulls_first())
+    return streams.mapInArrow(check, "x_ long, y_ long, linked_ boolean, d_ array<long>")
 
 
 def shingles(text: str | None, size: int) -> set:
@@ -444,27 +456,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Every row: key_, n_shingles_, component_ (smallest linked id) and links_.
-
-    ``links_`` counts the confirmed links that the search used at the representative of the row's
-    set; equal sets are not expanded into pairs.
-    """
+    """Every row: key_, n_shingles_ and component_ (smallest linked id)."""
     threshold = percent / 100
-    rows = cut_lineage(describe_rows(df, key, text, size))
+    rows = stored(describe_rows(df, key, text, size), "near-duplicates")
     full = rows.where("n_ > 0 and doc_ is not null")
     one = full.groupBy("doc_").agg(F.min(F.struct("a_", "b_")).alias("s_")).select("doc_", "s_.a_", "s_.b_")
     sets = one.groupBy("a_", "b_").agg(F.min("doc_").alias("rep_"))
-    reps = full.join(sets.select(F.col("rep_").alias("doc_"), "a_", "b_"), ["doc_", "a_", "b_"], "left_semi").dropDuplicates(["doc_"])
+    searched = sets.select(F.col("rep_").alias("doc_"), "a_", "b_")
+    reps = full.join(searched, ["doc_", "a_", "b_"], "left_semi").dropDuplicates(["doc_"])
     nodes = reps.select(F.explode("nodes_").alias("node_"), F.col("doc_").alias("rep_"), "n_", "sk_")
 
     def in_order(x: DataFrame) -> DataFrame:
         return x.repartition("node_").sortWithinPartitions("node_", "rep_")
 
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
-    docs = docs.where("doc_ is not null and t_ is not null")
     seen = cut_lineage(_first_look(in_order(nodes), threshold))
     pairs = seen.where("kind_ = 0").select(F.col("node_").alias("x_"), F.col("rep_").alias("y_")).distinct()
-    checked = cut_lineage(confirm(cut_lineage(pairs), docs, size, percent))
+    checked = stored(confirm(cut_lineage(pairs), full, searched, percent), "near-duplicates")
     links = [checked.where("linked_").select("x_", "y_").distinct()]
     apart = checked.groupBy(F.col("y_").alias("rep_")).agg(F.min_by("d_", "x_").alias("d_"), F.min("x_").alias("p_"))
 
@@ -475,7 +482,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     def differing(rows: DataFrame) -> DataFrame:
         """Rows with their difference from a set with a smaller id."""
         out = rows.join(apart, "rep_", "left")
-        return out.withColumns({"p_": F.coalesce("p_", "rep_"), "d_": F.coalesce("d_", F.array().cast("array<int>"))})
+        return out.withColumns({"p_": F.coalesce("p_", "rep_"), "d_": F.coalesce("d_", F.array().cast("array<long>"))})
 
     known = cut_lineage(components(links[0]))
     open_ = seen.where("kind_ = 1").select("node_", "rep_", "n_", "sk_")
@@ -487,19 +494,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
             more = more.unionAll(_blocks(differing(cut_lineage(_placed(labelled(large)))), threshold))
         more = cut_lineage(more.distinct())
         if not more.isEmpty():
-            links.append(cut_lineage(confirm(more, docs, size, percent).where("linked_").select("x_", "y_").distinct()))
+            links.append(cut_lineage(confirm(more, full, searched, percent).where("linked_").select("x_", "y_").distinct()))
             known = cut_lineage(components(reduce(DataFrame.unionAll, links)))
-    degree = reduce(DataFrame.unionAll, links)
-    degree = degree.select(F.col("x_").alias("rep_")).unionAll(degree.select(F.col("y_").alias("rep_"))).groupBy("rep_").agg(F.count("*").alias("links_"))
-    member = one.join(sets, ["a_", "b_"]).select("doc_", "rep_").join(known, "rep_", "left").join(degree, "rep_", "left")
-    member = member.select("doc_", F.coalesce("comp_", "rep_").alias("component_"), F.coalesce("links_", F.lit(0)).alias("links_"))
+    member = one.join(sets, ["a_", "b_"]).select("doc_", "rep_").join(known, "rep_", "left")
+    member = member.select("doc_", F.coalesce("comp_", "rep_").alias("component_"))
     # Rows without an id or a set match nothing below and are spread by their size.
     linked = F.when(F.col("n_") > 0, F.col("doc_"))
     spread = F.coalesce(linked, -F.abs(F.xxhash64("doc_", "n_", F.monotonically_increasing_id())) - 1)
     return (
         rows.select(F.col("doc_").alias("key_"), "n_", F.when(linked.isNull(), F.lit(0)).otherwise(F.lit(1)).alias("has_"), spread.alias("j_"))
-        .join(member.select(F.col("doc_").alias("j_"), F.lit(1).alias("has_"), "component_", "links_"), ["j_", "has_"], "left")
-        .select("key_", F.col("n_").alias("n_shingles_"), F.coalesce("component_", "key_").alias("component_"), F.coalesce("links_", F.lit(0)).alias("links_"))
+        .join(member.select(F.col("doc_").alias("j_"), F.lit(1).alias("has_"), "component_"), ["j_", "has_"], "left")
+        .select("key_", F.col("n_").alias("n_shingles_"), F.coalesce("component_", "key_").alias("component_"))
     )
 
 

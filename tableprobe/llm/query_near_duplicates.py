@@ -17,5 +17,4 @@ def op6_near_duplicates(spark, folder):
         F.col("n_shingles_").alias("n_shingles"),
         F.col("component_").alias("component_id"),
         F.coalesce(F.col("key_") == F.col("component_"), F.lit(True)).alias("kept"),
-        F.col("links_").alias("n_links"),
     )

@@ -28,7 +28,6 @@ table gives an empty table. Only id and text are read, so other columns cannot c
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.near_duplicates import components
+from tableprobe.llm.tables import stored
 from tableprobe.llm.words import WordHashes, chain, grams, mix
-from tableprobe.session import checkpoint_folder, cut_lineage
+from tableprobe.session import cut_lineage
 
 BAND = 1.5  # a band ends where sizes are so many times its start
 EMPTY_SHARE = 25  # one spare segment for so many
@@ -51,14 +51,6 @@ PARTNERS = 512  # rows that are compared with one copy of a set
 BROADCAST_IDS = 1_000_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/signatures-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def band_starts(longest: int) -> list[int]:
     """First sizes of the bands up to a size."""
     out = [1]
@@ -382,9 +374,9 @@ def with_label(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, percent: int = 90) -> DataFrame:
     """Every row: key_, n_shingles_ and component_, the smallest id reachable by links."""
-    rows = stored(described(df, key, text, size, percent))
+    rows = stored(described(df, key, text, size, percent), "signatures")
     full = rows.where("n_ > 0 and doc_ is not null")
-    equal = stored(full.groupBy("a_", "b_").agg(F.min("row_").alias("row_"), F.min("doc_").alias("least_"), F.count("*").alias("c_")))
+    equal = stored(full.groupBy("a_", "b_").agg(F.min("row_").alias("row_"), F.min("doc_").alias("least_"), F.count("*").alias("c_")), "signatures")
     copies = equal.where("c_ > 1").select("a_", "b_", F.col("row_").alias("first_"))
     # Of equal sets the first row is searched for; few copies are sent to the rows.
     few = copies.count() <= BROADCAST_IDS
@@ -392,14 +384,14 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     keyed = sets.select(F.explode("keys_").alias("key_"), "row_")
     shared = keyed.groupBy("key_").agg(F.min("row_").alias("x_"), F.count("*").alias("c_")).where("c_ > 1").drop("c_")
     pairs = keyed.join(shared, "key_").where("x_ != row_").select("x_", F.col("row_").alias("y_")).distinct()
-    pairs = stored(pairs)
-    links = stored(linked_pairs(pairs, rows, percent))
+    pairs = stored(pairs, "signatures")
+    links = stored(linked_pairs(pairs, rows, percent), "signatures")
     # Several sets of one id are one document.
     several = full.groupBy("doc_").agg(F.min("a_").alias("m_"), F.max("a_").alias("n_")).where("m_ != n_").select("doc_")
     own = full.join(several, "doc_").join(equal.select("a_", "b_", F.col("row_").alias("y_")), ["a_", "b_"])
     first = own.groupBy("doc_").agg(F.min("y_").alias("x_"))
     own = own.join(first, "doc_").where("x_ != y_").select("x_", "y_").distinct()
-    links = stored(links.unionAll(own))
+    links = stored(links.unionAll(own), "signatures")
     known = cut_lineage(components(links))
     trees = cut_lineage(components(pairs))
     members = with_label(trees.select(F.col("rep_").alias("row_"), F.col("comp_").alias("tree_")), known, "label_")
@@ -411,9 +403,9 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
         here = here.join(most.withColumn("bits_n_", F.greatest("bits_n_", F.lit(64))), "tree_")
         order = here.withColumn("order_", F.xxhash64(F.substring("set_", 1, 8)))  # the smallest shingle hash
         order = order.repartitionByRange("tree_", "label_", "order_", "row_").sortWithinPartitions("tree_", "label_", "order_", "row_")
-        nodes = stored(nodes_of(order))
+        nodes = stored(nodes_of(order), "signatures")
         leaves = nodes.where("level_ = 0")
-        more = stored(compared(leaves, stored(traversed(nodes, percent)), percent))
+        more = stored(compared(leaves, stored(traversed(nodes, percent), "signatures"), percent), "signatures")
         known = cut_lineage(components(links.unionAll(more)))
     ends = with_label(equal.select("row_", "a_", "b_", "least_"), known, "comp_")
     least = ends.groupBy("comp_").agg(F.min("least_").alias("component_"))
