@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tableprobe.operators import states
 from tableprobe.operators.order_stats import long_values, quantiles
 
 # Fence factor, z limit and coefficient of variation.
@@ -28,25 +29,18 @@ def population_kurtosis(value: Column) -> Column:
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per column: n_finite, mean, std (population), skewness, kurtosis, min, max.
 
-    All columns in one scan: values go through one long aggregate per column name, so the
-    generated code stays small however wide the table is.
+    All columns in one scan: tasks hold the central moments of their rows and merge them, whatever the
+    width of the table.
     """
-    spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], MOMENT_FIELDS)
-    value = F.col("value")
-    stats = long_values(df, columns).groupBy("column").agg(
-        F.count(value).alias("n_finite"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        population_skewness(value).alias("skewness"),
-        population_kurtosis(value).alias("kurtosis"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-    )
-    return every_column(spark, columns).join(stats, "column", "left").select(
-        "column", F.coalesce("n_finite", F.lit(0)).alias("n_finite"), "mean", "std", "skewness", "kurtosis", "min", "max"
-    )
+        return df.sparkSession.createDataFrame([], MOMENT_FIELDS)
+    found = states.moments_of(states.scan(df, columns, [states.Moments()]), columns)
+    return moment_table(df.sparkSession, list(found.values()))
+
+
+def moment_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Moments, one dictionary per column, as a table."""
+    return spark.createDataFrame([tuple(r[f.split(" ")[0]] for f in MOMENT_FIELDS.split(", ")) for r in rows], MOMENT_FIELDS)
 
 
 def every_column(spark: SparkSession, columns: list[str]) -> DataFrame:
@@ -86,8 +80,7 @@ def outliers(
     spark = df.sparkSession
     by_column = {r["column"]: r for r in (moment_rows or moments(df, columns).collect())}
     if fence_of is None:
-        known = {c: (by_column[c]["n_finite"], by_column[c]["min"], by_column[c]["max"]) for c in columns}
-        fence_of = fences(df, columns, known=known)
+        fence_of = fences(df, columns)
     limits = []
     for c in columns:
         low, high = fence_of[c] or (None, None)

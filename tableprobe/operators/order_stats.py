@@ -1,25 +1,22 @@
-"""Exact order statistics without sorting a column in one task.
-
-Every wanted rank sits in a bracket of values. A pass cuts each bracket into equal-width
-cells, counts them (map-side, a few thousand numbers per bracket) and replaces the bracket
-by the cell that holds the rank, described by the smallest and largest value really found in
-it. Cells are monotone in the value, so the counts are exact. Once a bracket is small enough
-its values are grouped and put in order. All columns and ranks share every pass, tables are
-kept in long form ``(column, value)``, and the driver sees one row per rank.
+"""Exact order statistics by radix selection, without sorting a column.
+
+Doubles have a 64-bit number in their order. A pass counts the next twelve bits of the values that
+share a wanted rank's prefix, so each rank's prefix grows by twelve bits; at most six passes tell any two
+values apart, and a cell that holds one value only is done earlier (two or three passes are typical). Counts
+are made inside the tasks, a few thousand per rank and task are shuffled, and the driver sees one row per
+rank; of the first pass, which also gives the number of values, the at most 4 096 cells of a column.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import finite, ref
-
-CELLS = 4_096
-SMALL_BRACKET = 200_000
-MAX_PASSES = 40
+from tableprobe.operators import states
 
 
 def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -30,116 +27,73 @@ def long_values(df: DataFrame, columns: list[str], keep: list[str] | None = None
     return long.where(F.col("value").isNotNull())
 
 
-def ranges(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
-    """``(count, min, max)`` of the finite values per column."""
-    rows = (
-        long_values(df, columns)
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
-        .collect()
-    )
-    found = {r["column"]: (r["n"], r["low"], r["high"]) for r in rows}
-    return {c: found.get(c, (0, None, None)) for c in columns}
-
-
-def values_at_ranks(
-    df: DataFrame,
-    ranks_for,
-    columns: list[str],
-    *,
-    known: dict[str, tuple[int, float, float]] | None = None,
-    small: int = SMALL_BRACKET,
-    cells: int = CELLS,
-) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+def first_cells(columns: list[str]) -> states.Cells:
+    """The collector of the first pass."""
+    return states.Cells(0, [np.zeros(1, np.uint64)] * len(columns), list(range(len(columns))))
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """``part, cell, n, low, high`` added up over all tasks."""
+    counted = rows.where(F.col("kind") == states.Cells.kind).groupBy("part", "cell")
+    return counted.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def values_at_ranks(df: DataFrame, ranks_for, columns: list[str], *, first: DataFrame | None = None) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """The finite values of every column at 0-based ranks.
 
     ``ranks_for(n)`` gives the wanted ranks for a column of ``n`` finite values. Returns
-    the counts and, per column, ``{rank: value}``. ``known`` may carry :func:`ranges`.
+    the counts and, per column, ``{rank: value}``. ``first`` may carry the rows of a scan with
+    :func:`first_cells` over the same columns.
     """
     if not columns:
         return {}, {}
-    known = known or ranges(df, columns)
-    counts = {c: known[c][0] for c in columns}
+    first = states.scan(df, columns, [first_cells(columns)]) if first is None else first
+    cells: dict[int, list] = {}
+    for r in cells_of(first).collect():  # at most 4 096 per column
+        cells.setdefault(r["part"], []).append((r["cell"], r["n"], r["low"], r["high"]))
+    counts = {c: sum(x[1] for x in cells.get(i, [])) for i, c in enumerate(columns)}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
-    # (column, low, high, values below the bracket, values inside, ranks inside)
-    brackets = []
-    for c in columns:
-        n, low, high = known[c]
-        wanted = sorted({r for r in ranks_for(n) if 0 <= r < n}) if n else []
-        if wanted:
-            brackets.append((c, low, high, 0, n, wanted))
-    long = long_values(df, [c for c in columns if counts[c]]) if brackets else None
-    ordered = []
-    for _ in range(MAX_PASSES):
-        open_ones = []
-        for b in brackets:
-            c, low, high, _, n, wanted = b
-            if low == high:
-                found[c].update({r: low for r in wanted})
-            elif n <= small:
-                ordered.append(b)
-            else:
-                open_ones.append(b)
-        if not open_ones:
-            break
-        brackets = _cut(long, open_ones, cells)
-        for b in [b for b in brackets if any(b[:3] == o[:3] for o in open_ones)]:
-            brackets.remove(b)  # the cells cannot tell these values apart: order them as they are
-            ordered.append(b)
-    else:
-        ordered += open_ones
-    for c, rank, value in _order(long, ordered) if ordered else []:
-        found[c][rank] = value
+    # Per (column, prefix): values below it, and the wanted ranks inside.
+    open_: dict[tuple[int, int], tuple[int, list[int]]] = {}
+    for i, c in enumerate(columns):
+        wanted, below = sorted({r for r in ranks_for(counts[c]) if 0 <= r < counts[c]}), 0
+        for cell, n, low, high in sorted(cells.get(i, [])):
+            inside = [r for r in wanted if below <= r < below + n]
+            if inside and low == high:
+                found[c].update({r: low for r in inside})
+            elif inside:
+                open_[i, cell] = (below, inside)
+            below += n
+    level = 1
+    while open_:
+        open_ = _deeper(df, columns, level, open_, found)
+        level += 1
     return counts, found
 
 
-def _table(long: DataFrame, brackets: list) -> DataFrame:
-    spark = long.sparkSession
-    rows = [(c, i, low, high, below) for i, (c, low, high, below, _, _) in enumerate(brackets)]
-    return F.broadcast(  # at most one row per column and rank
-        spark.createDataFrame(rows, "column string, bracket int, low double, high double, below long")
-    )
-
-
-def _ranks(long: DataFrame, brackets: list) -> DataFrame:
-    rows = [(i, r) for i, b in enumerate(brackets) for r in b[5]]
-    return F.broadcast(long.sparkSession.createDataFrame(rows, "bracket int, rank long"))
-
-
-def _inside(long: DataFrame, brackets: list) -> DataFrame:
-    within = (F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))
-    return long.join(_table(long, brackets), "column").where(within)
-
-
-def _cut(long: DataFrame, brackets: list, cells: int) -> list:
-    """Replace each bracket by the cells that hold its ranks."""
-    share = (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))
-    counted = (
-        _inside(long, brackets)
-        .groupBy("bracket", "below", F.floor(share * cells).alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
-    )
-    so_far = Window.partitionBy("bracket").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("upto", F.col("below") + F.sum("n").over(so_far))
-    hits = placed.join(_ranks(long, brackets), "bracket").where(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    )
-    merged: dict[tuple, list[int]] = {}
+def _deeper(df: DataFrame, columns: list[str], level: int, open_: dict, found: dict) -> dict:
+    """One more pass: ranks whose cell holds one value are found, the others get a longer prefix."""
+    keys = sorted(open_)
+    used = sorted({i for i, _ in keys})
+    prefixes = [np.array([p for j, p in keys if j == i], np.uint64) for i in used]
+    collector = states.Cells(level, prefixes, [next(k for k, key in enumerate(keys) if key[0] == i) for i in used])
+    counted = cells_of(states.scan(df, [columns[i] for i in used], [collector]))
+    spark = df.sparkSession
+    so_far = Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # a few thousand cells
+    ranks = [(k, r - open_[key][0]) for k, key in enumerate(keys) for r in open_[key][1]]
+    wanted = F.broadcast(spark.createDataFrame(ranks, "part long, rank long"))  # one row per rank
+    placed = counted.withColumn("upto", F.sum("n").over(so_far))
+    hits = placed.join(wanted, "part").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    deeper: dict[tuple[int, int], tuple[int, list[int]]] = {}
     for r in hits.collect():
-        key = (brackets[r["bracket"]][0], r["least"], r["most"], r["upto"] - r["n"], r["n"])
-        merged.setdefault(key, []).append(r["rank"])
-    return [(*key, sorted(wanted)) for key, wanted in merged.items()]
-
-
-def _order(long: DataFrame, brackets: list) -> list[tuple[str, int, float]]:
-    """Group the values of small brackets and read off the ranks."""
-    counted = _inside(long, brackets).groupBy("bracket", "below", "value").agg(F.count(F.lit(1)).alias("n"))
-    so_far = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("upto", F.col("below") + F.sum("n").over(so_far))
-    hits = placed.join(_ranks(long, brackets), "bracket").where(
-        (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
-    )
-    return [(brackets[r["bracket"]][0], r["rank"], r["value"]) for r in hits.collect()]
+        i, prefix = keys[r["part"]]
+        before = open_[i, prefix][0]
+        if r["low"] == r["high"]:
+            found[columns[i]][before + r["rank"]] = r["low"]
+        else:
+            longer = (prefix << collector.width) + r["cell"]
+            deeper.setdefault((i, longer), (before + r["upto"] - r["n"], []))[1].append(before + r["rank"])
+    return deeper
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float], **options) -> dict[str, dict[float, float | None]]:

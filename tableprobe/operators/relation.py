@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import is_numeric, is_temporal, nan_to_null, ref
 from tableprobe.operators.categorical import unpivot_text
+from tableprobe.operators import states
 from tableprobe.operators.order_stats import bin_of, rank_bin_edges
 from tableprobe.session import cut_lineage
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
 MI_BINS = 16
-NATIVE_PAIR_COLUMNS = 14
 SPLITTERS = 256
 SPLITTER_LENGTH = 64
 ORDERED_VALUES = 50_000
@@ -27,105 +22,13 @@ LATE = 4.0e18  # beyond any time in microseconds: where a missing time is put
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column_a, column_b, r)`` for every pair a < b in column order; NULL when undefined.
 
-    Each pair uses the rows where both values are present. One scan gives the means, a
-    second one sums the centred products: plain sums in generated code for a dozen columns,
-    matrix products over Arrow batches for wider tables. No row is shuffled.
+    Each pair uses the rows where both values are present and finite. One scan at any width: every task holds
+    co-moments, tiles of them are merged in a tree of tasks, and the pairs come out where the last merge is.
+    A column that is constant over the rows of a pair is told by its extremes there.
     """
-    spark = df.sparkSession
     if len(columns) < 2:
-        return spark.createDataFrame([], "column_a string, column_b string, r double")
-    data = nan_to_null(df.select(*[ref(c).cast("double").alias(c) for c in columns]))
-    facts = data.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(ref(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.avg(ref(c)).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.min(ref(c)).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(ref(c)).alias(f"hi{i}") for i, c in enumerate(columns)],
-    ).first()
-    centre = [facts[f"m{i}"] or 0.0 for i in range(len(columns))]
-    if any(math.isinf(m) or math.isnan(m) for m in centre):
-        centre = [0.0 if math.isinf(m) or math.isnan(m) else m for m in centre]
-    if len(columns) > NATIVE_PAIR_COLUMNS:
-        return _matrix_pairs(data, columns, centre)
-    full = [facts[f"n{i}"] == facts["rows"] for i in range(len(columns))]
-    constant = [facts[f"lo{i}"] == facts[f"hi{i}"] for i in range(len(columns))]
-    return _native_pairs(data, columns, centre, full, constant)
-
-
-def _native_pairs(data, columns, centre, full, constant) -> DataFrame:
-    gaps = data.select(*[(ref(c) - F.lit(m)).alias(f"d{i}") for i, (c, m) in enumerate(zip(columns, centre))])
-    sums: dict[str, Column] = {}
-    rows = []
-    for i in range(len(columns)):
-        for j in range(i + 1, len(columns)):
-            a, b = F.col(f"d{i}"), F.col(f"d{j}")
-            sums[f"ab_{i}_{j}"] = F.sum(a * b)
-            if full[i] and full[j]:
-                # Means over the same rows: the centred sums are the co-moments themselves.
-                sums[f"aa_{i}"], sums[f"aa_{j}"] = F.sum(a * a), F.sum(b * b)
-                top, va, vb = F.col(f"ab_{i}_{j}"), F.col(f"aa_{i}"), F.col(f"aa_{j}")
-                defined = F.lit(not (constant[i] or constant[j]))
-            else:
-                both = a.isNotNull() & b.isNotNull()
-                p = f"{i}_{j}"
-                sums[f"n_{p}"] = F.count(F.when(both, 1))
-                for side, x in (("a", a), ("b", b)):
-                    inside = F.when(both, x)
-                    sums[f"s{side}_{p}"] = F.sum(inside)
-                    sums[f"q{side}_{p}"] = F.sum(inside * inside)
-                    sums[f"lo{side}_{p}"] = F.min(inside)
-                    sums[f"hi{side}_{p}"] = F.max(inside)
-                n, sa, sb = F.col(f"n_{p}"), F.col(f"sa_{p}"), F.col(f"sb_{p}")
-                top = F.col(f"ab_{p}") - F.try_divide(sa * sb, n)
-                va = F.col(f"qa_{p}") - F.try_divide(sa * sa, n)
-                vb = F.col(f"qb_{p}") - F.try_divide(sb * sb, n)
-                defined = (F.col(f"loa_{p}") < F.col(f"hia_{p}")) & (F.col(f"lob_{p}") < F.col(f"hib_{p}"))
-            r = F.when(defined, F.try_divide(top, F.sqrt(va) * F.sqrt(vb)))
-            rows.append(
-                F.struct(
-                    F.lit(columns[i]).alias("column_a"),
-                    F.lit(columns[j]).alias("column_b"),
-                    F.nanvl(r, F.lit(None)).alias("r"),
-                )
-            )
-    one = gaps.agg(*[v.alias(k) for k, v in sums.items()])
-    return one.select(F.inline(F.array(*rows)))
-
-
-def _matrix_pairs(data: DataFrame, columns: list[str], centre: list[float]) -> DataFrame:
-    # Centring by the column mean keeps the sums of squares accurate.
-    shift = np.array(centre)
-    upper = np.triu_indices(len(columns), 1)
-
-    def pair_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals = None
-        for batch in batches:
-            x = batch.to_numpy(dtype=float) - shift
-            present = ~np.isnan(x)
-            m = present.astype(float)
-            x = np.where(present, x, 0.0)
-            sums = np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
-            totals = sums if totals is None else totals + sums
-        if totals is not None:
-            n, sa, sb, saa, sbb, sab = (t[upper] for t in totals)
-            yield pd.DataFrame(
-                {"i": upper[0], "j": upper[1], "n": n, "sa": sa, "sb": sb, "saa": saa, "sbb": sbb, "sab": sab}
-            )
-
-    sums = data.mapInPandas(
-        pair_sums, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
-    )
-    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
-    n, a, b = F.col("n"), F.col("sa"), F.col("sb")
-    var_a = F.col("saa") - F.try_divide(a * a, n)
-    var_b = F.col("sbb") - F.try_divide(b * b, n)
-    tiny = 1e-14
-    defined = (var_a > tiny * F.col("saa")) & (var_b > tiny * F.col("sbb"))
-    r = F.when(defined, F.try_divide(F.col("sab") - F.try_divide(a * b, n), F.sqrt(F.abs(var_a * var_b))))
-    names_of = F.array(*[F.lit(c) for c in columns])
-    return total.select(
-        names_of[F.col("i")].alias("column_a"), names_of[F.col("j")].alias("column_b"), r.alias("r")
-    )
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, r double")
+    return states.correlations_of(states.scan(df, columns, [states.CoMoments()]), columns)
 
 
 def full_matrix(pairs: DataFrame, columns: list[str]) -> DataFrame:

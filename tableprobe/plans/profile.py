@@ -90,7 +90,7 @@ def profile(
 
     second = _together(
         normal=lambda: normality.of_moments(_moment_table(spark, moment_rows)).where(F.col("column").isin(features["numeric"])).collect(),
-        fences=lambda: numeric.fences(data, features["numeric"], known=known),
+        fences=lambda: numeric.fences(data, features["numeric"]),
         pairs=lambda: relation.correlations(data, numbers).collect(),
         entropy=lambda: categorical.entropies(counts).collect(),
         facts=lambda: target_ops.target_stats(data, [target]).first() if target else None,

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tableprobe.operators import categorical, distribution, normality, numeric, order_stats, relation, sampling, structure
+from tableprobe.operators import categorical, distribution, normality, numeric, order_stats, relation, sampling, states, structure
 from tableprobe.operators import target as target_ops
 
 
@@ -49,19 +49,34 @@ def test_empty_column_keeps_its_row(spark):
     assert distribution.histograms(df, ["x"]).count() == 0
 
 
-@pytest.mark.parametrize("small,cells", [(200_000, 4096), (10, 4), (3, 2)])
-def test_quantiles_are_exact_through_every_pass(spark, small, cells):
+@pytest.mark.parametrize("held", [1 << 20, 50])
+def test_quantiles_are_exact_through_every_pass(spark, monkeypatch, held):
+    monkeypatch.setattr(states, "HELD_CELLS", held)
     rng = random.Random(1)
-    values = [rng.choice([rng.gauss(0, 1), rng.expovariate(0.001), 5.0, -3.0]) for _ in range(3000)] + [1e12, -1e9]
+    values = [rng.choice([rng.gauss(0, 1), rng.expovariate(0.001), 5.0, -3.0, 0.0, -0.0]) for _ in range(3000)] + [1e12, -1e9]
     shares = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    found = order_stats.quantiles(frame(spark, "x", values), ["x"], shares, small=small, cells=cells)["x"]
+    found = order_stats.quantiles(frame(spark, "x", values), ["x"], shares)["x"]
     for s in shares:
         assert found[s] == pytest.approx(float(np.quantile(values, s)), rel=1e-12)
 
 
+def test_values_over_600_decades_and_neighbours_take_six_scans(spark, monkeypatch):
+    rng = random.Random(2)
+    values = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300) for _ in range(2000)]
+    x = 1.0
+    for _ in range(500):  # neighbouring doubles differ in the last bit
+        values.append(x)
+        x = math.nextafter(x, 2.0)
+    scans = []
+    monkeypatch.setattr(states, "scan", lambda *a, scan=states.scan: scans.append(1) or scan(*a))
+    n, found = order_stats.values_at_ranks(frame(spark, "x", values), lambda n: range(0, n, 7), ["x"])
+    assert n == {"x": 2500} and found["x"] == {r: v for r, v in enumerate(sorted(values)) if r % 7 == 0}
+    assert len(scans) <= 6
+
+
 def test_a_value_holding_a_third_of_the_rows(spark):
     values = [4.0] * 1000 + [float(i) for i in range(2000)]
-    found = order_stats.quantiles(frame(spark, "x", values), ["x"], [0.2, 0.5], small=50, cells=8)["x"]
+    found = order_stats.quantiles(frame(spark, "x", values), ["x"], [0.2, 0.5])["x"]
     assert found[0.5] == np.quantile(values, 0.5) and found[0.2] == np.quantile(values, 0.2)
 
 
@@ -142,21 +157,6 @@ def test_correlation_of_constant_is_unknown(spark):
     assert rows[("a", "flat")] is None and rows[("flat", "b")] is None and rows[("a", "b")] == pytest.approx(1.0)
 
 
-def test_wide_and_narrow_correlations_agree(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    data = [tuple(None if rng.random() < 0.2 else float(v) for v in row) for row in rng.normal(size=(300, 5)) + 1000]
-    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double")
-    names = list("abcde")
-    narrow = {tuple(r)[:2]: r["r"] for r in relation.correlations(df, names).collect()}
-    monkeypatch.setattr(relation, "NATIVE_PAIR_COLUMNS", 2)
-    wide = {tuple(r)[:2]: r["r"] for r in relation.correlations(df, names).collect()}
-    assert narrow.keys() == wide.keys()
-    for k, v in narrow.items():
-        assert wide[k] == pytest.approx(v, abs=1e-9)
-    expected = df.toPandas().corr()
-    assert narrow[("a", "b")] == pytest.approx(expected.loc["a", "b"], abs=1e-9)
-
-
 def test_twenty_related_columns_are_kept(spark):
     names = [f"c{i:02d}" for i in range(25)]
     long = spark.createDataFrame(
@@ -220,3 +220,30 @@ def test_information_of_one_row_is_unknown(spark):
     df = spark.createDataFrame([(1.0, "a")], "x double, y string")
     assert [r["mi"] for r in relation.mutual_information(df, "y").collect()] == [None]
     assert [r["mi"] for r in relation.mutual_information(df.limit(0), "y").collect()] == [None]
+
+
+@pytest.mark.parametrize("width", [2, 14, 15, 70])
+def test_correlations_alike_at_any_width(spark, monkeypatch, width):
+    """Gaps, constants, constants within the shared rows, far means, and an infinite value that takes no part."""
+    monkeypatch.setattr(states, "FAN_IN", 2)
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(400, width)) + rng.normal(size=400)[:, None]
+    x[:, 0] += 1e9
+    x[:, width // 2] = 0.1
+    x[rng.random((400, width)) < 0.2] = np.nan
+    x[:, -1] = np.where(np.isnan(x[:, -1]), np.nan, rng.integers(0, 2, 400))
+    x[~np.isnan(x[:, -1]), 1] = 7.0
+    names = [f"c{i}" for i in range(width)]
+    seen = x.copy()
+    seen[3, 0] = np.inf
+    x[3, 0] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in seen], ", ".join(f"{n} double" for n in names))
+    found = {(r.column_a, r.column_b): r.r for r in relation.correlations(df.repartition(7), names).collect()}
+    assert len(found) == width * (width - 1) // 2
+    for i in range(width):
+        for j in range(i + 1, width):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = x[both, i], x[both, j]
+            want = None if len(a) < 2 or a.min() == a.max() or b.min() == b.max() else np.corrcoef(a, b)[0, 1]
+            got = found[names[i], names[j]]
+            assert (got is None) == (want is None) and (want is None or got == pytest.approx(want, abs=1e-6))
