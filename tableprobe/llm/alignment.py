@@ -290,7 +290,7 @@ def added(vectors: DataFrame) -> np.ndarray | None:
     parts = level.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        level = level.mapInArrow(add, "same_n_ array<long>").coalesce(parts)
+        level = level.mapInArrow(add, "same_n_ array<long>").repartition(parts)
     found = level.mapInArrow(add, "same_n_ array<long>").toArrow().column("same_n_")
     return found[0].values.to_numpy() if len(found) else None
 
