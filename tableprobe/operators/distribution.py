@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import finite, ref
@@ -19,12 +19,7 @@ def histograms(df: DataFrame, columns: list[str], bins: int = BINS, moment_rows:
     gets a range of one around it; a column without finite values has no rows.
     """
     found = {r["column"]: r for r in (moment_rows or moments(df, columns).collect())}
-    ranges = {}
-    for c in columns:
-        low, high = found[c]["min"], found[c]["max"]
-        if low is None:
-            continue
-        ranges[c] = (low - 0.5, high + 0.5) if low == high else (low, high)
+    ranges = bin_ranges([found[c] for c in columns])
     spark = df.sparkSession
     if not ranges:
         return spark.createDataFrame([], FIELDS)
@@ -55,3 +50,24 @@ def histograms(df: DataFrame, columns: list[str], bins: int = BINS, moment_rows:
         (start + width / 2).alias("bin_center"),
         width.alias("bin_width"),
     )
+
+
+def bin_ranges(moment_rows: list) -> dict[str, tuple[float, float]]:
+    """The range of every column that has a finite value; a constant gets one around it."""
+    out = {}
+    for r in moment_rows:
+        low, high = r["min"], r["max"]
+        if low is not None:
+            out[r["column"]] = (low - 0.5, high + 0.5) if low == high else (low, high)
+    return out
+
+
+def histogram_rows(spark: SparkSession, ranges: dict[str, tuple[float, float]], counts: dict[str, list[int]]) -> DataFrame:
+    """The rows of :func:`histograms` from counts per bin, a few per column."""
+    rows = []
+    for c, (low, high) in ranges.items():
+        width = (high - low) / len(counts[c])
+        for k, n in enumerate(counts[c]):
+            start = low + k * width
+            rows.append((c, k, n, start, start + width, start + width / 2, width))
+    return spark.createDataFrame(rows, FIELDS)

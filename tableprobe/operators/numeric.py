@@ -48,16 +48,17 @@ def every_column(spark: SparkSession, columns: list[str]) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(c,) for c in columns], "column string"))
 
 
-def fences(df: DataFrame, columns: list[str], **options) -> dict[str, tuple[float, float] | None]:
+def fence(lower: float | None, upper: float | None) -> tuple[float, float] | None:
+    """Outlier fences from two quartiles."""
+    if lower is None:
+        return None
+    reach = IQR_FACTOR * (upper - lower)
+    return lower - reach, upper + reach
+
+
+def fences(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float] | None]:
     """Outlier fences from the exact quartiles."""
-    out = {}
-    for c, q in quantiles(df, columns, [0.25, 0.75], **options).items():
-        if q[0.25] is None:
-            out[c] = None
-            continue
-        reach = IQR_FACTOR * (q[0.75] - q[0.25])
-        out[c] = (q[0.25] - reach, q[0.75] + reach)
-    return out
+    return {c: fence(q[0.25], q[0.75]) for c, q in quantiles(df, columns, [0.25, 0.75]).items()}
 
 
 def outliers(

@@ -38,26 +38,38 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return counted.agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def values_at_ranks(df: DataFrame, ranks_for, columns: list[str], *, first: DataFrame | None = None) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+def values_at_ranks(df: DataFrame, ranks_for, columns: list[str]) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
     """The finite values of every column at 0-based ranks.
 
     ``ranks_for(n)`` gives the wanted ranks for a column of ``n`` finite values. Returns
-    the counts and, per column, ``{rank: value}``. ``first`` may carry the rows of a scan with
-    :func:`first_cells` over the same columns.
+    the counts and, per column, ``{rank: value}``.
+    """
+    found = select_ranks(df, lambda _, n, __: ranks_for(n), columns)
+    return {c: n for c, (n, _, _) in found.items()}, {c: values for c, (_, _, values) in found.items()}
+
+
+def select_ranks(df: DataFrame, ranks_of, columns: list[str], first: DataFrame | None = None) -> dict[str, tuple[int, int, dict[int, float]]]:
+    """Per column: number of finite values, of negative ones, and ``{rank: value}``.
+
+    ``ranks_of(column, values, negative)`` gives the wanted ranks. ``first`` may carry the rows of a scan
+    with :func:`first_cells` over the same columns.
     """
     if not columns:
-        return {}, {}
+        return {}
     first = states.scan(df, columns, [first_cells(columns)]) if first is None else first
     cells: dict[int, list] = {}
     for r in cells_of(first).collect():  # at most 4 096 per column
         cells.setdefault(r["part"], []).append((r["cell"], r["n"], r["low"], r["high"]))
-    counts = {c: sum(x[1] for x in cells.get(i, [])) for i, c in enumerate(columns)}
     found: dict[str, dict[int, float]] = {c: {} for c in columns}
+    sizes: dict[str, tuple[int, int]] = {}
     # Per (column, prefix): values below it, and the wanted ranks inside.
     open_: dict[tuple[int, int], tuple[int, list[int]]] = {}
     for i, c in enumerate(columns):
-        wanted, below = sorted({r for r in ranks_for(counts[c]) if 0 <= r < counts[c]}), 0
-        for cell, n, low, high in sorted(cells.get(i, [])):
+        mine = sorted(cells.get(i, []))
+        total, negative = sum(x[1] for x in mine), sum(x[1] for x in mine if x[2] < 0)
+        sizes[c] = (total, negative)
+        wanted, below = sorted({r for r in ranks_of(c, total, negative) if 0 <= r < total}), 0
+        for cell, n, low, high in mine:
             inside = [r for r in wanted if below <= r < below + n]
             if inside and low == high:
                 found[c].update({r: low for r in inside})
@@ -68,7 +80,7 @@ def values_at_ranks(df: DataFrame, ranks_for, columns: list[str], *, first: Data
     while open_:
         open_ = _deeper(df, columns, level, open_, found)
         level += 1
-    return counts, found
+    return {c: (*sizes[c], found[c]) for c in columns}
 
 
 def _deeper(df: DataFrame, columns: list[str], level: int, open_: dict, found: dict) -> dict:
@@ -96,26 +108,25 @@ def _deeper(df: DataFrame, columns: list[str], level: int, open_: dict, found: d
     return deeper
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float], **options) -> dict[str, dict[float, float | None]]:
-    """Exact quantiles with linear interpolation, per column; None for an empty column."""
+def quantile_ranks(n: int, shares: list[float]) -> list[int]:
+    """The ranks between which the quantiles of ``n`` values lie."""
+    spots = [(n - 1) * s for s in shares]
+    return [math.floor(p) for p in spots] + [math.ceil(p) for p in spots]
+
 
-    def ranks_for(n: int) -> list[int]:
-        spots = [(n - 1) * s for s in shares]
-        return [math.floor(p) for p in spots] + [math.ceil(p) for p in spots]
-
-    counts, values = values_at_ranks(df, ranks_for, columns, **options)
-    out: dict[str, dict[float, float | None]] = {}
-    for c in columns:
-        n, at = counts[c], values.get(c, {})
-        out[c] = {}
-        for s in shares:
-            if not n:
-                out[c][s] = None
-                continue
-            spot = (n - 1) * s
-            low, high = at[math.floor(spot)], at[math.ceil(spot)]
-            out[c][s] = low + (high - low) * (spot - math.floor(spot))
-    return out
+def quantile(n: int, at: dict[int, float], share: float) -> float | None:
+    """A quantile with linear interpolation from the values at its ranks."""
+    if not n:
+        return None
+    spot = (n - 1) * share
+    low, high = at[math.floor(spot)], at[math.ceil(spot)]
+    return low + (high - low) * (spot - math.floor(spot))
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, dict[float, float | None]]:
+    """Exact quantiles with linear interpolation, per column; None for an empty column."""
+    counts, values = values_at_ranks(df, lambda n: quantile_ranks(n, shares), columns)
+    return {c: {s: quantile(counts[c], values.get(c, {}), s) for s in shares} for c in columns}
 
 
 def quantile_table(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
@@ -124,18 +135,19 @@ def quantile_table(df: DataFrame, columns: list[str], shares: list[float]) -> Da
     return df.sparkSession.createDataFrame(rows, "column string, share double, value double")
 
 
-def rank_bin_edges(df: DataFrame, columns: list[str], bins: int, **options) -> dict[str, list[float]]:
+def edge_ranks(n: int, bins: int) -> list[int]:
+    """The ranks of the edges of ``bins`` equal-count bins."""
+    return [-(-j * n // bins) - 1 for j in range(1, bins)]
+
+
+def rank_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
     """Edges of ``bins`` equal-count bins.
 
     The bin of x is the number of edges below x, which equals
     ``bins * (number of smaller values) div n``.
     """
-
-    def ranks_for(n: int) -> list[int]:
-        return [-(-j * n // bins) - 1 for j in range(1, bins)]
-
-    counts, values = values_at_ranks(df, ranks_for, columns, **options)
-    return {c: [values[c][r] for r in ranks_for(counts[c])] if counts[c] else [] for c in columns}
+    counts, values = values_at_ranks(df, lambda n: edge_ranks(n, bins), columns)
+    return {c: [values[c][r] for r in edge_ranks(counts[c], bins)] if counts[c] else [] for c in columns}
 
 
 def bin_of(value: Column, edges: list) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import is_numeric, is_temporal, nan_to_null, ref
 from tableprobe.operators.categorical import unpivot_text
 from tableprobe.operators import states
-from tableprobe.operators.order_stats import bin_of, rank_bin_edges
+from tableprobe.operators.order_stats import bin_of, edge_ranks, rank_bin_edges
 from tableprobe.session import cut_lineage
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
@@ -84,7 +86,34 @@ def target_correlations(pairs: DataFrame, target: str) -> DataFrame:
 # ---- mutual information -------------------------------------------------------------
 
 
-def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataFrame:
+@dataclass
+class BinFacts:
+    """What a profile already knows for :func:`mutual_information`, over the rows whose target is known."""
+
+    few: set[str]  # features with at most so many values as there are bins, gaps filled
+    number_edges: dict[str, list[float]]  # of the other numbers and times, gaps filled, and of a binned target
+    binned_target: bool
+    distinct: dict[str, int]  # distinct values of the texts
+
+
+def filled_ranks(c: str, n: int, negative: int, gaps: int, late: bool, bins: int) -> tuple[list, list[int]]:
+    """Equal-count edges of a column whose gaps are filled, by the ranks of its finite values.
+
+    Gaps are zeros, which stand in front of what is not negative, or ``late``, behind everything. Gives the edges,
+    a rank where the edge is a value of the column, and the list of these ranks.
+    """
+    start = n if late else negative
+    edges, ranks = [], []
+    for rank in edge_ranks(n + gaps, bins) if n + gaps else []:
+        if start <= rank < start + gaps:
+            edges.append((LATE if late else 0.0, None))
+        else:
+            ranks.append(rank if rank < start else rank - gaps)
+            edges.append((None, ranks[-1]))
+    return edges, ranks
+
+
+def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS, known_facts: BinFacts | None = None) -> DataFrame:
     """``(column, mi)`` in nats between every feature and the target, from exact counts.
 
     Rows without a target are left out. A missing number counts as 0, any other missing
@@ -107,6 +136,9 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
         (ref(target).cast("double") if y_number else ref(target).cast("string")).alias(target),
     )
     names = [f.name for f in features]
+    if known_facts:
+        facts = known_facts
+        return _binned_information(filled, names, texts, target, bins, facts.few, facts.number_edges, facts.distinct, facts.binned_target)
     # Distinct values are estimated on hashes: no number has to be written out as text.
     hashes = filled.select(*[F.xxhash64(ref(c)).alias(c) for c in [*names, target]])
     estimates = (
@@ -136,7 +168,11 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
     number_edges = rank_bin_edges(
         filled, [c for c in names if c not in few and c not in texts] + ([target] if y_binned else []), bins
     )
-    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins, approx)
+    return _binned_information(filled, names, texts, target, bins, few, number_edges, approx, y_binned)
+
+
+def _binned_information(filled, names, texts, target, bins, few, number_edges, distinct, y_binned) -> DataFrame:
+    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins, distinct)
     cells = []
     for c in names:
         value = ref(c)
@@ -149,9 +185,13 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS) -> DataF
     return information(filled.select(*cells, y.cast("string").alias("__y")), names)
 
 
+def micros(name: str) -> Column:
+    """A time as microseconds, NULL when missing."""
+    return F.unix_micros(ref(name).try_cast("timestamp")).cast("double")
+
+
 def _micros(name: str) -> Column:
-    value = ref(name)
-    return F.coalesce(F.unix_micros(value.try_cast("timestamp")).cast("double"), F.lit(LATE))
+    return F.coalesce(micros(name), F.lit(LATE))
 
 
 def information(binned: DataFrame, names: list[str]) -> DataFrame:

@@ -95,10 +95,12 @@ class CoMoments:
 
     kind = "comoments"
 
-    def __init__(self):
+    def __init__(self, columns: int | None = None):
+        self.columns = columns  # only so many columns from the first on
         self.state: dict[str, np.ndarray] | None = None
 
     def add(self, x: np.ndarray) -> None:
+        x = x[:, : self.columns]
         present = ~np.isnan(x)
         low, high = np.where(present, x, np.inf).min(axis=0), np.where(present, x, -np.inf).max(axis=0)
         m = present.astype(float)
@@ -160,6 +162,72 @@ class CoMoments:
 SIDED = ("mean", "square", "low", "high")
 
 
+class Few:
+    """The distinct values of columns that have at most ``limit`` of them; of others one more."""
+
+    kind = "few"
+
+    def __init__(self, columns: int, limit: int):
+        self.limit = limit
+        self.state = np.full((columns, limit + 1), np.nan)
+
+    def add(self, x: np.ndarray) -> None:
+        for i in np.flatnonzero(np.isnan(self.state[:, -1])):
+            self._take(self.state[i], x[:, i] + 0.0)
+
+    @staticmethod
+    def _take(held: np.ndarray, values: np.ndarray) -> None:
+        found = np.unique(np.concatenate([held, values]))
+        found = found[~np.isnan(found)][: len(held)]
+        held[: len(found)] = found
+
+    @staticmethod
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a.copy()
+        for i in np.flatnonzero(np.isnan(out[:, -1])):
+            Few._take(out[i], b[i])
+        return out
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield rows_of(self.kind, part=[0], state=[self.state.tobytes()])
+
+    def more(self) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+
+class Marks:
+    """Per column: values outside the fences, values with a large z-score, and counts of equal-width bins."""
+
+    kind = "marks"
+
+    def __init__(self, fences: list, centres: list, ranges: list, bins: int, z_limit: float):
+        """Pairs per column, None where there is none: fences, (mean, std), (low, high) of the bins."""
+        self.fences, self.centres, self.ranges, self.bins, self.z_limit = fences, centres, ranges, bins, z_limit
+        self.state = np.zeros((len(fences), 2 + bins))
+
+    def add(self, x: np.ndarray) -> None:
+        for i, (fence, centre, range_) in enumerate(zip(self.fences, self.centres, self.ranges)):
+            v = x[:, i]
+            v = v[~np.isnan(v)]
+            if fence:
+                self.state[i, 0] += ((v < fence[0]) | (v > fence[1])).sum()
+            if centre and centre[1]:
+                self.state[i, 1] += (np.abs(v - centre[0]) / centre[1] > self.z_limit).sum()
+            if range_ and len(v):
+                at = np.floor((v - range_[0]) / (range_[1] - range_[0]) * self.bins).astype(np.int64)
+                self.state[i, 2:] += np.bincount(np.minimum(at, self.bins - 1), minlength=self.bins)
+
+    @staticmethod
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + b
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        yield rows_of(self.kind, part=[0], state=[self.state.tobytes()])
+
+    def more(self) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+
 def ordered_bits(x: np.ndarray) -> np.ndarray:
     """Unsigned numbers in the order of the doubles; both zeros are one."""
     bits = (x + 0.0).view(np.int64)
@@ -274,10 +342,23 @@ def merged(rows: DataFrame, kind: type, shape: dict[int, tuple]) -> DataFrame:
             return level
 
 
+def one_state(rows: DataFrame, kind: type, shape: tuple) -> np.ndarray | None:
+    """The merged state of a collector with one part, a few numbers per column."""
+    states = merged(rows, kind, {0: shape}).collect()
+    return np.frombuffer(states[0].state, float).reshape(shape) if states else None
+
+
+def few_of(rows: DataFrame, columns: list[str], limit: int) -> dict[str, list[float] | None]:
+    """The distinct values of every column; None for more than ``limit``."""
+    s = one_state(rows, Few, (len(columns), limit + 1))
+    held = s if s is not None else np.full((len(columns), limit + 1), np.nan)
+    return {c: None if not np.isnan(v[-1]) else v[~np.isnan(v)].tolist() for c, v in zip(columns, held)}
+
+
 def moments_of(rows: DataFrame, columns: list[str]) -> dict[str, dict]:
     """Per column: n_finite, mean, std (population), skewness, kurtosis (excess), min and max."""
-    states = merged(rows, Moments, {0: (Moments.fields, len(columns))}).collect()
-    s = np.frombuffer(states[0].state, float).reshape(Moments.fields, len(columns)) if states else np.zeros((Moments.fields, len(columns)))
+    s = one_state(rows, Moments, (Moments.fields, len(columns)))
+    s = np.zeros((Moments.fields, len(columns))) if s is None else s
     out = {}
     for c, (n, _, m2, m3, m4, low, high, total) in zip(columns, s.T.tolist()):
         spread = n and low < high

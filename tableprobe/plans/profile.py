@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import column_groups, nan_to_null, ref
 from tableprobe.functions.dates import date_share
-from tableprobe.operators import categorical, distribution, normality, numeric, relation, structure, target as target_ops
+from tableprobe.operators import categorical, distribution, normality, numeric, order_stats, relation, states, structure, target as target_ops
 from tableprobe.session import cut_lineage, spread, together
 from tableprobe.sources.store import check_target
 
@@ -42,15 +41,6 @@ def text_date_shares(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*rows)))
 
 
-def _together(**steps: Callable[[], object]) -> dict[str, object]:
-    return together(steps)
-
-
-def _moment_table(spark: SparkSession, rows: list) -> DataFrame:
-    """The moments, one row per column, as a table again."""
-    return spark.createDataFrame([tuple(r) for r in rows], numeric.MOMENT_FIELDS)
-
-
 def profile(
     df: DataFrame,
     dataset: str,
@@ -60,64 +50,108 @@ def profile(
 ) -> Profile:
     """Profile ``df``; ``key`` is kept for callers and has no influence.
 
-    Each step is one or a few jobs over the whole table, independent steps run side by side.
-    The driver sees a few numbers per column, never rows of the table.
+    The table is scanned for its sizes, once for a state of all numbers (moments, co-moments, values of columns that
+    have few, first digits of ranks), for duplicates and for value counts; then for the digits that ranks still
+    lack, once for outliers and histograms together, and once for information with the target. Independent scans
+    run side by side. The driver sees a few numbers per column, never rows of the table.
     """
     check_target(df, target)
     spark = df.sparkSession
     data = spread(nan_to_null(df))
     everything, features = column_groups(data), column_groups(data, target)
-    numbers, categories = everything["numeric"], everything["categorical"]
+    numbers, categories, times = everything["numeric"], everything["categorical"], features["datetime"]
     texts = [f.name for f in data.schema.fields if f.dataType.simpleString() == "string"]
-    target_field = data.schema[target] if target else None
-
-    first = _together(
-        sizes=lambda: _sizes(data, texts),
-        moments=lambda: numeric.moments(data, numbers).collect(),
-        copies=lambda: structure.duplicates(data).first(),
-        # The value counts feed entropy, cardinality and the category tables: computed once.
-        counts=lambda: cut_lineage(categorical.distinct_counts(data, categories)),
-        information=lambda: dict(relation.mutual_information(data, target).collect()) if target else {},
+    digits = [*numbers, *times]
+    as_numbers = data.select(*[ref(c) for c in numbers], *[relation.micros(c).alias(c) for c in times])
+
+    def number_states() -> dict:
+        """One scan of all numbers, and what its states say."""
+        if not digits:
+            return {"rows": None, "moments": {}, "few": {}, "pairs": spark.createDataFrame([], PAIR_FIELDS)}
+        collectors = [states.Moments(), states.CoMoments(len(numbers)), states.Few(len(digits), relation.MI_BINS), order_stats.first_cells(digits)]
+        rows = cut_lineage(states.scan(as_numbers, digits, collectors))
+        found = together(
+            {
+                "moments": lambda: states.moments_of(rows, digits),
+                "few": lambda: states.few_of(rows, digits, relation.MI_BINS),
+                "pairs": lambda: cut_lineage(states.correlations_of(rows, numbers)) if len(numbers) > 1 else spark.createDataFrame([], PAIR_FIELDS),
+            }
+        )
+        return {"rows": rows, **found}
+
+    first = together(
+        {
+            "sizes": lambda: _sizes(data, texts),
+            "numbers": number_states,
+            "copies": lambda: structure.duplicates(data).first(),
+            # The value counts feed entropy, cardinality and the category tables: computed once.
+            "counts": lambda: cut_lineage(categorical.distinct_counts(data, categories)),
+            "facts": lambda: target_ops.target_stats(data, [target]).first() if target else None,
+        }
     )
-    sizes, moment_rows, counts = first["sizes"], first["moments"], first["counts"]
-    n_rows = sizes["n_rows"]
-    by_moment = {m["column"]: m for m in moment_rows}
-    known = {c: (m["n_finite"], m["min"], m["max"]) for c, m in by_moment.items()}
-
-    def outlier_rows(normal: list) -> list:
-        is_normal = {x["column"] for x in normal if x["is_normal"]}
-        return numeric.outliers(data, features["numeric"], is_normal, moment_rows, fence_of).collect()
-
-    second = _together(
-        normal=lambda: normality.of_moments(_moment_table(spark, moment_rows)).where(F.col("column").isin(features["numeric"])).collect(),
-        fences=lambda: numeric.fences(data, features["numeric"]),
-        pairs=lambda: relation.correlations(data, numbers).collect(),
-        entropy=lambda: categorical.entropies(counts).collect(),
-        facts=lambda: target_ops.target_stats(data, [target]).first() if target else None,
+    sizes, state, counts, facts = first["sizes"], first["numbers"], first["counts"], first["facts"]
+    n_rows, by_moment, pairs = sizes["n_rows"], state["moments"], state["pairs"]
+    moment_rows = [by_moment[c] for c in numbers]
+    normal = normality.of_moments(numeric.moment_table(spark, [by_moment[c] for c in features["numeric"]])) if features["numeric"] else None
+    gaps = {c: n_rows - by_moment[c]["n_finite"] for c in digits}
+    # The information is over rows with a target; where all rows have one, the states above are its own.
+    shared = target is not None and sizes["present"][target] == n_rows and n_rows > 1
+    shared = shared and all(sizes["present"][c] == by_moment[c]["n_finite"] for c in digits)
+    binned = shared and target in numbers and facts["target_kind"] == "regression"
+    quarters = (0.25, 0.75)
+    plan: dict[str, list] = {}
+
+    def ranks_of(c: str, n: int, negative: int) -> list[int]:
+        wanted = order_stats.quantile_ranks(n, quarters) if c in features["numeric"] else []
+        if shared and (c != target or binned):
+            plan[c], more = relation.filled_ranks(c, n, negative, gaps[c], c in times, relation.MI_BINS)
+            wanted = wanted + more
+        return wanted
+
+    second = together(
+        {
+            "ranks": lambda: order_stats.select_ranks(as_numbers, ranks_of, digits, state["rows"]),
+            "normal": lambda: normal.collect() if normal is not None else [],
+            "entropy": lambda: categorical.entropies(counts).collect(),
+            "strongest": lambda: pairs.agg(F.max(F.abs("r"))).first()[0],
+            "with_target": lambda: dict(relation.target_correlations(pairs, target).collect()) if target in numbers else {},
+        }
     )
-    fence_of = second["fences"]
-    outlier_of = {x["column"]: x for x in outlier_rows(second["normal"])}
-    test_of = {x["column"]: x for x in second["normal"]}
+    ranks = second["ranks"]
+    fence_of = {c: numeric.fence(*[order_stats.quantile(ranks[c][0], ranks[c][2], q) for q in quarters]) for c in features["numeric"]}
     entropy_of = {x["column"]: x for x in second["entropy"]}
-    pair_rows, information = second["pairs"], first["information"]
+    test_of = {x["column"]: x for x in second["normal"]}
+
+    def information() -> dict:
+        if not target:
+            return {}
+        known = None
+        if shared:
+            few = {c for c, v in state["few"].items() if c != target and v is not None and len({*v, *([0.0] if gaps[c] else [])}) <= relation.MI_BINS}
+            others = [c for c in features["categorical"]]
+            distinct = {c: (entropy_of[c]["n_distinct"] if c in entropy_of else 0) + (sizes["present"][c] < n_rows) for c in others}
+            few |= {c for c in others if distinct[c] <= relation.MI_BINS}
+            edges = {c: [v if r is None else ranks[c][2][r] for v, r in e] for c, e in plan.items()}
+            known = relation.BinFacts(few, edges, binned, distinct)
+        return dict(relation.mutual_information(data, target, known_facts=known).collect())
+
+    third = together({"marks": lambda: _marks(data, numbers, by_moment, fence_of), "information": information})
+    marks, information_of = third["marks"], third["information"]
 
     # From here on tables have one row per column (or pair of columns) of the profiled table.
-    pairs = spark.createDataFrame([tuple(x) for x in pair_rows], "column_a string, column_b string, r double")
-    with_target = {}
-    if target in numbers:
-        with_target = {
-            (b if a == target else a): (None if r is None else abs(r)) for a, b, r in map(tuple, pair_rows) if target in (a, b)
-        }
+    with_target = second["with_target"]
     rows = []
     for i, field in enumerate(data.schema.fields):
         c = field.name
         kind = next(k for k, names in everything.items() if c in names)
         feature = c != target
-        moment = by_moment.get(c) if feature else None
-        outlier, test = outlier_of.get(c), test_of.get(c)
+        number = feature and kind == "numeric"
+        moment = by_moment.get(c) if number else None
+        test = test_of.get(c)
         entropy = entropy_of.get(c) if feature else None
         category = feature and kind == "categorical"
         n_distinct = entropy["n_distinct"] if entropy else (0 if category else None)
+        n_outliers = marks[c]["z" if test and test["is_normal"] else "iqr"] if number else None
         rows.append(
             (
                 dataset, c, i, field.dataType.simpleString(), kind, not feature,
@@ -126,19 +160,19 @@ def profile(
                 *([moment[k] for k in MOMENTS] if moment else [None] * len(MOMENTS)),
                 test["p_value"] if test else None,
                 test["is_normal"] if test else None,
-                outlier["n_outliers"] if outlier else None,
-                outlier["outliers_pct"] if outlier else None,
+                n_outliers,
+                n_outliers / max(moment["n_finite"], 1) if number else None,
                 n_distinct,
                 entropy["entropy"] if entropy else None,
                 entropy["normalized_entropy"] if entropy else None,
                 n_distinct / max(n_rows, 1) if category else None,
                 sizes["dates"].get(c),
                 with_target.get(c),
-                information.get(c),
+                information_of.get(c),
             )
         )
     per_column = spark.createDataFrame(rows, COLUMN_FIELDS)
-    table = _table_row(spark, dataset, target, n_rows, sizes, first["copies"], second["facts"], per_column, pair_rows, information, with_target)
+    table = _table_row(spark, dataset, target, n_rows, sizes, first["copies"], facts, per_column, second["strongest"], information_of, with_target)
     name = F.lit(dataset).alias("dataset")
     top = categorical.top_with_rest(counts)
     long_texts = [c for c in texts if (sizes["longest"][c] or 0) > categorical.LONG_TEXT]
@@ -146,7 +180,7 @@ def profile(
         top = categorical.with_long_texts(cut_lineage(top), data, long_texts)
     classes = (
         target_ops.class_counts(data, target)
-        if target and second["facts"]["target_kind"] == "categorical"
+        if target and facts["target_kind"] == "categorical"
         else spark.createDataFrame([], "label string, n long")
     )
     table = table.withColumn(
@@ -158,13 +192,24 @@ def profile(
         table=table,
         columns=per_column,
         correlations=pairs.select(name, "*"),
-        histograms=distribution.histograms(data, numbers, moment_rows=moment_rows).select(name, "*"),
+        histograms=distribution.histogram_rows(spark, distribution.bin_ranges(moment_rows), {c: m["bins"] for c, m in marks.items()}).select(name, "*"),
         categories=top.select(name, "*"),
         classes=classes.select(name, "*"),
         cached=data,
     )
 
 
+def _marks(data: DataFrame, numbers: list[str], by_moment: dict, fence_of: dict) -> dict[str, dict]:
+    """Outliers by both methods and histogram counts of every number, in one scan."""
+    if not numbers:
+        return {}
+    ranges = distribution.bin_ranges([by_moment[c] for c in numbers])
+    centres = [(by_moment[c]["mean"], by_moment[c]["std"]) if by_moment[c]["n_finite"] else None for c in numbers]
+    collector = states.Marks([fence_of.get(c) for c in numbers], centres, [ranges.get(c) for c in numbers], distribution.BINS, numeric.Z_LIMIT)
+    found = states.one_state(states.scan(data, numbers, [collector]), states.Marks, (len(numbers), 2 + distribution.BINS))
+    return {c: {"iqr": int(s[0]), "z": int(s[1]), "bins": s[2:].astype(int).tolist()} for c, s in zip(numbers, found)}
+
+
 def _sizes(data: DataFrame, texts: list[str]) -> dict:
     """Rows, bytes, present values and date shares of all columns in one scan."""
     row = structure.structure_aggregates(data)
@@ -184,11 +229,10 @@ def _sizes(data: DataFrame, texts: list[str]) -> dict:
     }
 
 
-def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column, pair_rows, information, with_target) -> DataFrame:
+def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column, strongest, information, with_target) -> DataFrame:
     """The one-row table of a profile."""
     cells = n_rows * len(sizes["present"])
     missing = {c: n_rows - present for c, present in sizes["present"].items()}
-    strongest = [abs(x["r"]) for x in pair_rows if x["r"] is not None]
     tied = [v for v in with_target.values() if v is not None]
     known = list(information.values())
     facts = facts.asDict() if facts else {}
@@ -199,7 +243,7 @@ def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column,
                 sum(missing.values()) / (cells or 1),
                 max((m / max(n_rows, 1) for m in missing.values()), default=0.0),
                 copies["n_duplicates"], copies["duplicate_rows_pct"],
-                max(strongest, default=None), max(tied, default=None), max(known, default=None),
+                strongest, max(tied, default=None), max(known, default=None),
                 sum(known) / len(known) if known else None,
                 *[facts.get(f.split(" ")[0]) for f in TARGET_FIELDS.split(", ")],
             )
@@ -212,6 +256,7 @@ def _table_row(spark, dataset, target, n_rows, sizes, copies, facts, per_column,
 
 # Rows per column are few, so the local results above become small tables again.
 MOMENTS = ("n_finite", "mean", "std", "skewness", "kurtosis", "min", "max")
+PAIR_FIELDS = "column_a string, column_b string, r double"
 COLUMN_FIELDS = (
     "dataset string, column string, position int, type string, kind string, is_target boolean, n_missing long, missing_pct double, "
     "n_finite long, mean double, std double, skewness double, kurtosis double, min double, max double, p_value double, is_normal boolean, "
