@@ -32,13 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.near_duplicates import components
 from tableprobe.llm.tables import stored
-from tableprobe.llm.words import WordHashes, chain, grams, mix
+from tableprobe.llm.words import chain, grams, mix
 from tableprobe.session import cut_lineage
 
 BAND = 1.5  # a band ends where sizes are so many times its start
@@ -90,9 +91,10 @@ def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def shingle_set(table: WordHashes, text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text, A-Z in lower case."""
-    row = table.of(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.empty(0, np.uint64)
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    row = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if 0 < len(row) < size:
         return chain([h[None] for h in row])
     return np.unique(grams(row, size))
@@ -102,13 +104,13 @@ def described(df: DataFrame, key: str, text: str, size: int, percent: int) -> Da
     """row_, doc_, n_, a_, b_ (hash of the set), keys_ and set_ (the shingles) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number = WordHashes(), TaskContext.get().partitionId() << 33
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
                 n, a, b, keys, sets = [], [], [], [], []
                 for value in part.column("t_"):
-                    found = shingle_set(table, value.as_py(), size)
+                    found = shingle_set(value.as_py(), size)
                     n.append(len(found))
                     a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)) if len(found) else 0)
