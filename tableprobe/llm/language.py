@@ -38,6 +38,7 @@ SHARPNESS = 4.0
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 BATCH = 256
+ROWS_AT_ONCE = 512
 
 
 def has_letter(text: str | None) -> bool:
@@ -151,6 +152,13 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     return fit_sets(np.unpackbits(packed, axis=1).astype(np.float32), np.array([name for _, name, _ in found], object))
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of so few rows that their texts are not held twice."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key_, lang_ and score_ of every row."""
     rows = df.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{text}`").cast("string").alias("text_"))
@@ -158,7 +166,7 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     kind = rows.schema["key_"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             labels, scores = shared.value.predict(batch.column("text_").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key_"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
@@ -173,7 +181,7 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", languages:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             labels, _ = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield batch.filter(
                 pa.array([name != UNDETERMINED and (languages is None or name in languages) for name in labels], pa.bool_())

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.tables import stored
-from tableprobe.llm.words import WordHashes, chain, grams, mix
+from tableprobe.llm.words import chain, grams, mix, word_hashes
 from tableprobe.session import cut_lineage
 
 TREES = 20
@@ -54,6 +54,7 @@ NODE_LIMIT = 512
 BLOCK_NODES = 4  # a block of a larger node holds about so many times NODE_LIMIT sets
 PAIRS_AT_ONCE = 1 << 18
 BROADCAST_IDS = 2_000_000
+ROWS_AT_ONCE = 128  # rows that a task turns into sets and gives back together
 PARTNERS = 512  # sets that are compared with one copy of another
 DIFFERENCE_COLUMNS = 2048  # differences that are compared at a time
 MASKS, FACTORS = np.random.default_rng(20).integers(0, 2**32, (2, TREES * DEPTH + SKETCH_BITS), dtype=np.uint32)
@@ -112,36 +113,37 @@ def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """doc_, n_, the hash of the set (a_, b_), nodes_ (one per tree), sk_ and set_ (sorted hashes) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
-        for batch in batches:
-            n, a, b, nodes, sk, sets = [], [], [], [], [], []
-            for value in batch.column("t_"):
-                found = shingle_hashes(table.of(words(value.as_py())), size)
-                n.append(len(found))
-                sets.append(found.tobytes())
-                if len(found):
-                    node, sketch = describe(found)
-                    a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
-                    b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)))
-                    nodes.append(node.view(np.int64))
-                    sk.append(sketch.tobytes())
-                else:
-                    a.append(None)
-                    b.append(None)
-                    nodes.append(None)
-                    sk.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_"),
-                    pa.array(n, pa.int64()),
-                    pa.array(a, pa.int64()),
-                    pa.array(b, pa.int64()),
-                    pa.array(nodes, pa.list_(pa.int64())),
-                    pa.array(sk, pa.binary()),
-                    pa.array(sets, pa.binary()),
-                ],
-                names=["doc_", "n_", "a_", "b_", "nodes_", "sk_", "set_"],
-            )
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                n, a, b, nodes, sk, sets = [], [], [], [], [], []
+                for value in batch.column("t_"):
+                    found = shingle_hashes(word_hashes(words(value.as_py())), size)
+                    n.append(len(found))
+                    sets.append(found.tobytes())
+                    if len(found):
+                        node, sketch = describe(found)
+                        a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
+                        b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)))
+                        nodes.append(node.view(np.int64))
+                        sk.append(sketch.tobytes())
+                    else:
+                        a.append(None)
+                        b.append(None)
+                        nodes.append(None)
+                        sk.append(None)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_"),
+                        pa.array(n, pa.int64()),
+                        pa.array(a, pa.int64()),
+                        pa.array(b, pa.int64()),
+                        pa.array(nodes, pa.list_(pa.int64())),
+                        pa.array(sk, pa.binary()),
+                        pa.array(sets, pa.binary()),
+                    ],
+                    names=["doc_", "n_", "a_", "b_", "nodes_", "sk_", "set_"],
+                )
 
     named = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
     return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary, set_ binary")

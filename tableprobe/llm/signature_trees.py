@@ -32,14 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.llm.near_duplicates import components
 from tableprobe.llm.tables import stored
-from tableprobe.llm.words import chain, grams, mix
+from tableprobe.llm.words import chain, grams, mix, word_hashes
 from tableprobe.session import cut_lineage
 
 BAND = 1.5  # a band ends where sizes are so many times its start
@@ -93,8 +92,7 @@ def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text, A-Z in lower case."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    row = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    row = word_hashes(text.encode("utf-8", "surrogatepass").lower().split() if text else [])
     if 0 < len(row) < size:
         return chain([h[None] for h in row])
     return np.unique(grams(row, size))
