@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import column_groups
-from tableprobe.functions.dates import date_share
+from tableprobe.functions.dates import date_share, is_date, parsed_date
 from tableprobe.operators import categorical, numeric, relation, structure
 from tableprobe.operators import target as target_ops
 from tableprobe.operators.service import severity_rank
@@ -330,6 +330,29 @@ def date_share_query(t: Tables) -> DataFrame:
     return t.orders.groupBy("o_orderpriority").agg(date_share(text).alias("share"))
 
 
+_SPELLINGS = (
+    "yyyy-MM-dd", "d MMMM yyyy", "MMM d, yyyy", "yyyy-MM-dd'T12:00:00.123456+02:00'", "MM/dd/yyyy '01:30 PM'", "dd.MM.yyyy", "'week'", "'31.02.'yyyy",
+    "EEE, dd MMM yyyy '10:00:00 GMT'", "yyyyMMdd",
+)
+
+
+@query(
+    "date_spellings",
+    "X1 Q12",
+    f"""SELECT o_orderkey % {len(_SPELLINGS)} AS spelling, count(*) AS n, count(CASE WHEN o_orderkey % {len(_SPELLINGS)} NOT IN (6, 7) THEN 1 END) AS n_dates,
+    min(CASE WHEN o_orderkey % {len(_SPELLINGS)} NOT IN (6, 7) THEN CAST(o_orderdate AS DATE) END) AS first, max(CASE WHEN o_orderkey % {len(_SPELLINGS)} NOT IN (6, 7) THEN CAST(o_orderdate AS DATE) END) AS last
+    FROM orders GROUP BY 1""",
+)
+def date_spellings(t: Tables) -> DataFrame:
+    """The days of orders written in ten ways, two of them no dates, and read back."""
+    way = F.col("o_orderkey") % len(_SPELLINGS)
+    text = F.coalesce(*[F.when(way == k, F.date_format("o_orderdate", spelling)) for k, spelling in enumerate(_SPELLINGS)])
+    rows = t.orders.select(way.alias("spelling"), text.alias("d"))
+    dotted = F.col("spelling") == 5  # written with the day first
+    day = F.when(dotted, parsed_date(F.col("d"), day_first=True)).otherwise(parsed_date(F.col("d"))).cast("date")
+    return rows.groupBy("spelling").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_date(F.col("d")), 1)).alias("n_dates"), F.min(day).alias("first"), F.max(day).alias("last"))
+
+
 _CARDINALITY_ROWS = union_all(
     [f"SELECT 'HIGH_CARDINALITY' AS rule_code, '{c}' AS \"column\", count(DISTINCT {c}) / count(*) AS v, 'distinct values per row' AS what, 0.5 AS bound FROM d" for c in ("text", "lang", "source")]
 )

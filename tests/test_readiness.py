@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tableprobe.functions import dates
 from tableprobe.plans.fleet import analyse
 from tableprobe.plans.profile import profile
 from tableprobe.plans.quality import quality_flags
@@ -167,3 +168,30 @@ def test_run_notes_a_missing_scale(spark):
     run = analyse(spark.range(60).selectExpr("id a", "id * 2 b", "id % 2 target"), "d", default_rules(spark), "target")
     assert [r["step"] for r in run.errors.collect()] == ["vector"]
     assert run.result.first()["task_type_code"] == "BINARY_CLASSIFICATION"
+
+
+DATES = [
+    ("2024-01-31", "2024-01-31 00:00:00"), ("2024/1/5", "2024-01-05 00:00:00"), ("20240131", "2024-01-31 00:00:00"), ("20240131T0930", "2024-01-31 09:30:00"),
+    ("2024-01-31T10:20:30.123456Z", "2024-01-31 10:20:30"), ("2024-01-31 10:20+02:00", "2024-01-31 08:20:00"), ("2024-01-31 10:20:30-0530", "2024-01-31 15:50:30"),
+    ("31.01.2024", "2024-01-31 00:00:00"), ("1/31/24 3:05 PM", "2024-01-31 15:05:00"), ("01/31/2024 12:10 am", "2024-01-31 00:10:00"), ("31 Jan 2024", "2024-01-31 00:00:00"),
+    ("January 31, 2024", "2024-01-31 00:00:00"), ("Wed, 31 Jan 2024 10:00:00 GMT", "2024-01-31 10:00:00"), ("31-Jan-99", "1999-01-31 00:00:00"), ("3rd March 2020", "2020-03-03 00:00:00"),
+    (" 29.02.2024 ", "2024-02-29 00:00:00"), ("29.02.2023", None), ("2024-13-01", None), ("31/31/2024", None), ("soon", None), ("may be", None), ("12.5", None), ("", None),
+    ("2024-01-31 25:00", None), ("99999999", None), ("1-2-3-4", None), ("x" * 100_000, None), ("2024-01-31 " + "1" * 90, None), (None, None),
+]
+
+
+def test_date_spellings(spark):
+    df = spark.createDataFrame([(t,) for t, _ in DATES], "d string")
+    got = df.select("d", dates.is_date(F.col("d")).alias("is"), F.date_format(dates.parsed_date(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("at")).collect()
+    assert [(r["d"], r["is"], r["at"]) for r in got] == [(t, at is not None, at) for t, at in DATES]
+    share = df.agg(dates.date_share(F.col("d")).alias("s")).first()["s"]
+    assert share == sum(at is not None for _, at in DATES) / (len(DATES) - 1)
+
+
+@pytest.mark.parametrize("values,first", [(["01/02/2024", "13/02/2024"], True), (["01/02/2024", "02/13/2024"], False), (["01/02/2024"], False), (["13/1/2024", "1/13/2024"], False)])
+def test_order_of_day_and_month_from_the_column(spark, values, first):
+    df = spark.createDataFrame([(v,) for v in values], "d string")
+    assert dates.day_first(df, "d") == first
+    got = df.select(dates.parsed_date(F.col("d"), first).cast("date").cast("string").alias("d")).first()["d"]
+    if values[0] == "01/02/2024":
+        assert got == ("2024-02-01" if first else "2024-01-02")
