@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,13 +12,11 @@ from tableprobe.functions.columns import is_numeric, is_temporal, nan_to_null, r
 from tableprobe.operators.categorical import unpivot_text
 from tableprobe.operators import states
 from tableprobe.operators.order_stats import bin_of, edge_ranks, rank_bin_edges
-from tableprobe.session import cut_lineage
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
 MI_BINS = 16
-SPLITTERS = 256
-SPLITTER_LENGTH = 64
-ORDERED_VALUES = 50_000
+CHUNK = 2  # characters that one pass tells apart
+LOOK = 32  # characters that the first pass looks ahead; every further one eight times as many
 LATE = 4.0e18  # beyond any time in microseconds: where a missing time is put
 
 
@@ -93,7 +92,6 @@ class BinFacts:
     few: set[str]  # features with at most so many values as there are bins, gaps filled
     number_edges: dict[str, list[float]]  # of the other numbers and times, gaps filled, and of a binned target
     binned_target: bool
-    distinct: dict[str, int]  # distinct values of the texts
 
 
 def filled_ranks(c: str, n: int, negative: int, gaps: int, late: bool, bins: int) -> tuple[list, list[int]]:
@@ -138,7 +136,7 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS, known_fa
     names = [f.name for f in features]
     if known_facts:
         facts = known_facts
-        return _binned_information(filled, names, texts, target, bins, facts.few, facts.number_edges, facts.distinct, facts.binned_target)
+        return _binned_information(filled, names, texts, target, bins, facts.few, facts.number_edges, facts.binned_target)
     # Distinct values are estimated on hashes: no number has to be written out as text.
     hashes = filled.select(*[F.xxhash64(ref(c)).alias(c) for c in [*names, target]])
     estimates = (
@@ -168,11 +166,11 @@ def mutual_information(df: DataFrame, target: str, bins: int = MI_BINS, known_fa
     number_edges = rank_bin_edges(
         filled, [c for c in names if c not in few and c not in texts] + ([target] if y_binned else []), bins
     )
-    return _binned_information(filled, names, texts, target, bins, few, number_edges, approx, y_binned)
+    return _binned_information(filled, names, texts, target, bins, few, number_edges, y_binned)
 
 
-def _binned_information(filled, names, texts, target, bins, few, number_edges, distinct, y_binned) -> DataFrame:
-    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins, distinct)
+def _binned_information(filled, names, texts, target, bins, few, number_edges, y_binned) -> DataFrame:
+    text_edges = text_bin_edges(filled, [c for c in texts if c not in few], bins)
     cells = []
     for c in names:
         value = ref(c)
@@ -223,63 +221,59 @@ def information(binned: DataFrame, names: list[str]) -> DataFrame:
     return summed.groupBy("column").agg(F.greatest(F.lit(0.0), mi).alias("mi"))
 
 
-def text_bin_edges(df: DataFrame, columns: list[str], bins: int, distinct: dict[str, int] | None = None) -> dict[str, list[str]]:
+def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[str]]:
     """Edges of equal-count bins over the sorted order of text columns, exact.
 
-    Values are counted first. While a column has few distinct values (``distinct`` gives
-    estimates) they are put in order directly; otherwise a bounded number of splitters cuts
-    them into pieces and only the pieces that hold a wanted rank are put in order.
+    Radix selection from the first character on: a pass counts the next ``CHUNK`` characters of the values that
+    share a wanted rank's prefix and so makes the prefix longer. What all values of a cell go on with is added at
+    once, as far as the pass looks ahead: the first one, over all rows, a little, each further one, over the rows
+    around the wanted ranks alone, eight times as far. Long common starts thus take few passes. Shuffled are counts of
+    short pieces with the two outer texts of each, never the column; the driver sees one row per rank.
     """
     if not columns:
         return {}
-    counts = (
-        df.select(*[ref(c).alias(c) for c in columns])
-        .unpivot([], [ref(c) for c in columns], "column", "value")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    large = distinct is None or max(distinct.get(c, 0) for c in columns) > ORDERED_VALUES
-    pieces = counts.withColumn("piece", _piece(counts, columns) if large else F.lit(0))
-    if large:
-        pieces = cut_lineage(pieces)
-    sums = pieces.groupBy("column", "piece").agg(F.sum("n").alias("n")).collect()
-    wanted = []
-    for c in columns:
-        mine = sorted((x["piece"], x["n"]) for x in sums if x["column"] == c)
-        total = sum(n for _, n in mine)
-        for j in range(1, bins):
-            rank, before = -(-j * total // bins) - 1, 0
-            for number, n in mine:
-                if before + n > rank:
-                    wanted.append((c, number, rank - before))
-                    break
-                before += n
-    ranks = F.broadcast(  # at most bins - 1 rows per column
-        df.sparkSession.createDataFrame(wanted, "column string, piece int, rank long")
-    )
-    needed = F.broadcast(ranks.select("column", "piece").distinct())
-    inside = Window.partitionBy("column", "piece").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = pieces.join(needed, ["column", "piece"], "left_semi").withColumn("upto", F.sum("n").over(inside))
-    hits = placed.join(ranks, ["column", "piece"]).where(
-        (F.col("upto") - F.col("n") <= F.col("rank")) & (F.col("upto") > F.col("rank"))
-    )
-    edges: dict[str, list[str]] = {c: [] for c in columns}
-    for row in hits.select("column", "value").collect():
-        edges[row["column"]].append(row["value"])
-    return {c: sorted(v) for c, v in edges.items()}
-
-
-def _piece(counts: DataFrame, columns: list[str]) -> Column:
-    """Number of splitters below a value. Splitters are shortened: any text can be a boundary."""
-    by_hash = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
-    drawn = counts.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= SPLITTERS)
-    splitters: dict[str, set[str]] = {c: set() for c in columns}
-    for row in drawn.select("column", F.substring("value", 1, SPLITTER_LENGTH).alias("value")).collect():
-        splitters[row["column"]].add(row["value"])
-    of_column = F.create_map(
-        *[x for c in columns for x in (F.lit(c), F.array(*[F.lit(v) for v in sorted(splitters[c])]))]
-    )
-    return F.size(F.filter(of_column[F.col("column")], lambda s: s < F.col("value")))
+    long = df.select(*[ref(c).alias(c) for c in columns]).unpivot([], [ref(c) for c in columns], "column", "value")
+    sizes = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count("value").alias("n")).collect()}
+    edges: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
+    # (column, prefix): the ranks wanted among the values that start with it.
+    open_ = {(c, ""): sorted(set(edge_ranks(sizes[c], bins))) for c in columns if sizes.get(c)}
+    placed = {(c, ""): 0 for c in columns}
+    look = LOOK
+    while open_:
+        open_, placed = _longer_prefixes(long, open_, placed, edges, look)
+        look *= 8
+    found = {c: dict(v) for c, v in edges.items()}
+    return {c: [found[c][r] for r in edge_ranks(sizes[c], bins)] if sizes.get(c) else [] for c in columns}
+
+
+def _longer_prefixes(long: DataFrame, open_: dict, placed: dict, edges: dict, look: int) -> tuple[dict, dict]:
+    """One pass: ranks of values that are known go to ``edges``, the others get a longer prefix.
+
+    ``open_`` has the wanted ranks inside each prefix, ``placed`` the number of values below it.
+    """
+    spark = long.sparkSession
+    keys = list(open_)
+    table = spark.createDataFrame([(c, k, p) for k, (c, p) in enumerate(keys)], "column string, part long, prefix string")
+    rest = F.substr(F.col("value"), F.char_length("prefix") + 1, F.lit(look))
+    # At most one row per rank is sent to the values.
+    inside = long.join(F.broadcast(table), "column").where(F.startswith("value", "prefix")).select("part", rest.alias("look"))
+    cells = inside.groupBy("part", F.substring("look", 1, CHUNK).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("look").alias("least"), F.max("look").alias("most"))
+    so_far = Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # cells of a few characters
+    wanted = [(k, r) for k, key in enumerate(keys) for r in open_[key]]
+    ranks = F.broadcast(spark.createDataFrame(wanted, "part long, rank long"))
+    hits = cells.withColumn("upto", F.sum("n").over(so_far)).join(ranks, "part").where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+    deeper: dict[tuple[str, str], list[int]] = {}
+    below: dict[tuple[str, str], int] = {}
+    for r in hits.collect():
+        c, prefix = keys[r["part"]]
+        before = placed[c, prefix]
+        if r["least"] == r["most"] and len(r["least"]) < look:
+            edges[c].append((before + r["rank"], prefix + r["least"]))
+            continue
+        longer = prefix + os.path.commonprefix([r["least"], r["most"]])
+        deeper.setdefault((c, longer), []).append(r["rank"] - (r["upto"] - r["n"]))
+        below[c, longer] = before + r["upto"] - r["n"]
+    return deeper, below
 
 
 def information_summary(by_column: DataFrame) -> DataFrame:

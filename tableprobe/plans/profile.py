@@ -132,7 +132,7 @@ def profile(
             distinct = {c: (entropy_of[c]["n_distinct"] if c in entropy_of else 0) + (sizes["present"][c] < n_rows) for c in others}
             few |= {c for c in others if distinct[c] <= relation.MI_BINS}
             edges = {c: [v if r is None else ranks[c][2][r] for v, r in e] for c, e in plan.items()}
-            known = relation.BinFacts(few, edges, binned, distinct)
+            known = relation.BinFacts(few, edges, binned)
         return dict(relation.mutual_information(data, target, known_facts=known).collect())
 
     third = together({"marks": lambda: _marks(data, numbers, by_moment, fence_of), "information": information})

@@ -88,15 +88,23 @@ def test_rank_bins_count_smaller_values(spark):
         assert sum(e < v for e in edges) == 16 * sum(u < v for u in values) // len(values)
 
 
-def test_text_bins_with_and_without_splitters(spark, monkeypatch):
-    words = [f"w{random.Random(i).randrange(900):04d}" for i in range(3000)]
-    df = frame(spark, "t", words, "string")
-    direct = relation.text_bin_edges(df, ["t"], 16, {"t": 900})
-    monkeypatch.setattr(relation, "SPLITTERS", 7)
-    monkeypatch.setattr(relation, "SPLITTER_LENGTH", 4)
-    assert relation.text_bin_edges(df, ["t"], 16) == direct
-    for v in set(words):
-        assert sum(e < v for e in direct["t"]) == 16 * sum(u < v for u in words) // len(words)
+def test_text_bins_are_ranks_of_the_sorted_values(spark):
+    pick = random.Random(7)
+    start = "the same seventy characters stand at the start of every one of them: x "
+    texts = {
+        "short": [f"w{pick.randrange(900):04d}" for _ in range(3000)],
+        "common": [start + str(pick.randrange(1000)) for _ in range(3000)],
+        "prefixes": [("ab" * pick.randrange(60)) + pick.choice(["", "a", "é", "漢", "😀"]) for _ in range(3000)],
+        "one": ["only " * 40] * 3000,
+        "gaps": [None if k % 3 else f"{pick.random()}" for k in range(3000)],
+    }
+    df = spark.createDataFrame(list(zip(*texts.values())), ", ".join(f"{c} string" for c in texts))
+    got = relation.text_bin_edges(df, list(texts), 16)
+    for c, values in texts.items():
+        known = sorted((v for v in values if v is not None), key=lambda v: v.encode())
+        assert got[c] == [known[r] for r in order_stats.edge_ranks(len(known), 16)]
+    assert relation.text_bin_edges(df.limit(0), ["short"], 16) == {"short": []}
+
 
 
 def test_normality_from_moments(spark):
