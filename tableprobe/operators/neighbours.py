@@ -3,7 +3,9 @@
 Neither side is crossed with the other row by row. A catalog whose size was checked is
 broadcast as one matrix; a larger one is cut into blocks of bounded size, the queries are
 sent to every block in bounded groups and each pair of blocks keeps only its own best k,
-which are then merged per query.
+which are then merged per query. Where neighbours must be of the query's group, both sides are
+split by group before they are cut, so no distance between groups is computed. Ids are whole
+numbers or, if either side has another type, texts.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tableprobe.functions.columns import ref
 from tableprobe.functions.vectors import check_metric
@@ -58,8 +61,8 @@ def _best(metric, k, q_ids, q_groups, q, c_ids, c_groups, c, skip_self) -> pd.Da
         ids = np.repeat(q_ids[part], order.shape[1])
         frame = pd.DataFrame({"query_id": ids, "catalog_id": c_ids[order].ravel(), "distance": best.ravel()})
         found.append(frame[np.isfinite(frame["distance"])])
-    columns = {"query_id": "int64", "catalog_id": "int64", "distance": "float64"}
-    return pd.concat(found) if found else pd.DataFrame({c: pd.Series(dtype=t) for c, t in columns.items()})
+    nothing = pd.DataFrame({"query_id": q_ids[:0], "catalog_id": c_ids[:0], "distance": np.zeros(0)})
+    return pd.concat(found) if found else nothing
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -82,19 +85,22 @@ def nearest(
     """``(query_id, rank, catalog_id, distance)``: the ``k`` nearest, ascending.
 
     ``group`` restricts the neighbours of a query to catalog rows of the same value (the
-    task filter); without it the whole catalog is searched. Ids are whole numbers.
+    task filter); without it the whole catalog is searched. Equal distances go by id.
     """
     check_metric(metric)
+    kinds = [queries.schema[query_id].dataType, catalog.schema[catalog_id].dataType]
+    kind = "long" if all(isinstance(k, T.IntegralType) for k in kinds) else "string"
     label = ref(group).cast("string") if group else F.lit("")
-    q = queries.select(ref(query_id).cast("long").alias("id"), label.alias("g"), ref(vector).cast("array<double>").alias("v"))
-    c = catalog.select(ref(catalog_id).cast("long").alias("id"), label.alias("g"), ref(vector).cast("array<double>").alias("v"))
+    q = queries.select(ref(query_id).cast(kind).alias("id"), label.alias("g"), ref(vector).cast("array<double>").alias("v"))
+    c = catalog.select(ref(catalog_id).cast(kind).alias("id"), label.alias("g"), ref(vector).cast("array<double>").alias("v"))
     c = c.where(F.col("v").isNotNull())
     q = q.where(F.col("v").isNotNull())
+    out = f"query_id {kind}, catalog_id {kind}, distance double"
     size = c.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("length")).first()
     if size["n"] * (size["length"] * 8 + 64) <= broadcast_bytes:
-        found = _against_broadcast(q, c, metric, k, bool(group), skip_self)
+        found = _against_broadcast(q, c, metric, k, bool(group), skip_self, out)
     else:
-        found = _against_blocks(q, c, size["n"], metric, k, bool(group), skip_self)
+        found = _against_blocks(q, c, metric, k, skip_self, out)
     window = Window.partitionBy("query_id").orderBy("distance", "catalog_id")
     return (
         found.withColumn("rank", F.row_number().over(window))
@@ -103,10 +109,7 @@ def nearest(
     )
 
 
-OUT = "query_id long, catalog_id long, distance double"
-
-
-def _against_broadcast(q, c, metric, k, grouped, skip_self) -> DataFrame:
+def _against_broadcast(q, c, metric, k, grouped, skip_self, out) -> DataFrame:
     local = c.toPandas()  # size checked by the caller
     shared = c.sparkSession.sparkContext.broadcast(
         (local["id"].to_numpy(), local["g"].to_numpy() if grouped else None, _matrix(local["v"]))
@@ -119,29 +122,29 @@ def _against_broadcast(q, c, metric, k, grouped, skip_self) -> DataFrame:
                 q_groups = b["g"].to_numpy() if grouped else None
                 yield _best(metric, k, b["id"].to_numpy(), q_groups, _matrix(b["v"]), ids, groups, matrix, skip_self)
 
-    return q.mapInPandas(search, OUT)
+    return q.mapInPandas(search, out)
 
 
-def _against_blocks(q, c, n_catalog, metric, k, grouped, skip_self) -> DataFrame:
-    c_blocks = -(-n_catalog // CATALOG_BLOCK_ROWS)
-    q_blocks = max(1, -(-q.count() // QUERY_BLOCK_ROWS))
-    catalog = c.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-    )
-    queries = q.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
-    )
+def _block_counts(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Per group, into how many blocks of at most about ``size`` rows it is cut."""
+    return rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+
+def _against_blocks(q, c, metric, k, skip_self, out) -> DataFrame:
+    counts = _block_counts(c, CATALOG_BLOCK_ROWS, "c_blocks").join(_block_counts(q, QUERY_BLOCK_ROWS, "q_blocks"), "g")
+
+    def placed(rows: DataFrame, mine: str, others: str, at: str, meets: str) -> DataFrame:
+        """Rows with their block, once for every block of the other side in their group."""
+        cut = rows.join(counts, "g").withColumn(at, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
+        return cut.withColumn(meets, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).select("g", "qb", "cb", "id", "v")
+
+    catalog = placed(c, "c_blocks", "q_blocks", "cb", "qb")
+    queries = placed(q, "q_blocks", "c_blocks", "qb", "cb")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, other = left["id"].to_numpy(), right["id"].to_numpy()
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "catalog_id": [], "distance": []}).astype(
-                {"query_id": "int64", "catalog_id": "int64"}
-            )
-        q_groups = left["g"].to_numpy() if grouped else None
-        c_groups = right["g"].to_numpy() if grouped else None
-        return _best(
-            metric, k, left["id"].to_numpy(), q_groups, _matrix(left["v"]),
-            right["id"].to_numpy(), c_groups, _matrix(right["v"]), skip_self,
-        )
-
-    return queries.groupBy("qb", "cb").cogroup(catalog.groupBy("qb", "cb")).applyInPandas(search, OUT)
+            return pd.DataFrame({"query_id": ids[:0], "catalog_id": other[:0], "distance": np.zeros(0)})
+        return _best(metric, k, ids, None, _matrix(left["v"]), other, None, _matrix(right["v"]), skip_self)
+
+    return queries.groupBy("g", "qb", "cb").cogroup(catalog.groupBy("g", "qb", "cb")).applyInPandas(search, out)

@@ -36,11 +36,17 @@ def category_charts(
     """Bars of the first ``limit`` category columns, and one line for each id-like one."""
     first = _first_columns(columns, "categorical", limit)
     judged = first.withColumn("id_like", is_id_like(F.col("cardinality_ratio"), n_rows))
-    bars_of = judged.where(~F.col("id_like")).select("column")
+    # Columns of several datasets may share a name: bars are then per dataset and column.
+    keys = [c for c in ("dataset", "column") if c in counts.columns and c in judged.columns]
+    bars_of = judged.where(~F.col("id_like")).select(*keys)
     lines = judged.where("id_like").select(
-        "column", estimated_distinct(F.col("cardinality_ratio"), n_rows).alias("n_unique")
+        *keys, estimated_distinct(F.col("cardinality_ratio"), n_rows).alias("n_unique")
     )
-    return folded_top(counts.join(bars_of, "column", "left_semi"), bars), lines
+    shown = counts.join(bars_of, keys, "left_semi")
+    if len(keys) == 1:
+        return folded_top(shown, bars), lines
+    both = folded_top(shown.withColumn("place", F.struct(*keys)), bars, "place")
+    return both.select("place.*", "rank", "value", "n"), lines
 
 
 def target_chart(classes: DataFrame) -> DataFrame:
