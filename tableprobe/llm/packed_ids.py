@@ -9,10 +9,10 @@ writer commits them, so a lost executor repeats its tasks and leaves no half fil
 unpacks a block, or any slice of it, without loops.
 
 Text goes through the tokenizer in pieces: the vocabulary's byte-level splitter never joins text
-across the cuts made here (before a single space that follows other text, and between a Latin
-word and the punctuation that ends it), so the ids of the pieces in a row are the ids of the
+across the cuts made here (before white characters that follow others, and between a Latin
+letter and the punctuation behind it), so the ids of the pieces in a row are the ids of the
 text, and a piece that a task has seen is not encoded again. New pieces go through the tokenizer
-as one text, with line breaks between. The tables of words and pieces are bounded and end with the task.
+as one text, with line breaks between. The table of pieces is bounded and ends with the task.
 
 Defined results: a NULL or empty text is a document of the end id alone. Rows without an id come
 first; equal ids keep one entry per row, ordered by a hash of the text. A special token written in
@@ -27,7 +27,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +36,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_TOKENS = 65_536
-CACHED_PIECES = 250_000
+CACHED_PIECES = 500_000
 
 # White space and letters as the vocabulary's splitter sees them.
 SPACE = "\t-\r \x85\xa0  -     　"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
-PIECE = re.compile(
-    rf" ?[{LATIN}]++(?=[.,!?;:{SPACE}]|\Z)|[.,!?;:]++(?=[{SPACE}]|\Z)"
-    rf"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-)
-
-
+MARKS = ".,!?;:"
+PIECE = re.compile(rf"[{SPACE}]*+[{MARKS}]*+[^{SPACE}{MARKS}]*+(?:(?<![{LATIN}])[{MARKS}]++[^{SPACE}{MARKS}]*+)*+")
 WHITE = {c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{SPACE}]", c)}
 
 
@@ -113,81 +108,54 @@ def tokenizer(path: str):
 
 
 class PieceEncoder:
-    """Encodes texts through bounded tables of the words and pieces seen so far.
-
-    A text is cut before every space that stands alone between two words. Words that are new are
-    cut further by ``PIECE``, and only pieces that are new meet the tokenizer.
-    """
+    """Encodes texts through a bounded table of the pieces seen so far; only new pieces meet the tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_break = self.whole(["\n"])[0]
-        self.words, self.pieces = Numbered(), Numbered()
-        self.odd = np.zeros(0, bool)
+        self.pieces = Numbered()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without cutting them."""
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _new_pieces(self) -> None:
-        """Ids of the new pieces. A piece is either white or has no white character but a blank in front, so
-        a line break before and after is a token of its own."""
+    def _learn(self) -> None:
+        """Ids of the new pieces. White characters stand at the start of a piece or are all of it. A piece without any
+        but a blank is plain: a line break before and after it is a token of its own."""
         new = self.pieces.new
         if not new:
             return
-        white = np.fromiter((piece[-1] in WHITE for piece in new), bool, len(new))
-        visible = [piece for piece in new if piece[-1] not in WHITE]
-        ids = self.whole(["\n".join(visible)])[0] if visible and len(self.line_break) == 1 else np.empty(0, np.uint32)
+        odd = np.fromiter((p[-1] in WHITE or p[1:2] in WHITE or (p[0] in WHITE and p[0] != " ") for p in new), bool, len(new))
+        plain = [p for p, o in zip(new, odd.tolist()) if not o]
+        ids = self.whole(["\n".join(plain)])[0] if plain and len(self.line_break) == 1 else np.empty(0, np.uint32)
         breaks = np.flatnonzero(ids == self.line_break[0])
-        if len(breaks) == len(visible) - 1:
+        if len(breaks) == len(plain) - 1:
             ends = np.append(breaks, len(ids))
             lengths, ids = np.diff(ends, prepend=-1) - 1, np.delete(ids, breaks)
         else:
-            some = self.whole(visible)
+            some = self.whole(plain)
             lengths, ids = np.array([len(x) for x in some], np.int64), np.concatenate([*some, np.empty(0, np.uint32)])
-        others = self.whole([piece for piece in new if piece[-1] in WHITE])
+        others = self.whole([p for p, o in zip(new, odd.tolist()) if o])
         count = np.empty(len(new), np.int64)
-        count[~white], count[white] = lengths, [len(x) for x in others]
-        every, of_white = np.empty(int(count.sum()), np.uint32), np.repeat(white, count)
-        every[~of_white], every[of_white] = ids, np.concatenate([*others, np.empty(0, np.uint32)])
+        count[~odd], count[odd] = lengths, [len(x) for x in others]
+        every, of_odd = np.empty(int(count.sum()), np.uint32), np.repeat(odd, count)
+        every[~of_odd], every[of_odd] = ids, np.concatenate([*others, np.empty(0, np.uint32)])
         self.pieces.learn(every, count)
 
-    def _learn(self) -> None:
-        """Ids of the new words. A word with white space next to its cut is odd: the text that
-        has it is cut by ``PIECE`` instead."""
-        if not self.words.new:
-            return
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces.clear()
-        odd = np.fromiter((word[-1:] in WHITE or word[1:2] in WHITE for word in self.words.new), bool, len(self.words.new))
-        self.odd = np.concatenate([self.odd, odd])
-        cut = list(map(PIECE.findall, self.words.new))
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = self.pieces.number(list(chain.from_iterable(cut)))
-        self._new_pieces()
-        ids, ends = self.pieces.gather(flat)
-        self.words.learn(ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]))
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
-        if len(self.words) > CACHED_PIECES:
-            self.words.clear()
-            self.odd = np.zeros(0, bool)
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
         numbers, marked = [], {}
         for n, text in enumerate(texts):
             if any(token in text for token in self.special):
                 marked[n] = self.whole([text])[0]
                 text = ""
-            cut = PIECE.findall(text) if "\0" in text else text.replace(" ", "\0 ").split("\0")
-            numbers.append(self.words.number(cut))
-        self._learn()
-        for n, text in enumerate(texts):
-            if n not in marked and self.odd[numbers[n]].any():
-                numbers[n] = self.words.number(PIECE.findall(text))
+            numbers.append(self.pieces.number(PIECE.findall(text)[:-1]))  # the last match is empty
         self._learn()
         counts = np.array([len(n) for n in numbers], np.int64)
-        ids, ends = self.words.gather(np.concatenate(numbers) if numbers else np.empty(0, np.int64))
+        ids, ends = self.pieces.gather(np.concatenate(numbers) if numbers else np.empty(0, np.int64))
         out = np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1]) if texts else []
         return [marked.get(n, x) for n, x in enumerate(out)]
 
