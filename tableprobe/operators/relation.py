@@ -15,7 +15,7 @@ from tableprobe.operators.order_stats import bin_of, edge_ranks, rank_bin_edges
 from tableprobe.operators.target import MAX_CLASS_SHARE, MAX_CLASS_VALUES
 
 MI_BINS = 16
-CHUNK = 2  # characters that one pass tells apart
+CHUNK = 2  # characters that the first pass tells apart; every further one a character more
 LOOK = 32  # characters that the first pass looks ahead; every further one eight times as many
 LATE = 4.0e18  # beyond any time in microseconds: where a missing time is put
 
@@ -224,7 +224,7 @@ def information(binned: DataFrame, names: list[str]) -> DataFrame:
 def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[str]]:
     """Edges of equal-count bins over the sorted order of text columns, exact.
 
-    Radix selection from the first character on: a pass counts the next ``CHUNK`` characters of the values that
+    Radix selection from the first character on: a pass counts the next few characters of the values that
     share a wanted rank's prefix and so makes the prefix longer. What all values of a cell go on with is added at
     once, as far as the pass looks ahead: the first one, over all rows, a little, each further one, over the rows
     around the wanted ranks alone, eight times as far. Long common starts thus take few passes. Shuffled are counts of
@@ -238,15 +238,15 @@ def text_bin_edges(df: DataFrame, columns: list[str], bins: int) -> dict[str, li
     # (column, prefix): the ranks wanted among the values that start with it.
     open_ = {(c, ""): sorted(set(edge_ranks(sizes[c], bins))) for c in columns if sizes.get(c)}
     placed = {(c, ""): 0 for c in columns}
-    look = LOOK
+    chunk, look = CHUNK, LOOK
     while open_:
-        open_, placed = _longer_prefixes(long, open_, placed, edges, look)
-        look *= 8
+        open_, placed = _longer_prefixes(long, open_, placed, edges, chunk, look)
+        chunk, look = chunk + 1, min(8 * look, 1 << 30)
     found = {c: dict(v) for c, v in edges.items()}
     return {c: [found[c][r] for r in edge_ranks(sizes[c], bins)] if sizes.get(c) else [] for c in columns}
 
 
-def _longer_prefixes(long: DataFrame, open_: dict, placed: dict, edges: dict, look: int) -> tuple[dict, dict]:
+def _longer_prefixes(long: DataFrame, open_: dict, placed: dict, edges: dict, chunk: int, look: int) -> tuple[dict, dict]:
     """One pass: ranks of values that are known go to ``edges``, the others get a longer prefix.
 
     ``open_`` has the wanted ranks inside each prefix, ``placed`` the number of values below it.
@@ -257,7 +257,7 @@ def _longer_prefixes(long: DataFrame, open_: dict, placed: dict, edges: dict, lo
     rest = F.substr(F.col("value"), F.char_length("prefix") + 1, F.lit(look))
     # At most one row per rank is sent to the values.
     inside = long.join(F.broadcast(table), "column").where(F.startswith("value", "prefix")).select("part", rest.alias("look"))
-    cells = inside.groupBy("part", F.substring("look", 1, CHUNK).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("look").alias("least"), F.max("look").alias("most"))
+    cells = inside.groupBy("part", F.substring("look", 1, chunk).alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("look").alias("least"), F.max("look").alias("most"))
     so_far = Window.partitionBy("part").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # cells of a few characters
     wanted = [(k, r) for k, key in enumerate(keys) for r in open_[key]]
     ranks = F.broadcast(spark.createDataFrame(wanted, "part long, rank long"))
