@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableprobe.llm.words import WordHashes, grams
+from tableprobe.llm.words import WordHashes, grams, word_hashes
 
 TOKEN = re.compile(r"\w+")
 SEED_TOKENS = 5
@@ -168,11 +168,11 @@ def overlaps(
         shared = spark.sparkContext.broadcast(block)
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, words = shared.value, WordHashes()
+            block = shared.value
             for batch in batches:
                 found = []
                 for key_, value in zip(batch.column("key_"), batch.column("t_")):
-                    doc = words.of(tokens(value.as_py()))
+                    doc = word_hashes(tokens(value.as_py()))
                     for n in block.candidates(doc):
                         item = block.items[n]
                         cut = tiles(doc, item, min(minimum, len(item)))
@@ -220,11 +220,11 @@ def clean(
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, words = shared.value, WordHashes()
+            block = shared.value
             for batch in batches:
                 mask = []
                 for value in batch.column(batch.schema.get_field_index(text)):
-                    doc = words.of(tokens(value.as_py()))
+                    doc = word_hashes(tokens(value.as_py()))
                     mask.append(
                         all(
                             sum(size for *_, size in tiles(doc, block.items[n], min(minimum, len(block.items[n]))))
