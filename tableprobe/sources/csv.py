@@ -64,11 +64,28 @@ def file_delimiters(spark: SparkSession, path: str) -> DataFrame:
     return best.select("path", F.when(F.col("mean") >= 1, F.col("delimiter")).otherwise(",").alias("delimiter"))
 
 
-def files_with_broken_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, broken)``: whether the quotes of some line do not balance, so a record goes on."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), (quotes % 2 == 1).alias("odd"))
-    return lines.groupBy("path").agg(F.bool_or("odd").alias("broken"))
+def files_with_quotes(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, escape, broken)``: how quotes inside fields are written, and whether records go over lines.
+
+    Quotes stand doubled or behind a backslash, whichever the file has more often within a field. A record goes
+    on if the quotes of some line do not balance.
+    """
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    bare = F.replace(value, F.lit('\\"'), F.lit(""))
+    bare_quotes = F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))
+    apart = r",;\t|"
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.regexp_count(value, F.lit(rf'\\"(?=[^{apart}])')).alias("behind"),
+        F.regexp_count(value, F.lit(rf'[^{apart}]""[^{apart}]')).alias("doubled"),
+        (quotes % 2 == 1).alias("odd"),
+        (bare_quotes % 2 == 1).alias("bare_odd"),
+    )
+    behind = F.sum("behind") > F.sum("doubled")
+    return lines.groupBy("path").agg(
+        F.when(behind, "\\").otherwise('"').alias("escape"), F.when(behind, F.bool_or("bare_odd")).otherwise(F.bool_or("odd")).alias("broken")
+    )
 
 
 def read_text_table(
@@ -80,10 +97,12 @@ def read_text_table(
     names: list[str] | None = None,
     missing: tuple[str, ...] = MISSING_TOKENS,
     broken_lines: bool = False,
+    escape: str = '"',
 ) -> DataFrame:
     """A CSV as text columns; fields that are exactly a missing token become NULL.
 
-    ``broken_lines``: quoted fields hold line breaks. Such a file is read by one task.
+    ``broken_lines``: quoted fields hold line breaks. Such a file is read by one task. ``escape`` stands before
+    a quote inside a field.
 
     ``sep=r"\\s+"`` splits at any run of blanks and needs ``names``.
     """
@@ -98,7 +117,7 @@ def read_text_table(
         if charset.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16LE", "UTF-16BE", "UTF-32"):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         reader = spark.read.option("sep", sep).option("encoding", charset).option("header", header)
-        raw = reader.option("escape", '"').option("multiLine", broken_lines).csv(path)
+        raw = reader.option("escape", escape).option("multiLine", broken_lines).csv(path)
         if names:
             raw = raw.toDF(*names)
     return raw.select(
@@ -141,16 +160,18 @@ def typed(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Files under ``path`` with charset and delimiter found per file, then types inferred.
+    """Files under ``path`` with charset, delimiter and quoting found per file, then types inferred.
 
-    Files are grouped by (charset, delimiter, quoted line breaks) and each group is one read.
+    Files are grouped by (charset, delimiter, escape, quoted line breaks) and each group is one read.
     """
     found = file_charsets(spark, path).join(file_delimiters(spark, path), "path", "left")
-    found = found.join(files_with_broken_lines(spark, path), "path", "left")
-    groups: dict[tuple[str, str, bool], list[str]] = {}
+    found = found.join(files_with_quotes(spark, path), "path", "left")
+    groups: dict[tuple[str, str, str, bool], list[str]] = {}
     for r in found.collect():  # one row per file
-        groups.setdefault((r["charset"], r["delimiter"] or ",", bool(r["broken"])), []).append(r["path"])
+        groups.setdefault((r["charset"], r["delimiter"] or ",", r["escape"] or '"', bool(r["broken"])), []).append(r["path"])
     if not groups:
         raise ValueError(f"no rows under {path}")
-    tables = [read_text_table(spark, paths, sep=d, charset=c, broken_lines=b, **options) for (c, d, b), paths in sorted(groups.items())]
+    tables = [
+        read_text_table(spark, paths, sep=d, charset=c, escape=e, broken_lines=b, **options) for (c, d, e, b), paths in sorted(groups.items())
+    ]
     return typed(reduce(lambda a, b: a.unionByName(b), tables))
