@@ -11,8 +11,8 @@ unpacks a block, or any slice of it, without loops.
 Text goes through the tokenizer in pieces: the vocabulary's byte-level splitter never joins text
 across the cuts made here (before white characters that follow others, and between a Latin
 letter and the punctuation behind it), so the ids of the pieces in a row are the ids of the
-text, and a piece that a task has seen is not encoded again. New pieces go through the tokenizer
-as one text, with line breaks between. The table of pieces is bounded and ends with the task.
+text, and a piece that a task has seen is not encoded again. New pieces that start with a blank go
+through the tokenizer as one text. The table of pieces is bounded and ends with the task.
 
 Defined results: a NULL or empty text is a document of the end id alone. Rows without an id come
 first; equal ids keep one entry per row, ordered by a hash of the text. A special token written in
@@ -107,13 +107,22 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def blank_first(path: str) -> np.ndarray:
+    """Which ids of a byte-level vocabulary begin with a blank (written as U+0120 there)."""
+    entries = tokenizer(path).get_vocab()
+    out = np.zeros(max(entries.values()) + 1, bool)
+    out[[number for entry, number in entries.items() if entry.startswith("\u0120")]] = True
+    return out
+
+
 class PieceEncoder:
     """Encodes texts through a bounded table of the pieces seen so far; only new pieces meet the tokenizer."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.line_break = self.whole(["\n"])[0]
+        self.blank_first = blank_first(path)
         self.pieces = Numbered()
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -121,26 +130,25 @@ class PieceEncoder:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self) -> None:
-        """Ids of the new pieces. White characters stand at the start of a piece or are all of it. A piece without any
-        but a blank is plain: a line break before and after it is a token of its own."""
+        """Ids of the new pieces. A piece whose only white character is the blank it starts with begins with a token
+        that holds this blank, so many of them go through as one text and are told apart afterwards."""
         new = self.pieces.new
         if not new:
             return
-        odd = np.fromiter((p[-1] in WHITE or p[1:2] in WHITE or (p[0] in WHITE and p[0] != " ") for p in new), bool, len(new))
-        plain = [p for p, o in zip(new, odd.tolist()) if not o]
-        ids = self.whole(["\n".join(plain)])[0] if plain and len(self.line_break) == 1 else np.empty(0, np.uint32)
-        breaks = np.flatnonzero(ids == self.line_break[0])
-        if len(breaks) == len(plain) - 1:
-            ends = np.append(breaks, len(ids))
-            lengths, ids = np.diff(ends, prepend=-1) - 1, np.delete(ids, breaks)
+        spaced = np.fromiter((p[0] == " " and p[-1] not in WHITE and p[1] not in WHITE for p in new), bool, len(new))
+        joined = [p for p, s in zip(new, spaced.tolist()) if s]
+        ids = self.whole(["".join(joined)])[0] if joined else np.empty(0, np.uint32)
+        begins = np.flatnonzero(self.blank_first[ids])
+        if len(begins) == len(joined):
+            lengths = np.diff(begins, append=len(ids))
         else:
-            some = self.whole(plain)
+            some = self.whole(joined)
             lengths, ids = np.array([len(x) for x in some], np.int64), np.concatenate([*some, np.empty(0, np.uint32)])
-        others = self.whole([p for p, o in zip(new, odd.tolist()) if o])
+        others = self.whole([p for p, s in zip(new, spaced.tolist()) if not s])
         count = np.empty(len(new), np.int64)
-        count[~odd], count[odd] = lengths, [len(x) for x in others]
-        every, of_odd = np.empty(int(count.sum()), np.uint32), np.repeat(odd, count)
-        every[~of_odd], every[of_odd] = ids, np.concatenate([*others, np.empty(0, np.uint32)])
+        count[spaced], count[~spaced] = lengths, [len(x) for x in others]
+        every, of_spaced = np.empty(int(count.sum()), np.uint32), np.repeat(spaced, count)
+        every[of_spaced], every[~of_spaced] = ids, np.concatenate([*others, np.empty(0, np.uint32)])
         self.pieces.learn(every, count)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
