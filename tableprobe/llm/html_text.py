@@ -16,16 +16,17 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<",
-    re.S,
-)
+OTHER = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|[^<]+|<", re.S)
+TAG = re.compile(r"<(/?)[a-zA-Z]")
+NAME_END = re.compile(r"[\s/>]")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -58,7 +59,7 @@ IMPLIED = {
 }
 P_BOUNDS = {"table", "td", "th", "button", "object", "caption", "html"}
 MAX_COLUMN = 40  # cells wider than this are not padded for, so a page grows by its cells only
-MAX_SPAN = 20
+MAX_SPAN = 1000  # the standard takes larger spans as 1000
 
 
 class Node:
@@ -68,6 +69,47 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+class TagEnds:
+    """Finds the ``>`` of tags, past quoted attributes. However many tags never end, a page is read a bounded number
+    of times: a quote that led nowhere once is known, and so is the next quote or ``>`` behind the place searched last."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.near = {}  # per pattern: searched from, found
+        self.closing = {'"': len(page), "'": len(page)}  # from here on no such quote
+        self.lost: set[int] = set()
+
+    def next(self, pattern: re.Pattern, at: int) -> int:
+        """The next character of a kind, or the end of the page."""
+        start, found = self.near.get(pattern, (0, -1))
+        if not start <= at <= found:
+            match = pattern.search(self.page, at)
+            found = match.start() if match else len(self.page)
+            self.near[pattern] = (at, found)
+        return found
+
+    def after(self, at: int) -> int:
+        """Where the ``>`` stands of a tag whose name ends at ``at``; -1 if it has none."""
+        seen = []
+        while True:
+            at = self.next(STOP, at)
+            if at == len(self.page) or at in self.lost:
+                break
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            seen.append(at)
+            if at + 1 >= self.closing[quote]:
+                break
+            end = self.page.find(quote, at + 1)
+            if end < 0:
+                self.closing[quote] = at + 1
+                break
+            at = end + 1
+        self.lost.update(seen)
+        return -1
+
+
 def build(page: str) -> Node:
     """The element tree of a page; text nodes are plain strings."""
     root = Node("html")
@@ -92,12 +134,16 @@ def build(page: str) -> Node:
                 pop()
 
     at, size = 0, len(page)
+    ends = TagEnds(page)
     while at < size:
-        token = TOKEN.match(page, at)
-        at = token.end()
-        name = token[2]
-        if name is None:
-            text = token[0]
+        token = TAG.match(page, at)
+        named = ends.next(NAME_END, token.end()) if token else size
+        stop = ends.after(named)
+        if stop >= 0:
+            name, attrs, at = page[token.end() - 1 : named], page[named:stop], stop + 1
+        else:
+            text = OTHER.match(page, at)[0]
+            at += len(text)
             if text[0] != "<" or text == "<":
                 stack[-1].children.append(html.unescape(text))
             continue
@@ -120,7 +166,7 @@ def build(page: str) -> Node:
             close(*IMPLIED[name])
         if name in ENDS_P and open_tags.get("p"):
             close({"p"}, P_BOUNDS)
-        node = Node(name, token[3] or "")
+        node = Node(name, attrs)
         stack[-1].children.append(node)
         if name in VOID or (node.attrs.endswith("/") and name in ("svg", "math", "path", "use")):
             continue
@@ -208,13 +254,16 @@ def columns(rows: list[list[tuple[str, int]]]) -> list[str]:
         for cell, span in row:
             if span == 1 and len(cell) <= MAX_COLUMN:
                 widths[at] = max(widths.get(at, 0), len(cell))
+            else:
+                widths.setdefault(at, 0)
             at += span
+    known = sorted(widths)  # columns in which a cell begins; others take no room
     out = []
     for row in rows:
         at, cells = 0, []
         for cell, span in row:
-            wide = sum(widths.get(at + k, 0) for k in range(span)) + 3 * (span - 1)
-            cells.append(cell.ljust(wide))
+            under = known[bisect_left(known, at) : bisect_left(known, at + span)]
+            cells.append(cell.ljust(sum(widths[c] for c in under) + 3 * (len(under) - 1)))
             at += span
         line = " | ".join(cells).rstrip(" |")
         if line:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tableprobe.llm.html_text import extract, render
@@ -33,6 +35,23 @@ def test_nesting_of_any_depth_and_unclosed_markup():
     assert render("<p title='a>b'>c") == "c"
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a '", "<a", "<a \"'", "<a b='c' \"", '<a "\'\'', "<"])
+def test_tags_that_never_end_take_time_in_proportion(unit):
+    start = time.process_time()
+    assert render(unit * 50_000).startswith("<")
+    assert render(unit * 50_000 + "<p>seen</p>") is not None
+    assert time.process_time() - start < 10
+
+
+@pytest.mark.parametrize("span", [2, 25, 1000, 5000])
+def test_wide_spans_cover_the_columns_that_exist(span):
+    page = f"<table><tr><td colspan={span}>all<tr><td>aa<td>b</table>"
+    assert render(page) == "all\naa | b"
+    many = f"<table><tr><td colspan=30>head<td>end<tr>{'<td>x' * 30}<td>last</table>".strip()
+    head, row = render(many).split("\n")
+    assert head.index("end") == row.index("last")
+
+
 def test_wide_cells_do_not_blow_up():
     page = "<table>" + f"<tr><td>{'w' * 20_000}<td>x" + "<tr><td>a<td>b" * 2_000 + "</table>"
     assert len(render(page)) < 100_000
