@@ -15,12 +15,15 @@ sees from one row per source how often it is taken, without a shuffle of texts.
 Defined results: NULL and empty sources are one source. NULL and empty texts have no tokens; they
 are taken with their block, a source without tokens is not taken at all. Rows without an id are
 placed by a hash of their text; repeated rows are taken or left together. An empty table gives an
-empty table. Results carry their own names, so other columns cannot clash.
+empty table. Where the budget is beyond the repetition limit for the corpus as a whole, no weights can
+meet both: the exponent is 1, all sources are repeated alike and a warning says so. Input columns are numbered while the mix is computed, so any names work; where
+one has the name of an added column, the added one gets further underscores.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -126,6 +129,8 @@ def plan(
     size = sources.agg(F.count("*").alias("all"), F.sum(F.col("tokens_")).alias("t"), F.count_if(F.col("tokens_") > 0).alias("n")).first()
     total = size.t or 0
     goal = total if budget is None else budget
+    if total and goal > max_repeat * total:
+        warnings.warn(f"a budget of {goal} tokens repeats the {total} of the corpus more than {max_repeat} times", stacklevel=2)
     a = exponent(known, total, size.n, goal, target_entropy, max_repeat) if total else 1.0
     z = known.agg(F.sum(F.pow(F.col("tokens_") / F.lit(float(total or 1)), F.lit(a)))).first()[0] or 1.0
     has = F.col("tokens_") > 0
@@ -163,8 +168,10 @@ def mix(df: DataFrame, sources: DataFrame, count: int, key: str = "doc_id", text
     source_, epoch_, block_ and place_: rows of a source and epoch in the order of ``place_`` are
     its block permutation.
     """
-    from_source, name = _named(df, key, text, source)
-    rows = _with_sources(df.withColumns({"source_": from_source, "name_": name}), sources, count)
+    position = {c.lower(): n for n, c in enumerate(df.columns)}
+    numbered = df.toDF(*[f"c{n}" for n in range(len(df.columns))])
+    from_source, name = _named(numbered, *[f"c{position[c.lower()]}" for c in (key, text, source)])
+    rows = _with_sources(numbered.withColumns({"source_": from_source, "name_": name}), sources, count)
     rows = rows.withColumn("block_", _block(F.col("name_"), F.col("blocks_")))
     where = F.concat_ws("/", F.col("source_"), F.col("block_").cast("string"))
     last = F.col("epochs_") + 1
@@ -174,4 +181,11 @@ def mix(df: DataFrame, sources: DataFrame, count: int, key: str = "doc_id", text
     epochs = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
     taken = rows.withColumn("epoch_", F.explode(epochs))
     place = F.concat(_order(seed, F.col("epoch_"), where), _order(seed, F.col("epoch_"), F.col("name_")))
-    return taken.select(*[F.col(f"`{c}`") for c in df.columns], "source_", "epoch_", "block_", place.alias("place_"))
+    added = {"source_": F.col("source_"), "epoch_": F.col("epoch_"), "block_": F.col("block_"), "place_": place}
+    out = [F.col(f"c{n}").alias(c) for n, c in enumerate(df.columns)]
+    for column, value in added.items():
+        while column in position:
+            column += "_"
+        position[column] = -1
+        out.append(value.alias(column))
+    return taken.select(*out)

@@ -4,8 +4,9 @@ Patterns find candidates in whole texts. Each candidate's value is hashed and co
 whole corpus: in how many distinct repositories and under how many distinct owners it occurs. A
 value that many owners have copied is an example from documentation; one that a single owner has
 (a few repositories at most) and that looks random is live-looking. The values that turn out
-live-looking are then searched among the bare tokens of all texts, so a copy of a credential
-without its telltale context is found as well (kind ``copy``).
+live-looking are then searched among the bare tokens of all texts, so a copy of a credential that
+stands as a whole token of 16 or more characters with a digit, without its telltale context, is found
+as well (kind ``copy``). A copy glued to other text by ``. = /`` is a longer token and is not.
 
 Positions are code points, from lengths of the text between matches and of the matches. Counts
 are pre-aggregated: a value that a third of the rows share is shuffled once per task.

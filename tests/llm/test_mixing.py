@@ -84,3 +84,23 @@ def test_odd_rows(spark):
     blank = docs.where("text is null")
     sources, count = plan(blank)
     assert mix(blank, sources, count).count() == 0
+
+
+def test_columns_with_the_names_of_the_mix_keep_their_values(spark):
+    rows = [(n, "a" if n % 3 else "b", f"w{n} x y", "keep", "t", n, "s") for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, name_ string, tokens_ string, blocks_ int, source_ string")
+    sources, count = plan(docs, block_docs=8)
+    mixed = mix(docs, sources, count)
+    assert mixed.columns == [*docs.columns, "source__", "epoch_", "block_", "place_"]
+    found = mixed.collect()
+    assert found and {tuple(r)[:7] for r in found} <= {tuple(r) for r in rows}
+    plain = docs.select("doc_id", "source", "text")
+    same = mix(plain, *plan(plain, block_docs=8)).select("doc_id", "epoch_").collect()
+    assert sorted((r.doc_id, r.epoch_) for r in found) == sorted(map(tuple, same))
+
+
+def test_a_budget_beyond_the_repetition_limit_repeats_all_alike_and_warns(spark):
+    docs = spark.createDataFrame([(1, "a", "one two three four five"), (2, "b", "six")], "doc_id long, source string, text string")
+    with pytest.warns(UserWarning, match="more than 4"):
+        found = mix(docs, *plan(docs, budget=60, max_repeat=4)).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, found)) == [(1, 10), (2, 10)]
