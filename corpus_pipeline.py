@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableprobe.llm.decontamination import clean
 from tableprobe.llm.language import fit, keep_identified
@@ -36,7 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the budget is the size of what is there."""
     sources, count = plan(docs)
-    return mix(docs, sources, count).select(*docs.columns)
+    return mix(docs, sources, count).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def store_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
