@@ -7,7 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECES = 256  # at least; more for many scores
+from tableprobe.session import cut_lineage
+
 SCORES_PER_PIECE = 1_000_000
 
 BINARY = "BINARY_CLASSIFICATION"
@@ -81,19 +82,20 @@ def regression_metrics(predictions: DataFrame, keys: list[str]) -> DataFrame:
 def roc_auc(predictions: DataFrame, positive, keys: list[str]) -> DataFrame:
     """Area under the ROC curve per group, exact, ties counted half.
 
-    Rows are first counted per distinct score. The running count of negatives is built from
-    score ranges of about equal size and then inside each range, so no group is sorted in
-    one task.
+    Rows are first counted per distinct score. Spark deals these out by ranges of group and score,
+    and the ranges are stored, so that both readings of them agree. The running count of negatives
+    is built from the sums of the ranges and then inside each range: no group is sorted in one task,
+    and no row is held against a list of boundaries.
     """
     is_positive = F.col("label") == F.lit(positive)
     scores = predictions.groupBy(*keys, F.col("score").cast("double").alias("score")).agg(
         F.count(F.when(is_positive, 1)).alias("pos"), F.count(F.when(~is_positive, 1)).alias("neg")
     )
-    pieces_wanted = max(PIECES, math.ceil(scores.count() / SCORES_PER_PIECE))
-    shares = [F.lit(i / pieces_wanted) for i in range(1, pieces_wanted)]
-    cuts = scores.agg(F.percentile_approx("score", F.array(*shares), F.lit(10_000))).first()[0] or []
-    cut_list = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<double>")
-    pieces = scores.withColumn("piece", F.size(F.filter(cut_list, lambda x: x < F.col("score"))))
+    scores = cut_lineage(scores)
+    at_once = int(predictions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(at_once, math.ceil(scores.count() / SCORES_PER_PIECE))
+    ranges = scores.repartitionByRange(wanted, *keys, "score") if keys else scores.repartitionByRange(wanted, "score")
+    pieces = cut_lineage(ranges.withColumn("piece", F.spark_partition_id()))
     sums = pieces.groupBy(*keys, "piece").agg(F.sum("neg").alias("piece_neg"))
     earlier = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, "piece", F.coalesce(F.sum("piece_neg").over(earlier), F.lit(0)).alias("start"))

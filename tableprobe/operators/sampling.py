@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableprobe.functions.columns import ref
+from tableprobe.session import cut_lineage
 
 # Row limits of the profile sample and of the training sample.
 PROFILE_SAMPLE = 50_000
@@ -20,6 +21,7 @@ TRAINING_SAMPLE = 5_000
 FOLDS = 5
 
 ROWS_PER_BUCKET = 200_000
+BROADCAST_CLASSES = 100_000
 
 
 def hash_of(key: Column) -> Column:
@@ -84,13 +86,24 @@ def random_sample(df: DataFrame, key: str, size: int = PROFILE_SAMPLE) -> DataFr
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, size: int) -> DataFrame:
-    """About ``size`` rows, the same share of every class; rows without a label fall out."""
+    """About ``size`` rows, the same share of every class; rows without a label fall out.
+
+    The last row to be taken is found per class from labels and keys alone; whole rows are only
+    filtered by it, which needs no shuffle of them. Rows of one key stay together.
+    """
     n_rows = df.count()
     share = size / max(n_rows, 1)
-    ranked = rank_in_class(df, label, key, n_rows)
-    return ranked.where(F.col("class_rank") <= F.rint(F.col("class_size") * share)).drop(
-        "class_rank", "class_size"
+    ranked = rank_in_class(df.select(ref(label).alias("__of"), ref(key).alias("__key")), "__of", "__key", n_rows)
+    last = cut_lineage(
+        ranked.where(F.col("class_rank") == F.rint(F.col("class_size") * share)).select(
+            "__of", F.struct(hash_of(F.col("__key")).alias("hash"), F.col("__key").alias("key")).alias("__last")
+        )
     )
+    if last.count() <= BROADCAST_CLASSES:
+        last = F.broadcast(last)
+    here = F.struct(hash_of(ref(key)).alias("hash"), ref(key).alias("key"))
+    taken = df.join(last, (ref(label) == F.col("__of")) & (here <= F.col("__last")))
+    return taken.select(*[ref(c) for c in df.columns])
 
 
 def sampled(

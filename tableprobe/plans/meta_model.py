@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.functions.vectors import FEATURE_ORDER
+from tableprobe.functions.vectors import FEATURE_ORDER, order_fingerprint
 from tableprobe.operators.evaluation import BINARY, MULTICLASS, REGRESSION, confusion, fold_metrics, over_folds
 from tableprobe.operators.preparation import Scale, apply_scale, class_weights
 from tableprobe.operators.sampling import FOLDS, stratified_folds
@@ -104,3 +105,48 @@ def score(profiles: DataFrame, model: MetaModel) -> DataFrame:
         best.alias("ml_confidence"),
         F.map_from_arrays(names, p).alias("ml_probabilities"),
     )
+
+
+PARTS = ("metrics", "confusion", "importances")
+
+
+def save_model(model: MetaModel, folder: str) -> int:
+    """Store a model below ``folder`` and give back its version, 1, 2, …
+
+    Forest and tables go to a place of their own first. The row that names this place is written last: a version
+    exists once it can be read whole, and what an interrupted save left behind is never read.
+    """
+    spark = model.metrics.sparkSession
+    place = f"{folder}/models/{uuid4().hex}"
+    model.forest.write().save(f"{place}/forest")
+    for part in PARTS:
+        getattr(model, part).write.parquet(f"{place}/{part}")
+    known = versions(spark, folder)
+    version = 1 + ((known.agg(F.max("version")).first()[0] or 0) if known is not None else 0)
+    facts = [(version, place, model.classes, model.scale.mean, model.scale.std, model.n_rows)]
+    spark.createDataFrame(
+        facts, "version int, place string, classes array<string>, mean map<string,double>, std map<string,double>, n_rows long"
+    ).withColumn("vector_order", order_fingerprint()).write.mode("append").parquet(f"{folder}/versions")
+    return version
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The published models below ``folder``, one row each; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/versions")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{folder}/versions")
+
+
+def load_model(spark: SparkSession, folder: str, version: int | None = None) -> MetaModel:
+    """A stored model, the newest unless a version is named; one of another feature order is refused."""
+    known = versions(spark, folder)
+    wanted = None if known is None else known if version is None else known.where(F.col("version") == version)
+    row = None if wanted is None else wanted.withColumn("fits", F.col("vector_order") == order_fingerprint()).orderBy(F.desc("version"), "place").first()
+    if row is None:
+        raise ValueError(f"no model {'' if version is None else f'of version {version} '}below {folder}")
+    if not row.fits:
+        raise ValueError(f"model {row.version} was trained on another feature order; train it again")
+    tables = {part: spark.read.parquet(f"{row.place}/{part}") for part in PARTS}
+    forest = RandomForestClassificationModel.load(f"{row.place}/forest")
+    return MetaModel(forest, Scale(row["mean"], row["std"]), row.classes, n_rows=row.n_rows, **tables)

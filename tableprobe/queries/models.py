@@ -10,11 +10,11 @@ from tableprobe.operators.baseline import train_baseline
 from tableprobe.operators.evaluation import BINARY, MULTICLASS, REGRESSION
 from tableprobe.plans.catalog import embed, load_catalog, usable
 from tableprobe.plans.fleet import Source, profile_fleet
-from tableprobe.plans.meta_model import score, train_meta_model
+from tableprobe.plans.meta_model import load_model, save_model, score, train_meta_model
 from tableprobe.plans.profile import profile
 from tableprobe.plans.recommend import decide, hybrid
 from tableprobe.plans.report import baseline_table, importance_table
-from tableprobe.queries.registry import Tables, query, r, union_all
+from tableprobe.queries.registry import Tables, query, r, scratch, union_all
 from tableprobe.queries.statistics import gappy
 
 # Stored predictions made from the orders: the fold by key, the label and a prediction that
@@ -197,9 +197,10 @@ def fleet_sources(t: Tables) -> list[Source]:
 
 @query("meta_model_report", "L9 A26 A30 U1 S9 R18 R19 T10")
 def meta_model_report(t: Tables) -> DataFrame:
-    """Profiles of the fleet, the forest trained on them, and its scores and importances."""
+    """Profiles of the fleet, the forest trained on them, stored and loaded, and its scores and importances."""
     profiles, _ = profile_fleet(t.spark, fleet_sources(t))
-    model = train_meta_model(profiles.withColumn("dataset", F.col("title")))
+    folder = scratch(t.spark)
+    model = load_model(t.spark, folder, save_model(train_meta_model(profiles.withColumn("dataset", F.col("title"))), folder))
     metrics = model.metrics.select(F.lit("metric").alias("part"), F.col("metric").alias("name"), F.format_string("%.4f ± %.4f", "mean", "std").alias("value"))
     cells = model.confusion.select(
         F.lit("confusion").alias("part"), F.concat_ws(" → ", "label", "prediction").alias("name"), F.col("n").cast("string").alias("value")

@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tableprobe.functions.vectors import FEATURE_ORDER, order_fingerprint
-from tableprobe.operators import neighbours, preparation
+from tableprobe.operators import evaluation, neighbours, preparation
 from tableprobe.operators.baseline import train_baseline
 from tableprobe.operators.evaluation import BINARY, MULTICLASS, REGRESSION, roc_auc
 from tableprobe.plans.catalog import usable
-from tableprobe.plans.meta_model import score, train_meta_model
+from tableprobe.plans.meta_model import load_model, save_model, score, train_meta_model
 from tableprobe.sources import csv as csv_source
 from tableprobe.sources import store
 
@@ -102,7 +102,20 @@ def test_feature_order_is_guarded(spark):
         usable(good.withColumn("vector_order", F.lit("old")))
 
 
-def test_meta_model_learns_the_number_of_values(spark):
+def test_auc_over_many_score_ranges(spark, monkeypatch):
+    monkeypatch.setattr(evaluation, "SCORES_PER_PIECE", 7)
+    rng = np.random.default_rng(3)
+    rows = [("m", int(f), int(l), float(s)) for f, l, s in zip(rng.integers(0, 2, 600), rng.integers(0, 2, 600), rng.integers(0, 90, 600) - 5.0)]
+    df = spark.createDataFrame(rows, "model string, fold int, label int, score double")
+    found = {r["fold"]: r["value"] for r in roc_auc(df, 1, ["model", "fold"]).collect()}
+    for fold in (0, 1):
+        pos, neg = ([x[3] for x in rows if x[1] == fold and x[2] == y] for y in (1, 0))
+        assert found[fold] == pytest.approx(np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg]), abs=1e-12)
+    assert [r["value"] for r in roc_auc(df.where("label = 1"), 1, ["model"]).collect()] == [None]
+    assert roc_auc(df.where("false"), 1, ["model"]).count() == 0
+
+
+def test_meta_model_learns_the_number_of_values(spark, tmp_path):
     rng = np.random.default_rng(0)
     rows = []
     for i in range(90):
@@ -121,6 +134,23 @@ def test_meta_model_learns_the_number_of_values(spark):
     assert scored.join(df, "dataset").where("ml_class = task_type_code").count() >= 85
     assert scored.first()["ml_probabilities"].keys() == {BINARY, MULTICLASS, REGRESSION}
 
+    folder = str(tmp_path)
+    with pytest.raises(ValueError, match="no model"):
+        load_model(spark, folder)
+    assert [save_model(model, folder), save_model(model, folder)] == [1, 2]
+    (tmp_path / "models" / "left-behind").mkdir()  # an interrupted save
+    for version in (None, 1):
+        again = load_model(spark, folder, version)
+        assert score(df, again).orderBy("dataset").collect() == scored.orderBy("dataset").collect()
+        assert (again.classes, again.n_rows, again.scale) == (model.classes, 90, model.scale)
+        assert sorted(again.confusion.collect()) == sorted(model.confusion.collect())
+    with pytest.raises(ValueError, match="version 3"):
+        load_model(spark, folder, 3)
+    old = spark.read.parquet(f"{folder}/versions").where("version = 2")
+    old.withColumn("version", F.lit(4)).withColumn("vector_order", F.lit("old")).write.mode("append").parquet(f"{folder}/versions")
+    with pytest.raises(ValueError, match="another feature order"):
+        load_model(spark, folder)
+
 
 def test_imputing_an_empty_column(spark):
     df = spark.createDataFrame([(1, None, None), (2, None, "a")], "id int, x double, c string")

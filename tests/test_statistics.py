@@ -207,6 +207,21 @@ def test_class_ranks_do_not_depend_on_buckets(spark, monkeypatch):
     assert {(r["id"], r["class_rank"]) for r in sampling.rank_in_class(df, "y", "id").collect()} == one
 
 
+@pytest.mark.parametrize("classes", [0, 100])
+def test_stratified_sample_takes_the_first_of_each_class_without_moving_whole_rows(spark, monkeypatch, classes):
+    monkeypatch.setattr(sampling, "BROADCAST_CLASSES", classes)
+    rows = [(n, None if n % 50 == 0 else "a" if n % 3 else "b" if n % 9 else "c", "w" * 50) for n in range(3000)] + [(9999, "rare", "w")]
+    df = spark.createDataFrame(rows, "id long, y string, wide string")
+    part = sampling.stratified_sample(df, "y", "id", 300)
+    ranked = sampling.rank_in_class(df, "y", "id").where(F.col("class_rank") <= F.rint(F.col("class_size") * 300 / len(rows)))
+    assert part.columns == df.columns
+    assert sorted(r["id"] for r in part.collect()) == sorted(r["id"] for r in ranked.collect())
+    assert part.where("y IS NULL OR y = 'rare'").count() == 0
+    if classes:
+        assert "Exchange hashpartitioning" not in part._jdf.queryExecution().executedPlan().toString()
+    assert sampling.stratified_sample(df.where("false"), "y", "id", 300).count() == 0
+
+
 def test_long_texts_are_counted_by_key_and_shown_in_full(spark):
     long_a, long_b = "a" * 500, "a" * 499 + "b"
     df = spark.createDataFrame([(v,) for v in [long_a] * 3 + [long_b] * 2 + ["short", None]], "t string")
