@@ -222,6 +222,13 @@ def test_stratified_sample_takes_the_first_of_each_class_without_moving_whole_ro
     assert sampling.stratified_sample(df.where("false"), "y", "id", 300).count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 7, 20])
+def test_stratified_sample_of_a_small_table_is_the_whole_table(spark, size):
+    df = spark.createDataFrame([(n, "a" if n % 3 else "b", "w") for n in range(6)] + [(6, None, "w")], "id long, y string, wide string")
+    part = sampling.stratified_sample(df.where("y IS NOT NULL"), "y", "id", size)
+    assert sorted(tuple(r) for r in part.collect()) == sorted(tuple(r) for r in df.where("y IS NOT NULL").collect())
+
+
 def test_long_texts_are_counted_by_key_and_shown_in_full(spark):
     long_a, long_b = "a" * 500, "a" * 499 + "b"
     df = spark.createDataFrame([(v,) for v in [long_a] * 3 + [long_b] * 2 + ["short", None]], "t string")
