@@ -131,9 +131,41 @@ def described(df: DataFrame, key: str, text: str, size: int, percent: int) -> Da
     return named.mapInArrow(rows, "row_ long, doc_ long, n_ long, a_ long, b_ long, keys_ array<long>, set_ binary")
 
 
-def only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose row_ is in ``ids``; few ids are sent to the rows, many are shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "row_", "left_semi")
+def with_sets(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` with the set_ of their row_.
+
+    Few are sent to the sets. For many, bitmaps of their numbers (a bit per row) are sent first, so that no set
+    is shuffled that nobody asks for.
+    """
+    sets = rows.select("row_", "set_")
+    if wanted.count() <= BROADCAST_IDS:
+        return sets.join(F.broadcast(wanted), "row_")
+    marks = wanted.groupBy(F.bitmap_bucket_number("row_").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row_")).alias("marks_"))
+    place = F.bitmap_bit_position("row_")
+    byte = F.conv(F.hex(F.substring("marks_", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = sets.join(F.broadcast(marks), F.bitmap_bucket_number("row_") == F.col("bucket_"))
+    marked = marked.where(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1)
+    return marked.select("row_", "set_").join(wanted, "row_")
+
+
+def first_of_key(keyed: DataFrame) -> DataFrame:
+    """Pairs (x_, y_) of the smallest row_ of a key_ and its other rows; the keys stream by in order, shuffled once."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, row = batch.column("key_").to_numpy(), batch.column("row_").to_numpy()
+            start = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(start, np.arange(len(key)), -1))
+            x = np.where(at >= 0, row[at], least)
+            last, least = key[-1], x[-1]
+            other = x != row
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]), pa.array(row[other])], names=["x_", "y_"])
+
+    return keyed.repartition("key_").sortWithinPartitions("key_", "row_").mapInArrow(pairs, "x_ long, y_ long")
 
 
 def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,13 +174,12 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     The partners of a set stream past one copy of it; a set with many partners has several copies in
     different tasks.
     """
-    ids = cut_lineage(pairs.select(F.col("x_").alias("row_")).unionAll(pairs.select(F.col("y_").alias("row_"))).distinct())
-    held = only(sets.select("row_", "set_"), ids)
     parts = pairs.groupBy("x_").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts_"))
     placed = pairs.join(parts, "x_").withColumn("at_", F.pmod(F.xxhash64("y_"), F.col("parts_")).cast("int"))
-    partners = placed.join(held.withColumnRenamed("row_", "y_"), "y_").select("x_", "at_", "y_", "set_")
     copies = parts.withColumn("at_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
-    copies = copies.join(held.withColumnRenamed("row_", "x_"), "x_").select("x_", "at_", F.lit(None).cast("long").alias("y_"), "set_")
+    wanted = placed.select(F.col("y_").alias("row_"), "x_", "at_", "y_").unionAll(
+        copies.select(F.col("x_").alias("row_"), "x_", "at_", F.lit(None).cast("long").alias("y_"))
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.empty(0, np.uint64)
@@ -167,7 +198,8 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x_", "y_"])
 
-    streams = partners.unionAll(copies).repartition("x_", "at_").sortWithinPartitions("x_", "at_", F.col("y_").asc_nulls_first())
+    streams = with_sets(cut_lineage(wanted), sets).select("x_", "at_", "y_", "set_")
+    streams = streams.repartition("x_", "at_").sortWithinPartitions("x_", "at_", F.col("y_").asc_nulls_first())
     return streams.mapInArrow(compare, "x_ long, y_ long")
 
 
@@ -382,9 +414,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     few = copies.count() <= BROADCAST_IDS
     sets = full.join(F.broadcast(copies) if few else copies, ["a_", "b_"], "left").where("first_ is null or row_ = first_")
     keyed = sets.select(F.explode("keys_").alias("key_"), "row_")
-    shared = keyed.groupBy("key_").agg(F.min("row_").alias("x_"), F.count("*").alias("c_")).where("c_ > 1").drop("c_")
-    pairs = keyed.join(shared, "key_").where("x_ != row_").select("x_", F.col("row_").alias("y_")).distinct()
-    pairs = stored(pairs, "signatures")
+    pairs = stored(first_of_key(keyed).distinct(), "signatures")
     links = stored(linked_pairs(pairs, rows, percent), "signatures")
     # Several sets of one id are one document.
     several = full.groupBy("doc_").agg(F.min("a_").alias("m_"), F.max("a_").alias("n_")).where("m_ != n_").select("doc_")
@@ -398,9 +428,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     apart = members.groupBy("tree_").agg(F.min("label_").alias("m_"), F.max("label_").alias("n_")).where("m_ != n_").select("tree_")
     open_ = cut_lineage(members.join(apart, "tree_"))
     if not open_.isEmpty():
-        here = only(rows.select("row_", "n_", "set_"), open_.select("row_")).join(open_, "row_")
+        here = rows.select("row_", "n_").join(open_, "row_")
         most = here.groupBy("tree_").agg(F.pow(F.lit(2), F.ceil(F.log2(F.max("n_") * 2))).cast("long").alias("bits_n_"))
         here = here.join(most.withColumn("bits_n_", F.greatest("bits_n_", F.lit(64))), "tree_")
+        here = with_sets(cut_lineage(here), rows)
         order = here.withColumn("order_", F.xxhash64(F.substring("set_", 1, 8)))  # the smallest shingle hash
         order = order.repartitionByRange("tree_", "label_", "order_", "row_").sortWithinPartitions("tree_", "label_", "order_", "row_")
         nodes = stored(nodes_of(order), "signatures")

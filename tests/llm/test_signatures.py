@@ -58,6 +58,39 @@ def test_far_first_set_and_chains(spark, monkeypatch):
     assert run(spark, rows) == brute(rows, 3, 90)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_sets_of_wanted_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(module, "BROADCAST_IDS", few)
+    numbers = [0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 65536, (1 << 33) - 1, 1 << 33, (1 << 33) + 32768, (5 << 33) + 3]
+    rows = spark.createDataFrame([(n, bytes([n % 251])) for n in numbers], "row_ long, set_ binary")
+    wanted = spark.createDataFrame([(n, k) for k, n in enumerate(numbers[::2] + numbers[:3])], "row_ long, k_ int")
+    got = module.with_sets(wanted, rows)
+    assert sorted((r.row_, r.k_, r.set_) for r in got.collect()) == sorted((r.row_, r.k_, bytes([r.row_ % 251])) for r in wanted.collect())
+
+
+def test_keys_are_shuffled_once(spark):
+    """Runs of one key go over the ends of batches; the first row of a key is paired with all others."""
+    rows = [(k, r) for k in range(-3, 3) for r in range(k % 4 * 400)] + [(9, 5)]
+    keyed = spark.createDataFrame(rows, "key_ long, row_ long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        pairs = module.first_of_key(keyed)
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted((0, r) for _, r in rows[:-1] if r)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("ids", [0, 1_000_000])
+def test_few_and_many_rows(spark, monkeypatch, ids):
+    monkeypatch.setattr(module, "BROADCAST_IDS", ids)
+    rng = np.random.default_rng(3)
+    pool = [f"w{n}" for n in range(500)]
+    texts = [t for length in (40, 70, 90) for t in copies(rng, list(rng.choice(pool, length)), 12, 4)]
+    rows = list(enumerate(texts))
+    assert run(spark, rows) == brute(rows, 3, 90)
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{n}" for n in range(80))
     rows = [(5, text), (None, text), (3, text.upper()), (4, None), (4, None), (7, text + " end"), (7, text + " end"), (9, text), (9, "other words of the same id"), (11, "other words of the same id"), (12, "")]
