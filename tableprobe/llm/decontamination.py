@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.batches import copied, tidy
 from tableprobe.llm.words import WordHashes, grams, word_hashes
 
 TOKEN = re.compile(r"\w+")
@@ -37,6 +38,7 @@ MIN_TILE = 3
 MIN_COVERAGE = 0.7
 BLOCK_TOKENS = 2_000_000
 FILTER_BITS = 22
+ROWS_AT_ONCE = 512
 
 
 def tokens(text: str | None) -> list[str]:
@@ -169,7 +171,7 @@ def overlaps(
 
         def compare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            for batch in batches:
+            for batch in copied(batches, ROWS_AT_ONCE):
                 found = []
                 for key_, value in zip(batch.column("key_"), batch.column("t_")):
                     doc = word_hashes(tokens(value.as_py()))
@@ -189,7 +191,7 @@ def overlaps(
                             )
                 yield pa.RecordBatch.from_pylist(found, schema=fields)
 
-        part = rows.mapInArrow(compare, schema)
+        part = rows.mapInArrow(tidy(compare), schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = spark.createDataFrame([], schema)
@@ -221,7 +223,7 @@ def clean(
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
-            for batch in batches:
+            for batch in copied(batches, ROWS_AT_ONCE):
                 mask = []
                 for value in batch.column(batch.schema.get_field_index(text)):
                     doc = word_hashes(tokens(value.as_py()))
@@ -234,5 +236,5 @@ def clean(
                     )
                 yield batch.filter(pa.array(mask, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(tidy(keep), docs.schema)
     return docs

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tableprobe.llm.batches import copied, tidy
 from tableprobe.llm.words import mix
 
 PLACES = 4096
@@ -140,25 +141,18 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", label: str = "la
     taken = rows.join(F.broadcast(table), F.col("label_") == F.col("name_")).where(F.col("hash_") <= F.col("cut_"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in copied(batches, ROWS_AT_ONCE):
             sets = [np.packbits(presence(t.as_py())).tobytes() for t in batch.column("text_")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("hash_"), batch.column("label_"), pa.array(sets, pa.binary())], names=["hash_", "label_", "set_"]
             )
 
-    taken = taken.select("hash_", "label_", "text_").mapInArrow(features, "hash_ long, label_ string, set_ binary")
+    taken = taken.select("hash_", "label_", "text_").mapInArrow(tidy(features), "hash_ long, label_ string, set_ binary")
     found = sorted(tuple(r) for r in taken.limit(max_rows).collect())
     packed = np.frombuffer(b"".join(bytes(s) for *_, s in found), np.uint8).reshape(len(found), PLACES // 8)
     return fit_sets(np.unpackbits(packed, axis=1).astype(np.float32), np.array([name for _, name, _ in found], object))
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of so few rows that their texts are not held twice."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-            yield batch.slice(start, ROWS_AT_ONCE)
-
-
 def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key_, lang_ and score_ of every row."""
     rows = df.select(F.col(f"`{key}`").alias("key_"), F.col(f"`{text}`").cast("string").alias("text_"))
@@ -166,14 +160,14 @@ def identify(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     kind = rows.schema["key_"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in copied(batches, ROWS_AT_ONCE):
             labels, scores = shared.value.predict(batch.column("text_").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key_"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 names=["key_", "lang_", "score_"],
             )
 
-    return rows.mapInArrow(predict, f"key_ {kind}, lang_ string, score_ double")
+    return rows.mapInArrow(tidy(predict), f"key_ {kind}, lang_ string, score_ double")
 
 
 def keep_identified(df: DataFrame, model: Model, text: str = "text", languages: set[str] | None = None) -> DataFrame:
@@ -181,10 +175,10 @@ def keep_identified(df: DataFrame, model: Model, text: str = "text", languages:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches):
+        for batch in copied(batches, ROWS_AT_ONCE):
             labels, _ = shared.value.predict(batch.column(batch.schema.get_field_index(text)).to_pylist())
             yield batch.filter(
                 pa.array([name != UNDETERMINED and (languages is None or name in languages) for name in labels], pa.bool_())
             )
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(tidy(keep), df.schema)

@@ -41,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableprobe.llm.batches import copied, tidy
 from tableprobe.llm.tables import stored
 from tableprobe.llm.words import chain, grams, mix, word_hashes
 from tableprobe.session import cut_lineage
@@ -113,40 +114,38 @@ def describe_rows(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """doc_, n_, the hash of the set (a_, b_), nodes_ (one per tree), sk_ and set_ (sorted hashes) of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
-                batch = whole.slice(start, ROWS_AT_ONCE)
-                n, a, b, nodes, sk, sets = [], [], [], [], [], []
-                for value in batch.column("t_"):
-                    found = shingle_hashes(word_hashes(words(value.as_py())), size)
-                    n.append(len(found))
-                    sets.append(found.tobytes())
-                    if len(found):
-                        node, sketch = describe(found)
-                        a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
-                        b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)))
-                        nodes.append(node.view(np.int64))
-                        sk.append(sketch.tobytes())
-                    else:
-                        a.append(None)
-                        b.append(None)
-                        nodes.append(None)
-                        sk.append(None)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_"),
-                        pa.array(n, pa.int64()),
-                        pa.array(a, pa.int64()),
-                        pa.array(b, pa.int64()),
-                        pa.array(nodes, pa.list_(pa.int64())),
-                        pa.array(sk, pa.binary()),
-                        pa.array(sets, pa.binary()),
-                    ],
-                    names=["doc_", "n_", "a_", "b_", "nodes_", "sk_", "set_"],
-                )
+        for batch in copied(batches, ROWS_AT_ONCE):
+            n, a, b, nodes, sk, sets = [], [], [], [], [], []
+            for value in batch.column("t_"):
+                found = shingle_hashes(word_hashes(words(value.as_py())), size)
+                n.append(len(found))
+                sets.append(found.tobytes())
+                if len(found):
+                    node, sketch = describe(found)
+                    a.append(int(mix(found).sum(dtype=np.uint64).view(np.int64)))
+                    b.append(int(np.bitwise_xor.reduce(mix(found + np.uint64(77))).view(np.int64)))
+                    nodes.append(node.view(np.int64))
+                    sk.append(sketch.tobytes())
+                else:
+                    a.append(None)
+                    b.append(None)
+                    nodes.append(None)
+                    sk.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_"),
+                    pa.array(n, pa.int64()),
+                    pa.array(a, pa.int64()),
+                    pa.array(b, pa.int64()),
+                    pa.array(nodes, pa.list_(pa.int64())),
+                    pa.array(sk, pa.binary()),
+                    pa.array(sets, pa.binary()),
+                ],
+                names=["doc_", "n_", "a_", "b_", "nodes_", "sk_", "set_"],
+            )
 
     named = df.select(F.col(f"`{key}`").cast("long").alias("doc_"), F.col(f"`{text}`").cast("string").alias("t_"))
-    return named.mapInArrow(rows, "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary, set_ binary")
+    return named.mapInArrow(tidy(rows), "doc_ long, n_ long, a_ long, b_ long, nodes_ array<long>, sk_ binary, set_ binary")
 
 
 def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -217,7 +216,7 @@ def _first_look(nodes: DataFrame, threshold: float) -> DataFrame:
             held = (now.take(pa.array(keep)), place[keep])
 
     columns = ["node_", "rep_", "n_", "sk_"]
-    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
+    return nodes.select(*columns).mapInArrow(tidy(look), "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
 
 
 def shared_differences(pivot: np.ndarray, differences: pa.Array, n: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -331,7 +330,7 @@ def _second_look(nodes: DataFrame, threshold: float) -> DataFrame:
             yield from out.combine_chunks().to_batches()
 
     columns = ["node_", "rep_", "n_", "sk_", "label_", "p_", "d_"]
-    return nodes.select(*columns).mapInArrow(look, "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
+    return nodes.select(*columns).mapInArrow(tidy(look), "kind_ int, node_ long, rep_ long, n_ long, sk_ binary")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -419,7 +418,7 @@ def confirm(pairs: DataFrame, rows: DataFrame, searched: DataFrame, percent: int
             )
 
     streams = partners.unionAll(copies).repartition("x_", "at_").sortWithinPartitions("x_", "at_", F.col("y_").asc_nulls_first())
-    return streams.mapInArrow(check, "x_ long, y_ long, linked_ boolean, d_ array<long>")
+    return streams.mapInArrow(tidy(check), "x_ long, y_ long, linked_ boolean, d_ array<long>")
 
 
 def shingles(text: str | None, size: int) -> set:

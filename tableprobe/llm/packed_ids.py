@@ -35,8 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tableprobe.llm.batches import copied, tidy
+
 BLOCK_TOKENS = 65_536
 CACHED_PIECES = 500_000
+ROWS_AT_ONCE = 256
 
 # White space and letters as the vocabulary's splitter sees them.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -208,23 +211,21 @@ def write(
                 names=["shard", "block", "first", "n_tokens", "doc_ids", "doc_tokens", "payload"],
             )
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for key_, ids in zip(part.column("key_").to_pylist(), coder.encode(part.column("t_").to_pylist())):
-                    keys.append(key_)
-                    parts += [ids, end]
-                    lengths.append(len(ids) + 1)
-                    held += len(ids) + 1
-                    if held >= block_tokens:
-                        yield flush()
-                        first, block = first + held, block + 1
-                        keys, parts, lengths, held = [], [], [], 0
+        for batch in copied(batches, ROWS_AT_ONCE):
+            for key_, ids in zip(batch.column("key_").to_pylist(), coder.encode(batch.column("t_").to_pylist())):
+                keys.append(key_)
+                parts += [ids, end]
+                lengths.append(len(ids) + 1)
+                held += len(ids) + 1
+                if held >= block_tokens:
+                    yield flush()
+                    first, block = first + held, block + 1
+                    keys, parts, lengths, held = [], [], [], 0
         if keys:
             yield flush()
 
     ordered.mapInArrow(
-        blocks,
+        tidy(blocks),
         "shard int, block int, first long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, payload binary",
     ).write.mode("overwrite").parquet(f"{folder}/blocks")
     # One row per shard, as many as the write had tasks: a running sum over them is small.
@@ -273,7 +274,7 @@ def read_documents(spark: SparkSession, folder: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = "key_ long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return read_blocks(spark, folder).select(*columns).mapInArrow(documents, schema)
+    return read_blocks(spark, folder).select(*columns).mapInArrow(tidy(documents), schema)
 
 
 def read_ids(spark: SparkSession, folder: str, start: int, count: int) -> np.ndarray:
