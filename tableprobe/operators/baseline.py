@@ -11,19 +11,23 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableprobe.functions.columns import ref
+from tableprobe.functions.columns import column_groups, finite, nan_to_null, ref
+from tableprobe.operators import forest as forests
+from tableprobe.operators import ridge as ridges
 from tableprobe.operators.evaluation import BINARY, MULTICLASS, REGRESSION, fold_metrics, over_folds
 from tableprobe.operators.preparation import (
     Encoder,
+    cardinality,
     class_codes,
     class_weights,
     fill_values,
     fit_scale,
     impute,
+    modelling_columns,
     prepared,
 )
 from tableprobe.operators.sampling import FOLDS, plain_folds, random_sample, stratified_folds, stratified_sample
-from tableprobe.session import cut_lineage, together
+from tableprobe.session import cut_lineage, stored, together
 
 # Hyper-parameters of the baselines.
 LOGISTIC_ITERATIONS = 200
@@ -32,6 +36,11 @@ TREES = 50
 DEPTH = 5
 SEED = 42
 
+# Above so many rows a regression is trained by scans: Spark ML's bagged rows no longer stay in memory.
+ROWS_IN_MEMORY = 1_000_000
+# The most features whose products are added up per fold.
+NORMAL_FEATURES = 500
+
 NO_BASELINE = ("CLUSTERING", "NOT_READY")
 
 
@@ -115,6 +124,8 @@ def train_baseline(
         return no_baseline(spark)
     if task not in (BINARY, MULTICLASS, REGRESSION):
         raise NotImplementedError(f"no baseline for task {task!r}")
+    if task == REGRESSION and max_rows is None and _known(df, target).count() > ROWS_IN_MEMORY:
+        return _regression_by_scans(df, target, key, leakage or [], ratios, fit_once, folds)
     frame, columns = prepared(df, target, key, leakage, ratios)
     if max_rows is not None and frame.count() > max_rows:
         frame = (
@@ -194,3 +205,112 @@ def _weighted(df: DataFrame, task: str) -> DataFrame:
     if task == REGRESSION:
         return df
     return df.join(F.broadcast(class_weights(df, "label")), "label")  # one row per class, at most MAX_LEVELS
+
+
+def _known(df: DataFrame, target: str) -> DataFrame:
+    return nan_to_null(df).where(ref(target).isNotNull())
+
+
+def _regression_by_scans(
+    df: DataFrame, target: str, key: str, leakage: list[str], ratios: dict[str, float] | None, fit_once: bool, folds: int
+) -> Baseline:
+    """Both regressors on a table of any size.
+
+    The table is written once, without its key; folds, medians, modes and scales are those of :func:`train_baseline`. One scan
+    adds up what the ridges of all folds need, the forests of all folds share a scan per depth.
+    """
+    spark = df.sparkSession
+    clean = plain_folds(_known(df, target).withColumn("__target", ref(target)), key, folds)
+    out = {target, key, "__target", "fold", *leakage}
+    groups = {kind: [c for c in names if c not in out] for kind, names in column_groups(df).items()}
+    table = stored(
+        clean.select(
+            F.monotonically_increasing_id().alias("__row"),
+            "fold",
+            ref("__target").cast("double").alias("__target"),
+            *[ref(c).cast("double").alias(c) for c in groups["numeric"]],
+            *[ref(c).cast("string").alias(c) for c in groups["categorical"]],
+        )
+    )
+    if ratios is None:
+        ratios = cardinality(table, groups["categorical"])
+    columns = modelling_columns(df.select(*[ref(c) for c in df.columns if c != "fold"]), target, leakage, ratios, key)
+    numeric, categorical = columns["numeric"], columns["categorical"]
+    encoder = Encoder(numeric, categorical).fit_levels(table)
+    labels = dict(zip(categorical, encoder.indexer.labelsArray)) if categorical else {}
+    coded = encoder.indexer.transform(table) if categorical else table
+    values = [finite(ref(c)) for c in numeric]
+    values += [F.when(ref(c).isNotNull(), F.col(f"__i{k}")) for k, c in enumerate(categorical)]
+    data = coded.select(F.col("__row").alias("row"), "fold", F.col("__target").alias("label"), *[v.alias(f"x{i}") for i, v in enumerate(values)])
+    design, n_rows = ridges.design_of(data, len(numeric), [len(labels[c]) for c in categorical])
+    names = numeric + categorical
+    gaps = [names[i] for i in design.gaps]
+
+    def learned(rows: DataFrame) -> dict:
+        """Fill values; they are of use only in columns with gaps."""
+        fills = {**dict.fromkeys(numeric, 0.0), **dict.fromkeys(categorical, "MISSING")}
+        if gaps:
+            fills |= fill_values(rows, [c for c in numeric if c in gaps], [c for c in categorical if c in gaps])
+        return fills
+
+    whole = learned(table)
+    fills = {f: whole if fit_once else learned(table.where(F.col("fold") != f)) for f in range(folds)}
+
+    def numbers(some: dict) -> list[float]:
+        """Fill values with levels as numbers; a value that is no level has the number after the last."""
+        return [some[c] for c in numeric] + [labels[c].index(some[c]) if some[c] in labels[c] else len(labels[c]) for c in categorical]
+
+    if len(encoder.names) <= NORMAL_FEATURES:
+        sums = ridges.sums_of_folds(data, design, folds)
+        total = sums.sum(axis=0)
+        weights = {
+            f: ridges.solve(design, total - sums[f], total if fit_once else total - sums[f], numbers(fills[f]), RIDGE_ALPHA) for f in fills
+        }
+        lines = ridges.predictions(data, design, weights)
+    else:
+        lines = _ridge_by_steps(table.withColumnRenamed("__target", "label"), encoder, numeric, fills, whole if fit_once else None)
+
+    layout = forests.laid_out(
+        forests.numeric_columns(table, numeric) + [forests.Column(c, levels=len(labels[c])) for c in categorical]
+    )
+    rows = stored(forests.with_cells(data, layout))
+
+    def codes(some: dict) -> list[int]:
+        return [c.code_of(v) for c, v in zip(layout.columns, numbers(some))]
+
+    grown = forests.grow(rows, layout, {f: codes(fills[f]) for f in fills} | {None: codes(whole)}, TREES, DEPTH, SEED)
+    predictions = reduce(
+        DataFrame.unionByName,
+        [
+            found.select(F.lit(name).alias("model"), "fold", "label", "prediction", F.lit(None).cast("double").alias("score"))
+            for name, found in zip(regressors(), (lines, forests.predictions(rows, layout, grown)))
+        ],
+    )
+    per_fold = cut_lineage(fold_metrics(predictions, REGRESSION, ["model", "fold"], positive=1.0))
+    shares = forests.importances(grown[None])
+    return Baseline(
+        models=regressors(),
+        metrics=over_folds(per_fold),
+        per_fold=per_fold,
+        importances=spark.createDataFrame([(n, float(w)) for n, w in zip(encoder.names, shares)], "feature string, importance double"),
+        predictions=predictions,
+        excluded=list(leakage),
+        n_rows=n_rows,
+        n_features=len(encoder.names),
+    )
+
+
+def _ridge_by_steps(data: DataFrame, encoder: Encoder, numeric: list[str], fills: dict[int, dict], whole: dict | None) -> DataFrame:
+    """``(fold, label, prediction)`` by Spark ML's solver, where products of all features are too many."""
+    scale = fit_scale(impute(data, whole), numeric) if whole else None
+
+    def run_fold(fold: int) -> DataFrame:
+        train, test = impute(data.where(F.col("fold") != fold), fills[fold]), impute(data.where(F.col("fold") == fold), fills[fold])
+        of = scale or fit_scale(train, numeric)
+        train_x = encoder.vectors(train, of).select("label", "features").persist()
+        model = _estimator("ridge", REGRESSION, train_x).fit(train_x)
+        train_x.unpersist()
+        return model.transform(encoder.vectors(test, of)).select("fold", "label", "prediction")
+
+    parts = together({f"fold {f}": (lambda f=f: run_fold(f)) for f in fills}, at_once=3)
+    return reduce(DataFrame.unionByName, parts.values())
